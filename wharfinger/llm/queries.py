@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wharfinger.llm import decontam, mixing, neardup, quality
+from wharfinger.llm import decontam, mixing, neardup, quality, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.cut(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -30,7 +36,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mix_sources, op6_near_duplicates, op7_decontaminate, op9_quality_rules)
+    f.__name__: f for f in (op3_mix_sources, op4_substring_dedup, op6_near_duplicates, op7_decontaminate, op9_quality_rules)
 }
 
 OP3 = r"""
@@ -102,4 +108,17 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, d
 FROM dw LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT d AS doc_id, min(r) AS m FROM reach GROUP BY d) USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_mix_sources": OP3, "op6_near_duplicates": OP6, "op7_decontaminate": OP7}
+OP4 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM dw WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE [x FOR x, j IN w IF NOT list_contains(ps, j)] END, ' ')) AS kept_sha256
+FROM dw LEFT JOIN lists USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_mix_sources": OP3, "op4_substring_dedup": OP4, "op6_near_duplicates": OP6, "op7_decontaminate": OP7}
