@@ -205,8 +205,9 @@ def cut(docs: DataFrame, n: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFra
         spans = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n_runs))).astype(np.int32), runs)
         return pa.table({"doc_id": b.doc_id, "n_words": pa.array(w.counts, pa.int64()), "n_removed": pa.array(sums(out, w.offsets)), "removed": spans, "text": text.cast(pa.string())})
 
+    parts = max(n_blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # with fewer Spark would deal the texts out again
     block = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)), F.lit(0)).cast("int")
-    dealt = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(n_blocks, "block")
+    dealt = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(parts, "block")
     piece = "shard int, block int, data binary"
     hot = dealt.groupBy("block").applyInArrow(sketch, piece).groupBy("shard").applyInArrow(merge, "block int, shard int, data binary")
     sent = dealt.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(candidates, piece)
