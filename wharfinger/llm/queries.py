@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfinger.llm import decontam, mixing, neardup, quality, substring
+from wharfinger.llm import decontam, mixing, neardup, quality, substring, token_files
+from wharfinger.llm.scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +36,20 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark).path}/tokens"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, word_tokenizer(), end_id=1, by_word=True)
+    return token_files.read_tokens(spark, path, ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mix_sources, op4_substring_dedup, op6_near_duplicates, op7_decontaminate, op9_quality_rules)
+    f.__name__: f for f in (op3_mix_sources, op4_substring_dedup, op6_near_duplicates, op7_decontaminate, op9_quality_rules, op10_token_files)
 }
 
 OP3 = r"""
