@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfinger.llm import decontam, mixing, neardup, quality, substring, token_files
+from wharfinger.llm import decontam, mixing, neardup, quality, substring, token_files, toxicity
 from wharfinger.llm.scratch import Scratch
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mix_sources, op4_substring_dedup, op6_near_duplicates, op7_decontaminate, op9_quality_rules, op10_token_files)
+    f.__name__: f for f in (op3_mix_sources, op4_substring_dedup, op6_near_duplicates, op7_decontaminate, op8_toxicity, op9_quality_rules, op10_token_files)
 }
 
 OP3 = r"""
