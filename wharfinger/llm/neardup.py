@@ -4,14 +4,18 @@ Documents with equal shingle sets form a class; one document stands for it. A cl
 minwise tokens. In each of TREES trees a node chooses one of the 64 places (a second one with
 probability 1/threshold - 1, so that a pair at the threshold meets in as many nodes at each
 depth), and its members go on to a child for each value there. Nodes with at most SMALL members
-compare them all by their sketches. Of a larger node only counts are gathered: its members
-go deeper, and from depth STAR on are also compared with a member drawn at random, leaving
-the node if they are close to it. Trees go on until no large node is left, so no bucket is
-capped. Candidates are confirmed on the full shingle sets; those whose ends are connected
-already need no confirming. Components come from the confirmed links.
+compare them all by their sketches. Of a larger node only counts are gathered and its members
+go deeper. What is still together at depth STAR is mostly one family: there each member is
+first compared with one drawn at random, the closest such pair of each member is confirmed,
+and a node whose members are all connected by then is done. If at most SMALL members stand
+outside its largest component, they are compared with all others; else the node goes deeper.
+So no bucket is capped and no group is ever gathered or compared pair by pair.
 
-A pair at similarity 0.8 is missed by one tree with probability 0.16 at depth 1 and 0.43 at
-depth 4, by all of 14 trees with less than 1e-5; trees draw from one signature of 64 places.
+Candidates are confirmed on the full shingle sets; those whose ends are connected already
+need no confirming. Components come from the confirmed links.
+
+A pair at similarity 0.8 is missed by one tree with probability 0.16 at depth 1 and 0.36 at
+depth 3, by all of 14 trees with less than 1e-5; trees draw from one signature of 64 places.
 
 Defined results: null or wordless text has the empty set and is linked with nothing; rows
 that repeat a doc_id share a component; a document of fewer words than a shingle has its
@@ -33,6 +37,7 @@ from wharfinger.llm.scratch import Scratch
 from wharfinger.llm.words import U64, mix, pair, split_words, spread, texts_of, windows
 
 PLACES, TREES, SMALL, STAR = 64, 14, 16, 3
+BROADCAST_NODES = 500_000  # ids of nodes, 8 bytes each
 FAR, NEAR = 24, 8  # unequal places of a sketch: beyond FAR no candidate (5 sigma at 0.8), up to NEAR close
 CHUNK = 256  # documents whose sets are sorted together; the upper 56 bits of a hash stay
 
@@ -102,10 +107,10 @@ def unequal(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> n
     return n
 
 
-def unequal_sql(a: str, b: str) -> Column:
-    """unequal() as an expression over columns a.s1, a.s2, b.s1, b.s2."""
-    each = [f"bit_count(({x} | shiftright({x}, 1)) & {int(_EVEN_BITS)})" for x in (f"({a}s1 ^ {b}s1)", f"({a}s2 ^ {b}s2)")]
-    return F.expr(" + ".join(each))
+def unequal_sql(a: Column, b: Column) -> Column:
+    """unequal() as an expression over two structs with s1 and s2."""
+    each = [F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(int(_EVEN_BITS)))) for x in (a[s].bitwiseXOR(b[s]) for s in ("s1", "s2"))]
+    return each[0] + each[1]
 
 
 def children(node: np.ndarray, sig: np.ndarray, second: float) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +129,8 @@ def children(node: np.ndarray, sig: np.ndarray, second: float) -> tuple[np.ndarr
 LEVEL = "node long, id long, s1 long, s2 long"
 
 
-def descend(members: DataFrame, second: float, trees: int = 0) -> DataFrame:
-    """LEVEL rows one step deeper. trees: members are at the roots of so many trees."""
+def descend(members: DataFrame, second: float, trees: int = 0, steps: int = 1) -> DataFrame:
+    """LEVEL rows so many steps deeper. trees: members are at the roots of so many trees."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,63 +139,94 @@ def descend(members: DataFrame, second: float, trees: int = 0) -> DataFrame:
             sig = places_of(b["sig"])
             row = np.tile(np.arange(len(b)), max(trees, 1))
             node = mix(np.repeat(np.arange(1, trees + 1, dtype=U64), len(b))) if trees else b["node"].to_numpy().view(U64)
-            r, child = children(node, sig[row], second)
+            for _ in range(steps):
+                r, node = children(node, sig[row], second)
+                row = row[r]
             s1, s2 = sketch(sig)
-            r = row[r]
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b["id"].take(pa.array(r)), pa.array(s1[r]), pa.array(s2[r])], ["node", "id", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b["id"].take(pa.array(row)), pa.array(s1[row]), pa.array(s2[row])], ["node", "id", "s1", "s2"])
 
     return members.mapInArrow(work, LEVEL)
 
 
-def compare_small(level: DataFrame, small: DataFrame) -> DataFrame:
-    """(a, b), a < b: the members of small nodes with close sketches."""
+PAIRS = "a long, b long, u long"
+
+
+def compare_small(rows: DataFrame) -> DataFrame:
+    """PAIRS of members of one node with close sketches; nodes have SMALL members at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for b in batches:
             t = pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
             node, ids, s1, s2 = (t[c].to_numpy() for c in ("node", "id", "s1", "s2"))
+            old = 0 if kept is None else len(kept)
             for step in range(1, SMALL):
                 i = np.flatnonzero(node[step:] == node[:-step]) if step < len(node) else np.zeros(0, np.int64)
                 if not len(i):
                     break
-                i = i[unequal(s1[i], s2[i], s1[i + step], s2[i + step]) <= FAR]
+                i = i[i + step >= old]
+                u = unequal(s1[i], s2[i], s1[i + step], s2[i + step])
+                i, u = i[u <= FAR], u[u <= FAR]
                 x, y = ids[i], ids[i + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(u)], ["a", "b", "u"])
             kept = t.slice(max(0, len(t) - SMALL)).combine_chunks()  # its node may go on in the next batch
 
-    rows = level.join(small.select("node"), "node").repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(work, "a long, b long").where("a < b")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(work, PAIRS).where("a < b")
 
 
-def candidates(reps: DataFrame, scratch: Scratch, threshold: float, trees: int = TREES) -> DataFrame:
-    """(a, b), a < b: pairs of ids that meet in some tree and have close sketches."""
-    second = 1 / threshold - 1
-    level, found, depth = descend(reps, second, trees), [], 1
-    while True:
-        level = scratch.save(level, f"level{depth}")
-        sizes = scratch.save(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "id").alias("r"), "id", "s1", "s2")).alias("p")).where("n > 1"), f"sizes{depth}")
-        small, large = sizes.where(F.col("n") <= SMALL), sizes.where(F.col("n") > SMALL)
-        found.append(scratch.save(compare_small(level, small).distinct(), f"pairs{depth}"))
-        if large.isEmpty():
-            break
-        below = level.join(large.select("node", "p"), "node")
-        if depth >= STAR:
-            near = below.withColumn("u", unequal_sql("", "p."))
-            near = scratch.save(near.select("node", "id", F.col("p.id").alias("q"), "u"), f"star{depth}")
-            found.append(near.where((F.col("u") <= FAR) & (F.col("id") != F.col("q"))).select(F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b")).distinct())
-            below = near.where(F.col("u") > NEAR)
-        level = descend(below.select("node", "id").join(reps.select("id", "sig"), "id"), second)
-        depth += 1
-    pairs = found[0]
-    for x in found[1:]:
-        pairs = pairs.union(x)
-    return scratch.save(pairs.distinct(), "candidates")
+class Nodes:
+    """The rows of a level, parted by the size of their nodes."""
+
+    def __init__(self, level: DataFrame, scratch: Scratch, name: str) -> None:
+        self.level = scratch.save(level, name)
+        self.nodes = scratch.save(self.level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("node"), f"{name}large")
+        self.n = self.nodes.count()
+        self.hint = "broadcast" if self.n <= BROADCAST_NODES else "merge"
+
+    def small(self) -> DataFrame:
+        return self.level.join(self.nodes.hint(self.hint), "node", "left_anti")
+
+    def large(self) -> DataFrame:
+        return self.level.join(self.nodes.hint(self.hint), "node", "left_semi")
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out.groupBy("a", "b").agg(F.min("u").alias("u"))
+
+
+def closest(pairs: DataFrame, each: str) -> DataFrame:
+    """The closest pair of each id."""
+    return pairs.groupBy(each).agg(F.min(F.struct("u", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def labelled(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
+    """rows with the component of an id column."""
+    r = roots.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    return rows.join(r, F.col(column) == F.col("_u"), "left").withColumn(name, F.coalesce("_v", column)).drop("_u", "_v")
+
+
+def split_families(inside: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rows): of nodes with few members outside their largest component the pairs of
+    these with all others; of the rest with several components the rows."""
+    rows = labelled(inside, roots, "id", "label")
+    sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+    nodes = sizes.groupBy("node").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")).where(F.col("all") > F.col("top.n"))
+    nodes = nodes.select("node", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("others"))
+    open_ = rows.join(nodes, "node")
+    few = open_.where(F.col("others") <= SMALL)
+    outside = few.where(F.col("label") != F.col("main")).groupBy("node").agg(F.collect_list(F.struct("id", "s1", "s2", "label")).alias("o"))
+    beside = few.join(outside, "node").withColumn("m", F.struct("s1", "s2"))
+    close = F.filter("o", lambda o: (o["label"] != F.col("label")) & (unequal_sql(o, F.col("m")) <= FAR))
+    pairs = beside.select("id", "m", F.explode(close).alias("o")).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), unequal_sql(F.col("o"), F.col("m")).cast("long").alias("u"))
+    return pairs, open_.where(F.col("others") > SMALL).select("node", "id", "s1", "s2")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")).hint("merge"), sets.select(F.col("id").alias("b"), F.col("set").alias("y")).hint("merge")
     both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
     union = F.size("x") + F.size("y") - F.col("both")
     return both.where(F.lit(100) * F.col("both") >= F.lit(percent) * union).select(F.col("b").alias("u"), F.col("a").alias("v"))
@@ -217,15 +253,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     full = signed.where("n_shingles > 0 and doc_id is not null")
     first = full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("f"))
     reps = scratch.save(first.select(F.col("f.doc_id").alias("id"), F.col("f.sig").alias("sig"), "d1", "d2", "n_shingles"), "reps")
-    pairs = candidates(reps, scratch, percent / 100, trees)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.save(full_sets(docs.join(needed, "doc_id", "left_semi"), k).dropDuplicates(["id"]), "sets")
-    forest = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links = scratch.save(confirmed(forest.select("a", "b"), sets, percent), "links")
-    roots = components(links, scratch, "root")
-    a, b = roots.select(F.col("u").alias("a"), F.col("v").alias("ra")), roots.select(F.col("u").alias("b"), F.col("v").alias("rb"))
-    open_ = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(forest.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.save(confirmed(open_, sets, percent), "more")
+    second, depth, found = 100 / percent - 1, 1, []
+    at = Nodes(descend(reps, second, trees), scratch, "level1")
+    while True:
+        found.append(compare_small(at.small()))
+        if not at.n or depth == STAR:
+            break
+        depth += 1
+        at = Nodes(descend(at.large().select("node", "id").join(reps.select("id", "sig"), "id"), second), scratch, f"level{depth}")
+    pairs = [scratch.save(together(found), "pairs")]
+    needed = pairs[0].select(F.explode(F.array("a", "b")).alias("doc_id")).union(at.large().select("id")).distinct()
+    sets = scratch.save(full_sets(docs.join(needed.hint("merge"), "doc_id", "left_semi"), k).dropDuplicates(["id"]), "sets")
+    tried = [closest(pairs[0], "b")]
+    roots = components(scratch.save(confirmed(tried[0], sets, percent), "links"), scratch, "root")
+    while at.n:
+        one = at.large().groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("r"), "id", "s1", "s2")).alias("p"))
+        near = at.large().join(one, "node").withColumn("u", unequal_sql(F.struct("s1", "s2"), F.col("p")).cast("long"))
+        near = scratch.save(near.select("node", "id", "s1", "s2", F.col("p.id").alias("q"), "u"), f"near{depth}")
+        star = near.where((F.col("u") <= FAR) & (F.col("id") != F.col("q"))).select("id", F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b"), "u")
+        best = scratch.save(closest(star, "id"), f"best{depth}")
+        roots = components(roots.union(scratch.save(confirmed(best, sets, percent), f"links{depth}")), scratch, f"root{depth}")
+        rest, deeper = split_families(near, roots)
+        pairs += [star.select("a", "b", "u"), scratch.save(rest, f"rest{depth}")]
+        tried.append(best)
+        depth += 2
+        at = Nodes(descend(deeper.select("node", "id").join(reps.select("id", "sig"), "id"), second, steps=2), scratch, f"level{depth}")
+        pairs.append(scratch.save(compare_small(at.small()), f"pairs{depth}"))
+    every = labelled(labelled(together(pairs), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
+    for x in tried:
+        every = every.join(x, ["a", "b"], "left_anti")
+    more = scratch.save(confirmed(every, sets, percent), "more")
     roots = components(roots.union(more), scratch, "final")
     named = reps.join(roots, F.col("id") == F.col("u"), "left").select("d1", "d2", "n_shingles", F.coalesce("v", "id").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")

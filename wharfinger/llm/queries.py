@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfinger.llm import decontam, mixing, neardup, quality, substring, token_files, toxicity
+from wharfinger.llm import chat, decontam, licence, mixing, neardup, quality, rollup, substring, token_files, toxicity
 from wharfinger.llm.scratch import Scratch
 
 
@@ -20,6 +20,36 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence.resolve(licence.as_files(table(spark, sf_dir, "documents")))
+
+
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches, one of them sent twice: all documents come in by words; those whose text
+    an earlier document has go out again; the others are counted by pieces too; the word
+    counts of those with repeated lines are revised to count each line once."""
+    scratch = Scratch(spark)
+    text = F.coalesce("text", F.lit(""))
+    once = F.array_join(F.array_distinct(F.split(text, "\n")), "\n")
+    pieces = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]")).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(text, 256).alias("digest"), mixing.word_count(text).alias("words"), mixing.word_count(once).alias("once"), pieces.alias("pieces"))
+    docs = scratch.save(docs, "counts")
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    docs = scratch.save(docs.join(first, "digest").withColumn("copy", F.col("doc_id") > F.col("first")).drop("digest", "first"), "marked")
+    by_words, by_pieces = docs.withColumn("tokenizer", F.lit("words-1")), docs.withColumn("tokenizer", F.lit("pieces-1"))
+    totals = rollup.Rollup(spark, f"{scratch.path}/totals")
+    totals.commit("1", rollup.signed(by_words, new="words"))
+    for _ in range(2):
+        totals.commit("2", rollup.signed(by_words.where("copy"), old="words"))
+    totals.commit("3", rollup.signed(by_pieces.where("not copy"), new="pieces"))
+    totals.commit("4", rollup.signed(by_words.where("not copy and once <> words"), old="words", new="once"))
+    return totals.totals()
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"))
 
@@ -54,7 +84,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mix_sources, op4_substring_dedup, op6_near_duplicates, op7_decontaminate, op8_toxicity, op9_quality_rules, op10_token_files)
+    f.__name__: f
+    for f in (op1_licence_scan, op2_token_rollup, op3_mix_sources, op4_substring_dedup, op5_chat, op6_near_duplicates, op7_decontaminate, op8_toxicity, op9_quality_rules, op10_token_files)
 }
 
 OP3 = r"""
@@ -139,4 +170,62 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_remo
 FROM dw LEFT JOIN lists USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_mix_sources": OP3, "op4_substring_dedup": OP4, "op6_near_duplicates": OP6, "op7_decontaminate": OP7}
+OP1 = r"""
+WITH files AS (
+  SELECT doc_id, text, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), (doc_id // 4096)::VARCHAR, (doc_id // 256)::VARCHAR, (doc_id // 16)::VARCHAR) AS dir
+  FROM documents),
+lines AS (SELECT doc_id, dir, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licen[cs]e|copyright|all rights reserved|spdx-')), chr(10)) AS header FROM files),
+found AS (SELECT * FROM lines WHERE header <> ''),
+known(licence, header) AS (VALUES
+TEMPLATE_ROWS),
+units AS (SELECT 'd' || doc_id AS u, NULL AS licence, header FROM found UNION ALL SELECT 't' || licence, licence, header FROM known),
+tf AS (
+  SELECT u, licence, w, count(*) AS tf FROM (SELECT u, licence, unnest(regexp_extract_all(lower(header), '[a-z0-9.\-]+')) AS w FROM units) GROUP BY ALL),
+idf AS (SELECT w, ln((1.0::DOUBLE + (SELECT count(*) FROM units)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tf GROUP BY w),
+v AS (SELECT u, licence, w, tf * idf AS x FROM tf JOIN idf USING (w)),
+norm AS (SELECT u, sqrt(sum(x * x)) AS n FROM v GROUP BY u),
+cosine AS (
+  SELECT a.u, b.licence, round(sum(a.x * b.x) / (any_value(p.n) * any_value(q.n)), 6) AS score
+  FROM v a JOIN v b ON a.w = b.w AND a.licence IS NULL AND b.licence IS NOT NULL
+  JOIN norm p ON p.u = a.u JOIN norm q ON q.u = b.u GROUP BY a.u, b.licence),
+own AS (
+  SELECT doc_id, dir, licence, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, licence) AS r FROM cosine) c JOIN found ON c.u = 'd' || doc_id
+  WHERE r = 1 AND score >= 0.6),
+given AS (
+  SELECT dir AS up, licence AS dir_licence FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, doc_id, licence) AS r FROM own) WHERE r = 1),
+nearest AS (
+  SELECT d.dir, max_by(up, length(up)) AS origin, max_by(dir_licence, length(up)) AS dir_licence
+  FROM (SELECT DISTINCT dir FROM files) d JOIN given ON d.dir = up OR starts_with(d.dir, up || '/') GROUP BY d.dir)
+SELECT f.doc_id, f.dir || '/' || f.doc_id AS path, o.licence AS own, o.score, coalesce(o.licence, n.dir_licence) AS licence,
+       CASE WHEN o.licence IS NULL THEN n.origin END AS origin
+FROM files f LEFT JOIN own o ON o.doc_id = f.doc_id LEFT JOIN nearest n ON n.dir = f.dir
+""".replace("TEMPLATE_ROWS", ",\n".join(f"  ('{k}', '{v}')" for k, v in sorted(licence.TEMPLATES.items())))
+
+OP2 = r"""
+WITH d AS (
+  SELECT source, lang, coalesce(text, '') AS t FROM documents
+  QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1),
+once AS (
+  SELECT source, lang, t, array_to_string(list_filter(string_split(t, chr(10)), lambda x, i: list_position(string_split(t, chr(10)), x) = i), chr(10)) AS o FROM d),
+n AS (
+  SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(o, '[^\x20\x09-\x0D]+')) AS tokens FROM once
+  UNION ALL
+  SELECT source, lang, 'pieces-1', len(regexp_extract_all(t, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) FROM once)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(tokens)::BIGINT AS n_tokens FROM n GROUP BY ALL
+"""
+
+OP5 = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos, role, text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns, list({'r': role, 't': text} ORDER BY pos) AS l,
+         string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
+  FROM t GROUP BY conv_id),
+one AS (SELECT min(conv_id) AS conv_id, n_turns, count(*)::BIGINT AS n_equal, l, any_value(chat) AS chat FROM c GROUP BY n_turns, l)
+SELECT conv_id, n_turns, n_equal, chat FROM one
+WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n_turns > one.n_turns AND c.l[1:one.n_turns] = one.l)
+"""
+
+ORACLES: dict[str, str] = {"op1_licence_scan": OP1, "op2_token_rollup": OP2, "op5_chat": OP5, "op3_mix_sources": OP3, "op4_substring_dedup": OP4, "op6_near_duplicates": OP6, "op7_decontaminate": OP7}
