@@ -18,18 +18,23 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wharfinger.llm import grammar
-from wharfinger.llm.words import split_words, spread, sums, texts_of
+from wharfinger.llm.words import slices, split_words, spread, sums, texts_of
 
-PART_BYTES, SLICE_BYTES = 32 << 20, 8 << 20
-MEMO, JOINED = 800_000, 2000
+PART_BYTES, SLICE_BYTES = 32 << 20, 4 << 20
+MEMO, JOINED = 1_200_000, 2000
 BROADCAST_SHARDS = 200_000
 
 
+def hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 class Encoder:
     """Ids of texts by a file of the tokenizers library.
 
@@ -49,14 +54,15 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        """What is known of words: sorted hashes, the word's number, and where its ids are."""
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str], letters: np.ndarray) -> None:
-        """Adds the ids of new words."""
+    def learn(self, words: list[str], letters: np.ndarray) -> list[str]:
+        """Adds the ids of new words, in the order returned."""
         plain, rest = [w for w, x in zip(words, letters, strict=True) if x], [w for w, x in zip(words, letters, strict=True) if not x]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         sizes, flat, order = [], [], []
@@ -74,21 +80,28 @@ class Encoder:
         flat += single
         order += rest
         new = np.concatenate(sizes)
-        start = len(self.flat) + np.cumsum(new) - new
-        first = len(self.sizes)
-        self.known.update(zip(order, range(first, first + len(order)), strict=True))
-        self.starts, self.sizes = np.append(self.starts, start), np.append(self.sizes, new)
+        self.starts, self.sizes = np.append(self.starts, len(self.flat) + np.cumsum(new) - new), np.append(self.sizes, new)
         self.flat = np.concatenate([self.flat, *flat])
+        return order
 
     def look_up(self, words: pa.Array) -> np.ndarray:
-        """Places of the words in starts and sizes."""
+        """Places of distinct words in starts and sizes."""
         listed = words.to_pylist()
-        out = np.array([self.known.get(w, -1) for w in listed], np.int64)
-        if len(new := np.flatnonzero(out < 0)):
-            fresh = [listed[i] for i in new]
-            self.learn(fresh, pc.match_substring_regex(words.take(pa.array(new)), r"^\p{L}+$").to_numpy(zero_copy_only=False))
-            out[new] = [self.known[w] for w in fresh]
-        return out
+        keys = hashed(listed)
+        at = np.searchsorted(self.keys, keys)
+        known = np.append(self.keys, np.uint64(0))[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        known &= at < len(self.keys)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            letters = pc.match_substring_regex(words.take(pa.array(new)), r"^\p{L}+$").to_numpy(zero_copy_only=False)
+            first = len(self.sizes)
+            fresh = hashed(self.learn([listed[i] for i in new], letters))
+            order = np.argsort(fresh)
+            place = np.searchsorted(self.keys, fresh[order])
+            self.keys = np.insert(self.keys, place, fresh[order])
+            self.numbers = np.insert(self.numbers, place, first + order)
+            at = np.searchsorted(self.keys, keys)
+        return self.numbers[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many each text has)."""
@@ -106,7 +119,7 @@ class Encoder:
             for i, x in zip(np.flatnonzero(~special), np.split(ids, np.cumsum(n)[:-1]) if len(n) else [], strict=True):
                 each[i] = x
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
-        if len(self.known) > MEMO:
+        if len(self.keys) > MEMO:
             self.forget()
         w = split_words(texts)
         if not len(w.codes):
@@ -129,16 +142,6 @@ def encoder(path: str, by_word: bool) -> Encoder:
     return Encoder(path, by_word)
 
 
-def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `limit` bytes at most."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
-    a = 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
-        yield a, b
-        a = b
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_word: bool = False, rounds: int = grammar.ROUNDS) -> None:
     """Writes the shards of docs to a new table at path."""
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
