@@ -25,10 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfinger.llm.words import U64, mix, pair, split_words, spread, texts_of, window_starts, windows
+from wharfinger.llm.words import U64, mix, pair, slices, split_words, spread, texts_of, window_starts, windows
 
 BITS, SHORTEST, LONGEST = 18, 3, 5
-SAMPLE_ROWS, ALPHA, L2, STEPS = 3000, 1.0, 1.0, 60
+SAMPLE_ROWS, ALPHA, L2, STEPS = 2000, 1.0, 1.0, 60
+SLICE_BYTES = 4 << 20
 
 
 def word_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +58,26 @@ def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return key % size, np.searchsorted(key, np.arange(len(texts) + 1) * size), lower.dictionary
 
 
+def text_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, value) of the features of each text."""
+    codes, offsets, vocab = distinct_words(texts)
+    features, n = word_grams(vocab)
+    starts = np.cumsum(n) - n
+    row = np.repeat(np.repeat(np.arange(len(texts)), np.diff(offsets)), n[codes])
+    key, value = np.unique((row << BITS) | features[spread(starts[codes], n[codes])], return_counts=True)
+    return (key >> BITS).astype(np.int32), (key & ((1 << BITS) - 1)).astype(np.int32), value.astype(np.float32)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     intercept: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
+        parts = [self._score(texts.slice(a, b - a)) for a, b in slices(texts, SLICE_BYTES)]
+        return np.concatenate([np.zeros(0), *parts])
+
+    def _score(self, texts: pa.Array) -> np.ndarray:
         codes, offsets, vocab = distinct_words(texts)
         features, n = word_grams(vocab)
         total = np.concatenate(([0.0], np.cumsum(self.weights[features], dtype=np.float64)))
@@ -107,12 +122,9 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Model:
     base = float(np.log((yes + 1) / (no + 1)))
     if not toxic.any() or toxic.all():
         return Model(np.zeros(1 << BITS), base)
-    codes, offsets, vocab = distinct_words(texts)
-    features, n = word_grams(vocab)
-    starts = np.cumsum(n) - n
-    row = np.repeat(np.repeat(np.arange(len(texts)), np.diff(offsets)), n[codes])
-    key, value = np.unique((row.astype(np.int64) << BITS) | features[spread(starts[codes], n[codes])], return_counts=True)
-    row, feature = key >> BITS, key & ((1 << BITS) - 1)
+    parts = [(a, *text_grams(texts.slice(a, b - a))) for a, b in slices(texts, SLICE_BYTES)]
+    row = np.concatenate([a + r for a, r, _, _ in parts]).astype(np.int32)
+    feature, value = (np.concatenate([x[i] for x in parts]) for i in (2, 3))
     size = 1 << BITS
     p = np.bincount(feature, weight[row] * toxic[row], size) + ALPHA
     q = np.bincount(feature, weight[row] * ~toxic[row], size) + ALPHA

@@ -6,6 +6,7 @@ documents apart by offsets, so no per-row Python loop is needed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,3 +128,13 @@ def same(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             first = np.ones(len(h), bool)
             first[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
     return order, first
+
+
+def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `limit` bytes at most."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, b
+        a = b
