@@ -6,10 +6,10 @@ probability 1/threshold - 1, so that a pair at the threshold meets in as many no
 depth), and its members go on to a child for each value there. Nodes with at most SMALL members
 compare them all by their sketches. Of a larger node only counts are gathered and its members
 go deeper. What is still together at depth STAR is mostly one family: there each member is
-first compared with one drawn at random, the closest such pair of each member is confirmed,
-and a node whose members are all connected by then is done. If at most SMALL members stand
-outside its largest component, they are compared with all others; else the node goes deeper.
-So no bucket is capped and no group is ever gathered or compared pair by pair.
+first paired with one drawn at random, the closest pair of each document is confirmed, and a
+node whose members are all connected by then is done. If at most OUTSIDE members stand outside
+its largest component, these meet the family's members in packed blocks, on full sets; with
+more of them the node goes deeper. So no bucket is capped and no group is ever gathered.
 
 Candidates are confirmed on the full shingle sets; those whose ends are connected already
 need no confirming. Components come from the confirmed links.
@@ -38,7 +38,8 @@ from wharfinger.llm.words import U64, mix, pair, split_words, spread, texts_of,
 
 PLACES, TREES, SMALL, STAR = 64, 14, 16, 3
 BROADCAST_NODES = 500_000  # ids of nodes, 8 bytes each
-FAR, NEAR = 24, 8  # unequal places of a sketch: beyond FAR no candidate (5 sigma at 0.8), up to NEAR close
+FAR = 22  # unequal places of a sketch beyond which a pair is no candidate, 4.5 sigma at 0.8
+OUTSIDE, PACK = 4096, 256
 CHUNK = 256  # documents whose sets are sorted together; the upper 56 bits of a hash stay
 
 _ODD = mix(np.arange(1, PLACES + 1, dtype=U64)) | U64(1)
@@ -209,19 +210,60 @@ def labelled(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataF
 
 
 def split_families(inside: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rows): of nodes with few members outside their largest component the pairs of
-    these with all others; of the rest with several components the rows."""
+    """(family, id, label, other) of the nodes with few members outside their largest
+    component, which names the family, each id once; and the rows of nodes with more."""
     rows = labelled(inside, roots, "id", "label")
     sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     nodes = sizes.groupBy("node").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")).where(F.col("all") > F.col("top.n"))
-    nodes = nodes.select("node", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("others"))
+    nodes = nodes.select("node", F.col("top.label").alias("family"), (F.col("all") - F.col("top.n")).alias("others"))
     open_ = rows.join(nodes, "node")
-    few = open_.where(F.col("others") <= SMALL)
-    outside = few.where(F.col("label") != F.col("main")).groupBy("node").agg(F.collect_list(F.struct("id", "s1", "s2", "label")).alias("o"))
-    beside = few.join(outside, "node").withColumn("m", F.struct("s1", "s2"))
-    close = F.filter("o", lambda o: (o["label"] != F.col("label")) & (unequal_sql(o, F.col("m")) <= FAR))
-    pairs = beside.select("id", "m", F.explode(close).alias("o")).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), unequal_sql(F.col("o"), F.col("m")).cast("long").alias("u"))
-    return pairs, open_.where(F.col("others") > SMALL).select("node", "id", "s1", "s2")
+    members = open_.where(F.col("others") <= OUTSIDE).select("family", "id", "label", (F.col("label") != F.col("family")).alias("other")).distinct()
+    return members, open_.where(F.col("others") > OUTSIDE).select("node", "id")
+
+
+def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): of each outside member a link with each component of its family in which it
+    has one. Members come in packs of about PACK, so a join row is a pair of packs."""
+    full = members.join(sets.hint("merge"), "id")
+    packs = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_if("other").alias("m"))
+    full = full.join(packs, "family").withColumn("r", F.xxhash64("id"))
+
+    def packed(rows: DataFrame, n: str, name: str) -> DataFrame:
+        k = F.pmod("r", F.ceil(F.col(n) / F.lit(PACK)))
+        return rows.groupBy("family", k.alias(f"k{name}")).agg(F.collect_list(F.struct("id", "label", "set")).alias(name))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b["x"], b["y"], strict=True):
+                u, v = linked(x.values, y.values, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    pairs = packed(full.where("other"), "m", "x").join(packed(full, "n", "y"), "family").select("x", "y")
+    return pairs.mapInArrow(work, "u long, v long")
+
+
+def linked(x: pa.StructArray, y: pa.StructArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of x and y with enough in common and other labels, one for each id of x and label of y.
+    Shingles that both packs have are counted by a product of 0/1 matrices."""
+    packs = []
+    for p in (x, y):
+        lists = p.field("set")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        packs.append((p.field("id").to_numpy(), p.field("label").to_numpy(), sizes, lists.flatten().to_numpy()))
+    common = np.intersect1d(packs[0][3], packs[1][3])
+    grids = []
+    for ids, _, sizes, flat in packs:
+        at = np.searchsorted(common, flat)
+        held = at < len(common)
+        held[held] = common[at[held]] == flat[held]
+        grid = np.zeros((len(ids), len(common)), np.float32)
+        grid[np.repeat(np.arange(len(ids)), sizes)[held], at[held]] = 1
+        grids.append(grid)
+    both = (grids[0] @ grids[1].T).astype(np.int64)
+    union = packs[0][2][:, None] + packs[1][2][None, :] - both
+    i, j = np.nonzero((100 * both >= percent * union) & (packs[0][1][:, None] != packs[1][1][None, :]))
+    first = np.unique(np.stack([i, packs[1][1][j]], axis=1), axis=0, return_index=True)[1] if len(i) else i
+    return packs[0][0][i[first]], packs[1][0][j[first]]
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,21 +306,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     pairs = [scratch.save(together(found), "pairs")]
     needed = pairs[0].select(F.explode(F.array("a", "b")).alias("doc_id")).union(at.large().select("id")).distinct()
     sets = scratch.save(full_sets(docs.join(needed.hint("merge"), "doc_id", "left_semi"), k).dropDuplicates(["id"]), "sets")
-    tried = [closest(pairs[0], "b")]
-    roots = components(scratch.save(confirmed(tried[0], sets, percent), "links"), scratch, "root")
-    while at.n:
-        one = at.large().groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("r"), "id", "s1", "s2")).alias("p"))
-        near = at.large().join(one, "node").withColumn("u", unequal_sql(F.struct("s1", "s2"), F.col("p")).cast("long"))
-        near = scratch.save(near.select("node", "id", "s1", "s2", F.col("p.id").alias("q"), "u"), f"near{depth}")
-        star = near.where((F.col("u") <= FAR) & (F.col("id") != F.col("q"))).select("id", F.least("id", "q").alias("a"), F.greatest("id", "q").alias("b"), "u")
-        best = scratch.save(closest(star, "id"), f"best{depth}")
-        roots = components(roots.union(scratch.save(confirmed(best, sets, percent), f"links{depth}")), scratch, f"root{depth}")
-        rest, deeper = split_families(near, roots)
-        pairs += [star.select("a", "b", "u"), scratch.save(rest, f"rest{depth}")]
-        tried.append(best)
+    roots, tried, links, first = None, [], [], True
+    while first or at.n:
+        tries = pairs[-1]
+        if at.n:
+            one = at.large().groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("r"), "id", "s1", "s2")).alias("p"))
+            star = at.large().join(one, "node").withColumn("u", unequal_sql(F.struct("s1", "s2"), F.col("p")).cast("long"))
+            star = star.where((F.col("u") <= FAR) & (F.col("id") != F.col("p.id"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), "u")
+            pairs.append(scratch.save(star.distinct(), f"star{depth}"))
+            tries = tries.union(pairs[-1])
+        tried.append(scratch.save(closest(tries.union(tries.select(F.col("b").alias("a"), F.col("a").alias("b"), "u")), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"tried{depth}"))
+        links.append(scratch.save(confirmed(tried[-1], sets, percent), f"links{depth}"))
+        known = links[-1] if roots is None else roots.union(links[-1])
+        roots = components(known, scratch, f"root{depth}_")
+        first = False
+        if not at.n:
+            break
+        members, deeper = split_families(at.large(), roots)
+        links.append(scratch.save(family_links(scratch.save(members, f"family{depth}"), sets, percent), f"inner{depth}"))
+        roots = roots.union(links[-1])
         depth += 2
-        at = Nodes(descend(deeper.select("node", "id").join(reps.select("id", "sig"), "id"), second, steps=2), scratch, f"level{depth}")
+        at = Nodes(descend(deeper.join(reps.select("id", "sig"), "id"), second, steps=2), scratch, f"level{depth}")
         pairs.append(scratch.save(compare_small(at.small()), f"pairs{depth}"))
+    if len(links) > 1:
+        roots = components(roots, scratch, "joined")
     every = labelled(labelled(together(pairs), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
     for x in tried:
         every = every.join(x, ["a", "b"], "left_anti")
