@@ -344,4 +344,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that are linked with a smaller doc_id."""
     gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
