@@ -1,5 +1,9 @@
 """Every query of the library against its SQL on the smallest tables."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from conftest import SF
 from same import assert_same
@@ -18,6 +22,12 @@ def test_runs(spark, name):
     assert df.columns and df.count() >= 0
 
 
+def test_imports_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -9,8 +9,6 @@ from wharfinger.functions import text as t
 from wharfinger.operators import repeats, sequences
 from wharfinger.sources.adapters import arrivals, event_log, page_lines, table
 
-HEADER = F.when((F.length("text") < 60) & F.col("text").rlike("^[A-Z]"), F.col("text"))
-
 
 @query(
     """SELECT source_file, line_no, last_value(CASE WHEN length(text) < 60 AND regexp_matches(text, '^[A-Z]') THEN text END IGNORE NULLS)
@@ -18,7 +16,8 @@ HEADER = F.when((F.length("text") < 60) & F.col("text").rlike("^[A-Z]"), F.col("
     lines=True,
 )
 def ffill_header(spark, d):
-    return sequences.carry_forward(page_lines(spark, d), HEADER, "header", "source_file", "line_no").drop("text")
+    head = F.when((F.length("text") < 60) & F.col("text").rlike("^[A-Z]"), F.col("text"))
+    return sequences.carry_forward(page_lines(spark, d), head, "header", "source_file", "line_no").drop("text")
 
 
 @query(
