@@ -111,3 +111,35 @@ def repair_mojibake(text: Column) -> Column:
     """UTF-8 that was read as Latin-1, read again; other text unchanged."""
     single = text.rlike("^[\\x{00}-\\x{FF}]*$") & text.rlike("[ÃÂ]")
     return F.when(single, F.coalesce(F.try_validate_utf8(F.encode(F.when(single, text), "ISO-8859-1").cast("string")), text)).otherwise(text)
+
+
+def suggestions(rows: DataFrame, name: str, known: DataFrame, least: int = 10, ratio: float = 0.85) -> DataFrame:
+    """For names that occur often enough the known name most like each, if it is like enough.
+    known is a small authority: it goes to the tasks whole, blocked by the first letter."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["ratio"] = [difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(b["name"], b["known"], strict=True)]
+            yield b
+
+    often = rows.where(F.col("n") >= least).select(F.col(name).alias("name"), "n")
+    pairs = often.join(known.select(F.col("name").alias("known")).distinct(), F.lower(F.substring("name", 1, 1)) == F.lower(F.substring("known", 1, 1)))
+    best = F.min(F.struct((-F.col("ratio")).alias("m"), "known"))
+    found = pairs.mapInPandas(score, "name string, n long, known string, ratio double").where(F.col("ratio") >= ratio).groupBy("name", "n").agg(best.alias("b"))
+    return found.select("name", "n", F.col("b.known").alias("suggestion"), F.round(-F.col("b.m"), 6).alias("ratio"))
+
+
+def merge_coordinates(points: DataFrame, extra: DataFrame) -> DataFrame:
+    """name, lat and lon: points first, extra ones where no point has the name, and the names
+    in upper and lower case where nothing has them."""
+    rows = None
+    for p, s in enumerate((points, extra)):
+        for q, form in enumerate((F.col("name"), F.upper("name"), F.lower("name"))):
+            x = s.select(form.alias("name"), "lat", "lon", F.lit(1 if q else 0).alias("q"), F.lit(p).alias("p"))
+            rows = x if rows is None else rows.union(x)
+    return one_each(rows, F.col("name"), ["q", "p", "lat", "lon"]).select("name", "lat", "lon")
+
+
+def status_counts(rows: DataFrame, file: str, status: str, kinds: list[str]) -> DataFrame:
+    """Rows of each file by status, a column for each."""
+    return rows.groupBy(file).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(status) == k).alias(k) for k in kinds])

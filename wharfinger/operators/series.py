@@ -113,3 +113,37 @@ def bootstrap(groups: DataFrame, group: str, value: str, size: str, reps: int, l
     place = means.withColumn("p", F.row_number().over(W.orderBy("m")) - 1)
     ends = place.agg(F.max(F.when(F.col("p") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("p") == high, F.col("m"))).alias("high"))
     return n.crossJoin(ends).select(F.round(F.col("tx") / F.col("ts"), 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+def segment_slopes(points: DataFrame, breaks: DataFrame, t: str, value: str, part: str) -> DataFrame:
+    """Slope and mean of each segment between the chosen breaks (places in order, as an array)."""
+    place = F.row_number().over(W.partitionBy(part).orderBy(t))
+    rows = points.withColumn("_i", place).join(breaks.select(part, "breaks"), part)
+    rows = rows.withColumn("segment", F.size(F.filter("breaks", lambda b: b < F.col("_i"))).cast("long"))
+    return rows.groupBy(part, "segment").agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope(value, t), 6).alias("slope"), F.round(F.avg(value), 6).alias("mean"))
+
+
+def bootstrap_trend(groups: DataFrame, group: str, year: str, value: str, size: str, reps: int, low: int, high: int) -> DataFrame:
+    """Slope of yearly shares with an interval and the chance of a fall, from resampling the
+    groups of each year. Counts of groups are drawn from, never rows."""
+    g = groups.select(year, F.col(value).alias("x"), F.col(size).alias("s"), (F.row_number().over(W.partitionBy(year).orderBy(group)) - 1).alias("g"))
+    n = g.groupBy(year).agg(F.count(F.lit(1)).alias("n"))
+    draws = groups.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).select("rep", year, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    draws = draws.select("rep", year, F.pmod(F.xxhash64("rep", year, "k"), F.col("n")).alias("g"))
+    shares = draws.join(F.broadcast(g), [year, "g"]).groupBy("rep", year).agg((F.sum("x") / F.sum("s")).alias("m"))
+    slope = shares.groupBy("rep").agg(F.regr_slope("m", year).alias("b"))
+    placed = slope.withColumn("p", F.row_number().over(W.orderBy("b")) - 1)
+    whole = g.groupBy(year).agg((F.sum("x") / F.sum("s")).alias("m")).agg(F.round(F.regr_slope("m", year), 6).alias("slope"))
+    ends = placed.agg(F.round(F.max(F.when(F.col("p") == low, F.col("b"))), 6).alias("low"), F.round(F.max(F.when(F.col("p") == high, F.col("b"))), 6).alias("high"), F.round(F.avg((F.col("b") < 0).cast("double")), 6).alias("falling"))
+    return whole.crossJoin(ends)
+
+
+def triangulate(a: DataFrame, b: DataFrame, year: str, value: str) -> DataFrame:
+    """Two series side by side by year, with their difference and ratio where both are there."""
+    x, y = a.select(year, F.col(value).alias("a")), b.select(year, F.col(value).alias("b"))
+    return x.join(y, year, "full").withColumn("difference", F.round(F.col("a") - F.col("b"), 6)).withColumn("ratio", F.round(F.try_divide("a", "b"), 6))
+
+
+def agreement(both: DataFrame) -> DataFrame:
+    """Over the years that both series have: their number and the mean absolute difference."""
+    return both.where("a is not null and b is not null").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mae"))
