@@ -34,3 +34,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         before, k = now, k + 1
         edges = scratch.save(small_star(large_star(edges).where("u <> v").distinct()).where("u <> v").distinct(), f"{name}{k}")
         scratch.drop(f"{name}{k - 1}")
+
+
+def absorb(roots: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """roots after further links (u, v): only the links between components are worked on, as
+    links of their least ids, so the work follows what is new."""
+    to = roots.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    met = links.join(to, F.col("u") == F.col("_u"), "left").select(F.coalesce("_v", "u").alias("u"), "v")
+    met = met.join(to, F.col("v") == F.col("_u"), "left").select("u", F.coalesce("_v", "v").alias("v"))
+    up = components(met, scratch, name)
+    above = up.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    moved = roots.join(above, F.col("v") == F.col("_u"), "left").select("u", F.coalesce("_v", "v").alias("v"))
+    return scratch.save(moved.union(up), f"{name}all")

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfinger.llm.components import components
+from wharfinger.llm.components import absorb, components
 from wharfinger.llm.scratch import Scratch
 from wharfinger.llm.words import U64, mix, pair, split_words, spread, texts_of, windows
 
@@ -317,24 +317,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
             tries = tries.union(pairs[-1])
         tried.append(scratch.save(closest(tries.union(tries.select(F.col("b").alias("a"), F.col("a").alias("b"), "u")), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"tried{depth}"))
         links.append(scratch.save(confirmed(tried[-1], sets, percent), f"links{depth}"))
-        known = links[-1] if roots is None else roots.union(links[-1])
-        roots = components(known, scratch, f"root{depth}_")
+        roots = components(links[-1], scratch, f"root{depth}_") if roots is None else absorb(roots, links[-1], scratch, f"root{depth}_")
         first = False
         if not at.n:
             break
         members, deeper = split_families(at.large(), roots)
         links.append(scratch.save(family_links(scratch.save(members, f"family{depth}"), sets, percent), f"inner{depth}"))
-        roots = roots.union(links[-1])
+        roots = absorb(roots, links[-1], scratch, f"joined{depth}_")
         depth += 2
         at = Nodes(descend(deeper.join(reps.select("id", "sig"), "id"), second, steps=2), scratch, f"level{depth}")
         pairs.append(scratch.save(compare_small(at.small()), f"pairs{depth}"))
-    if len(links) > 1:
-        roots = components(roots, scratch, "joined")
     every = labelled(labelled(together(pairs), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
     for x in tried:
         every = every.join(x, ["a", "b"], "left_anti")
     more = scratch.save(confirmed(every, sets, percent), "more")
-    roots = components(roots.union(more), scratch, "final")
+    roots = absorb(roots, more, scratch, "final")
     named = reps.join(roots, F.col("id") == F.col("u"), "left").select("d1", "d2", "n_shingles", F.coalesce("v", "id").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
