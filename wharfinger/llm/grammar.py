@@ -86,7 +86,8 @@ def induce(ids: np.ndarray, base: int, rounds: int = ROUNDS, top: int = TOP, lea
         bucket = ((key * _U64(0x9E3779B97F4A7C15 + 2 * 0x2545F4914F6CDD1D * turn & (1 << 64) - 1)) >> _U64(64 - BUCKET_BITS)).astype(np.int32)
         holder = np.zeros(1 << BUCKET_BITS, _U64)
         holder[bucket] = key
-        counts = np.bincount(bucket[holder[bucket] == key], minlength=1 << BUCKET_BITS)
+        held = holder[bucket] == key
+        counts = np.bincount(bucket[held], minlength=1 << BUCKET_BITS)
         chosen = np.flatnonzero(counts >= least)
         if len(chosen) > top:
             chosen = chosen[np.argpartition(-counts[chosen], top)[:top]]
@@ -95,8 +96,7 @@ def induce(ids: np.ndarray, base: int, rounds: int = ROUNDS, top: int = TOP, lea
         number = np.full(1 << BUCKET_BITS, -1, np.int32)
         number[chosen] = np.arange(len(chosen), dtype=np.int32)
         rule = number[bucket]
-        at = np.flatnonzero(rule >= 0)
-        at = at[holder[bucket[at]] == key[at]]
+        at = np.flatnonzero((rule >= 0) & held)
         run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
         start = np.repeat(at[run], np.diff(run, append=len(at)))
         at = at[(at - start) % 2 == 0]

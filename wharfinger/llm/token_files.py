@@ -129,12 +129,13 @@ class Encoder:
         stem = pc.coalesce(parts.field("stem"), lower) if parts.null_count == 0 else pc.if_else(parts.is_valid(), parts.field("stem"), lower)
         stem = stem.dictionary_encode()
         tail = pc.if_else(parts.is_valid(), parts.field("tail"), pa.scalar("", pa.large_string())).dictionary_encode()
-        a = self.look_up(stem.dictionary)[stem.indices.to_numpy()][w.codes]
-        b = self.look_up(tail.dictionary)[tail.indices.to_numpy()][w.codes]
-        both = np.stack([a, b], axis=1).reshape(-1)
-        sizes = self.sizes[both]
-        ids = self.flat[spread(self.starts[both], sizes)]
-        return ids, sums(sizes, 2 * w.offsets)
+        a = self.look_up(stem.dictionary)[stem.indices.to_numpy()]
+        b = self.look_up(tail.dictionary)[tail.indices.to_numpy()]
+        both = np.stack([a, b], axis=1).reshape(-1)  # stem and tail of each distinct word
+        flat = self.flat[spread(self.starts[both], self.sizes[both])]
+        size = self.sizes[a] + self.sizes[b]
+        sizes = size[w.codes]
+        return flat[spread((np.cumsum(size) - size)[w.codes], sizes)], sums(sizes, w.offsets)
 
 
 @lru_cache(maxsize=2)
