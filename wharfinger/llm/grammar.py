@@ -83,20 +83,20 @@ def induce(ids: np.ndarray, base: int, rounds: int = ROUNDS, top: int = TOP, lea
         if len(symbols) < 2:
             break
         key = (symbols[:-1].astype(_U64) << _U64(32)) | symbols[1:]
-        bucket = ((key * _U64(0x9E3779B97F4A7C15 + 2 * 0x2545F4914F6CDD1D * turn & (1 << 64) - 1)) >> _U64(64 - BUCKET_BITS)).astype(np.int32)
+        bucket = ((key * _U64(0x9E3779B97F4A7C15 + 2 * 0x2545F4914F6CDD1D * turn & (1 << 64) - 1)) >> _U64(64 - BUCKET_BITS)).view(np.int64)
         holder = np.zeros(1 << BUCKET_BITS, _U64)
         holder[bucket] = key
-        held = holder[bucket] == key
-        counts = np.bincount(bucket[held], minlength=1 << BUCKET_BITS)
+        bucket = np.where(holder[bucket] == key, bucket, 1 << BUCKET_BITS)  # the last one takes those that wait
+        counts = np.bincount(bucket, minlength=1 << BUCKET_BITS)[: 1 << BUCKET_BITS]
         chosen = np.flatnonzero(counts >= least)
         if len(chosen) > top:
             chosen = chosen[np.argpartition(-counts[chosen], top)[:top]]
         if not len(chosen):
             break
-        number = np.full(1 << BUCKET_BITS, -1, np.int32)
+        number = np.full((1 << BUCKET_BITS) + 1, -1, np.int32)
         number[chosen] = np.arange(len(chosen), dtype=np.int32)
         rule = number[bucket]
-        at = np.flatnonzero((rule >= 0) & held)
+        at = np.flatnonzero(rule >= 0)
         run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
         start = np.repeat(at[run], np.diff(run, append=len(at)))
         at = at[(at - start) % 2 == 0]

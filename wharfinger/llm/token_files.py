@@ -31,7 +31,7 @@ MEMO, JOINED = 1_200_000, 2000
 BROADCAST_SHARDS = 200_000
 
 
-def hashed(words: list[str]) -> np.ndarray:
+def hashed(words: list[str] | np.ndarray) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
@@ -86,7 +86,7 @@ class Encoder:
 
     def look_up(self, words: pa.Array) -> np.ndarray:
         """Places of distinct words in starts and sizes."""
-        listed = words.to_pylist()
+        listed = words.to_numpy(zero_copy_only=False)
         keys = hashed(listed)
         at = np.searchsorted(self.keys, keys)
         known = np.append(self.keys, np.uint64(0))[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
