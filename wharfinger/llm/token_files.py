@@ -27,7 +27,7 @@ from wharfinger.llm import grammar
 from wharfinger.llm.words import slices, split_words, spread, sums, texts_of
 
 PART_BYTES, SLICE_BYTES = 32 << 20, 4 << 20
-MEMO, JOINED = 1_200_000, 2000
+MEMO, JOINED, AT_ONCE = 1_200_000, 2000, 1000
 BROADCAST_SHARDS = 200_000
 
 
@@ -59,15 +59,19 @@ class Encoder:
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Ids of each text. The library's results are far larger than the ids, so few are held at a time."""
+        out = []
+        for i in range(0, len(texts), AT_ONCE):
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+        return out
 
     def learn(self, words: list[str], letters: np.ndarray) -> list[str]:
         """Adds the ids of new words, in the order returned."""
         plain, rest = [w for w, x in zip(words, letters, strict=True) if x], [w for w, x in zip(words, letters, strict=True) if not x]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         sizes, flat, order = [], [], []
-        for g, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
+        for g in groups:
+            ids = self.whole([" ".join(g)])[0]
             ends = np.flatnonzero(self.last[ids])
             if len(ends) != len(g) or len(ids) and ends[-1] != len(ids) - 1:
                 rest += g
