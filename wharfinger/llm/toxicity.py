@@ -34,7 +34,7 @@ SLICE_BYTES = 4 << 20
 
 def word_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(features of all words one after the other, how many each word has)."""
-    raw = [f" {w} ".encode() for w in words.to_pylist()]
+    raw = [f" {w} ".encode() for w in words.to_numpy(zero_copy_only=False)]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
     chars = mix(np.frombuffer(b"".join(raw), np.uint8).astype(U64) + U64(1))
     features, owner = [], []

@@ -35,7 +35,7 @@ class Words:
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash for each word, computed once for each distinct one."""
-        by_code = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.vocab.to_pylist()), U64, len(self.vocab))
+        by_code = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.vocab.to_numpy(zero_copy_only=False)), U64, len(self.vocab))
         return by_code[self.codes] if len(by_code) else np.zeros(0, U64)
 
 
