@@ -235,6 +235,90 @@ def test_licences(spark):
     assert licence.resolve(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+PROSE = "The harbour was quiet that morning.\nThree ships waited for the tide, and the clerk wrote down their cargo."
+APACHE_HEADER = """# Copyright 2021 Jane Doe.
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License."""
+GPL_HEADER = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <http://www.gnu.org/licenses/>."""
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"""
+GPL_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+
+  The licenses for most software and other practical works are designed
+to take away your freedom to share and change the works.  By contrast,
+the GNU General Public License is intended to guarantee your freedom to
+share and change all versions of a program."""
+
+
+def test_licences_of_real_headers(spark):
+    """Standard headers, licence files, short notices and tags among prose and other notices;
+    other versions and sister licences are not taken for these."""
+    company = "Copyright 2021 Jane Doe.\nAll rights reserved."
+    cases = [
+        (APACHE_HEADER, "Apache-2.0"), (GPL_HEADER, "GPL-3.0"), (MIT_FILE, "MIT"), (MPL_HEADER, "MPL-2.0"), (GPL_FILE, "GPL-3.0"),
+        (GPL_HEADER.replace("GNU General", "GNU Affero General"), "AGPL-3.0"), (GPL_HEADER.replace("version 3", "version 2"), None), (GPL_HEADER.replace("GNU General", "GNU Lesser General"), None),
+        (f"{company}\n{licence.TEMPLATES['MIT']}", "MIT"), ("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("SPDX-License-Identifier: ISC", None),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", None), ("All rights reserved.", None),
+    ]
+    rows = [(2 * i + j, f"d{i}{j}/f", f"{PROSE}\n{t}\n{PROSE}" if j else t) for i, (t, _) in enumerate(cases) for j in (0, 1)]
+    got = {r["doc_id"]: r["own"] for r in licence.resolve(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    wrong = [(cases[i // 2][0][:50], i % 2, own) for i, own in sorted(got.items()) if own != cases[i // 2][1]]
+    assert len(got) == len(rows) and not wrong
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against the plain version of it, on its own input."""
     import corpus_pipeline

@@ -2,22 +2,37 @@
 
 A header is every line of a file that speaks of a licence. Headers and templates are sparse
 TF-IDF vectors over words, with document frequencies counted over all headers and templates;
-a file's own licence is the template of the highest cosine, if that is high enough. A
-directory's licence is that of the file in it with the highest cosine, its licence file.
+a file's own licence is the template of the highest cosine, if that is high enough.
+
+Headers that are like no template as a whole are read by passages: each run of neighbouring
+lines that speak of a licence or share word pairs with a licence's texts, each cue line and
+sentence for itself, and the file's opening. A passage is weighed against several texts of each licence
+(licence_texts.TEXTS), with document frequencies over these, so its score does not depend on
+its company; lines of copyright holders don't count. The best passage decides. A directory's licence is that of the file in it with the highest cosine, its licence file.
 Other files take the licence of the nearest directory above them that has one, found by
 joining each directory's ancestors with the directories that have a licence.
 
-Only built-in functions run here. Templates are the one broadcast; their number is fixed.
+Only built-in functions run here. Files with a cue, their lines, passages and own licences
+are saved, as each is read more than once. Templates, their texts and word pairs are the broadcasts;
+their number is fixed.
 
-Defined results: null text has no header; a file without a header, or with one that is like
-no template, has no licence of its own; ties go to the first template by name, then to the
+Defined results: null text has no header; a file without a header, or with one of which no
+passage is like a text, has no licence of its own; ties go to the first template by name, then to the
 least doc_id; repeated rows stay; a null path is in no directory and inherits nothing.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from wharfinger.llm.licence_texts import MARKS, TEXTS
+from wharfinger.llm.scratch import Scratch
 
 #: Short forms of licence notices, by SPDX id.
 TEMPLATES = {
@@ -32,6 +47,9 @@ TEMPLATES = {
 }
 CUE = r"(?i)licen[cs]e|copyright|all rights reserved|spdx-"
 LEAST_COSINE = 0.6
+HOLDER = r"^(copyright|c [0-9]{4}|all rights reserved)\b(?!.*(licen[cs]e|spdx|permi))"
+OPENING = 60  # words of a file's opening; the openings of texts are cut alike
+GAP = 2  # the next but one line still is a neighbour
 
 
 def words(text: Column) -> Column:
@@ -49,7 +67,9 @@ def own_licences(files: DataFrame, templates: dict[str, str] | None = None, leas
     spark = files.sparkSession
     templates = TEMPLATES if templates is None else templates
     known = spark.createDataFrame(sorted(templates.items()), "licence string, header string")
-    found = headers(files)
+    scratch = Scratch(spark)
+    spoken = scratch.save(files.where(F.col("text").rlike(CUE)).select("doc_id", "path", "text"), "spoken")
+    found = headers(spoken)
     kinds = found.select("header").groupBy("header").agg(F.count(F.lit(1)).alias("copies"))  # equal headers are weighed once
     tf = kinds.select("header", "copies", F.explode(words(F.col("header"))).alias("w")).groupBy("header", "copies", "w").agg(F.count(F.lit(1)).alias("tf"))
     ttf = known.select("licence", F.explode(words(F.col("header"))).alias("w")).groupBy("licence", "w").agg(F.count(F.lit(1)).alias("tf"))
@@ -63,7 +83,71 @@ def own_licences(files: DataFrame, templates: dict[str, str] | None = None, leas
     dot = a.join(F.broadcast(b), "w").groupBy("header", "licence").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
     cosine = dot.join(size, "header").join(F.broadcast(tsize), "licence").select("header", "licence", F.round(F.col("d") / (F.col("nx") * F.col("ny")), 6).alias("score"))
     best = cosine.groupBy("header").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("m")).select("header", F.col("m.licence").alias("licence"), (-F.col("m.s")).alias("score"))
-    return found.join(best.where(F.col("score") >= least), "header").select("doc_id", "path", "licence", "score")
+    as_whole = found.join(best.where(F.col("score") >= least), "header").select("doc_id", "path", "licence", "score")
+    rest = spoken.withColumn("k", F.sha2("text", 256))
+    rest = rest.join(as_whole.select(F.col("doc_id").alias("_d"), F.col("path").alias("_p")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("path").eqNullSafe(F.col("_p")), "left_anti")
+    rest = scratch.save(rest, "rest")
+    texts = {k: [v] for k, v in templates.items()} if templates is not TEMPLATES else TEXTS
+    found_in = by_passages(rest.select("k", "text").dropDuplicates(["k"]), texts, MARKS if texts is TEXTS else {}, least, scratch)
+    return scratch.save(as_whole.union(rest.join(found_in, "k").select("doc_id", "path", "licence", "score")), "own")
+
+
+def plain(text: str) -> list[str]:
+    """bare_words() of a template."""
+    return [w for w in (x.strip(".-") for x in re.split(r"[^a-z0-9.\-]+", text.lower())) if w]
+
+
+def bare_words(text: Column) -> Column:
+    """Words without the stops and dashes at their ends."""
+    return F.filter(F.transform(words(text), lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", "")), lambda w: F.length(w) > 0)
+
+
+def text_vectors(texts: dict[str, list[str]]) -> tuple[dict[str, float], list[tuple[str, int, str, float]], float]:
+    """Word weights, unit vectors (licence, text, word, weight), and the weight of other words."""
+    bags = [(k, Counter(w)) for k, each in sorted(texts.items()) for t in each for w in ([plain(t)] if len(plain(t)) <= OPENING else [plain(t), plain(t)[:OPENING]])]
+    df = Counter(w for _, bag in bags for w in bag)
+    idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
+    vectors = []
+    for i, (k, bag) in enumerate(bags):
+        size = math.sqrt(sum((n * idf[w]) ** 2 for w, n in bag.items()))
+        vectors += [(k, i, w, n * idf[w] / size) for w, n in bag.items()]
+    return idf, vectors, math.log(1 + len(bags)) + 1
+
+
+def by_passages(kinds: DataFrame, texts: dict[str, list[str]], marks: dict[str, str], least: float, scratch: Scratch) -> DataFrame:
+    """k, licence and score of the rows (k, text) with a passage like one of the texts."""
+    spark = kinds.sparkSession
+    idf, vectors, other = text_vectors(texts)
+    pairs = sorted({f"{a} {b}" for each in texts.values() for t in each for a, b in zip(plain(t), plain(t)[1:])})
+    weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "w string, idf double"))
+    known = F.broadcast(spark.createDataFrame(vectors, "licence string, t int, w string, y double"))
+    pairs = F.broadcast(spark.createDataFrame([(p,) for p in pairs], "pair string").withColumn("hit", F.lit(1)))
+    must = F.broadcast(spark.createDataFrame([(k, marks.get(k, "")) for k in sorted(texts)], "licence string, mark string"))
+    line = F.transform(F.split("text", r"\r?\n"), lambda x: F.struct(x.alias("raw"), F.array_join(bare_words(x), " ").alias("s")))
+    counted = F.filter(line, lambda x: (x["s"] != "") & ~x["s"].rlike(HOLDER))
+    lines = kinds.select("k", F.posexplode(counted).alias("pos", "x")).select("k", "pos", "x.raw", "x.s", F.col("x.raw").rlike(CUE).alias("cue"))
+    lines = scratch.save(lines, "lines")
+    w = F.split("s", " ")
+    two = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+    seen = lines.where(F.size(w) > 1).select("k", "pos", F.explode(two).alias("pair")).join(pairs, "pair", "left")
+    like = seen.groupBy("k", "pos").agg((F.count("hit") * 2 >= F.count(F.lit(1))).alias("like"))
+    near = lines.join(like, ["k", "pos"], "left").where(F.col("cue") | F.col("like"))
+    ordered = W.partitionBy("k").orderBy("pos")
+    near = near.withColumn("new", (F.col("pos") - F.lag("pos").over(ordered) > GAP).cast("int")).withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(ordered))
+    in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ")
+    runs = near.groupBy("k", "run").agg(in_order.alias("p"))
+    sentences = F.transform(F.split("raw", r"[.;!?]\s+"), lambda x: F.array_join(bare_words(x), " "))
+    alone = lines.where("cue").select("k", F.explode(F.array_union(F.array("s"), sentences)).alias("p"))
+    opening = lines.where(F.col("pos") < OPENING).groupBy("k").agg(F.array_join(F.slice(F.split(in_order, " "), 1, OPENING), " ").alias("p"))
+    passages = scratch.save(runs.select("k", "p").union(alone).union(opening).where("p <> ''").distinct(), "passages")
+    tf = passages.select("p").distinct().select("p", F.explode(F.split("p", " ")).alias("w")).groupBy("p", "w").agg(F.count(F.lit(1)).alias("tf"))
+    x = tf.join(weights, "w", "left").select("p", "w", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("x"))
+    size = x.groupBy("p").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nx"))
+    dot = x.join(known, "w").groupBy("p", "licence", "t").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
+    cosine = dot.join(size, "p").select("p", "licence", F.round(F.col("d") / F.col("nx"), 6).alias("score")).where(F.col("score") >= least)
+    cosine = cosine.join(must, "licence").where(F.expr("p rlike mark"))
+    best = passages.join(cosine, "p").groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("m"))
+    return best.select("k", F.col("m.licence").alias("licence"), (-F.col("m.s")).alias("score"))
 
 
 def directory(path: Column) -> Column:
