@@ -102,10 +102,22 @@ def authority_merge(spark, d):
     return names.merge_authorities(a, s.where("s_suppkey < 8").select(F.upper("s_name").alias("variant"), F.lit("B").alias("canonical")))
 
 
+@query(
+    """WITH s AS (SELECT s_name AS variant, 'A' AS canonical, 0 AS p FROM supplier UNION ALL SELECT upper(s_name), 'B', 1 FROM supplier UNION ALL SELECT 'New ' || s_name, 'B', 1 FROM supplier),
+f AS (SELECT variant, canonical, 0 AS q, p FROM s UNION ALL SELECT upper(variant), canonical, 1, p FROM s UNION ALL SELECT lower(variant), canonical, 1, p FROM s)
+SELECT variant, canonical FROM f QUALIFY row_number() OVER (PARTITION BY variant ORDER BY q, p, canonical) = 1"""
+)
+def authority_merge_all(spark, d):
+    """All suppliers; the second source has them in capitals, and further names."""
+    s = table(spark, d, "supplier")
+    more = s.select(F.explode(F.array(F.upper("s_name"), F.concat(F.lit("New "), "s_name"))).alias("variant"), F.lit("B").alias("canonical"))
+    return names.merge_authorities(s.select(F.col("s_name").alias("variant"), F.lit("A").alias("canonical")), more)
+
+
 @query()
 def mojibake(spark, d):
     """Texts of the documents spoilt as if read in Latin-1, and repaired."""
-    text = F.substring("text", 1, 200)
+    text = F.col("text")
     spoilt = F.decode(text.cast("binary"), "ISO-8859-1")
     return table(spark, d, "documents").select("doc_id", spoilt.alias("spoilt"), names.repair_mojibake(spoilt).alias("repaired"), text.alias("text"))
 

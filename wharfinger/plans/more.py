@@ -121,6 +121,19 @@ def coordinate_merge(spark, d):
     return names.merge_coordinates(a, t.where("s_suppkey < 9").select(F.upper("s_name").alias("name"), F.col("s_acctbal").alias("lat"), F.lit(2.0).alias("lon")))
 
 
+@query(
+    """WITH f AS (SELECT s_name AS name, s_acctbal AS lat, 1.0::DOUBLE AS lon, 0 AS p FROM supplier UNION ALL SELECT upper(s_name), s_acctbal, 2.0, 1 FROM supplier UNION ALL SELECT 'New ' || s_name, s_acctbal, 2.0, 1 FROM supplier),
+g AS (SELECT name, lat, lon, 0 AS q, p FROM f UNION ALL SELECT upper(name), lat, lon, 1, p FROM f UNION ALL SELECT lower(name), lat, lon, 1, p FROM f)
+SELECT name, lat, lon FROM g QUALIFY row_number() OVER (PARTITION BY name ORDER BY q, p, lat, lon) = 1"""
+)
+def coordinate_merge_all(spark, d):
+    """All suppliers; the second source has them in capitals, and further names."""
+    t = table(spark, d, "supplier")
+    a = t.select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("lat"), F.lit(1.0).alias("lon"))
+    more = t.select(F.explode(F.array(F.upper("s_name"), F.concat(F.lit("New "), "s_name"))).alias("name"), F.col("s_acctbal").alias("lat"), F.lit(2.0).alias("lon"))
+    return names.merge_coordinates(a, more)
+
+
 def written(spark, d, kind):
     """Line items written out as lines of the arrival columns."""
     q, rows = F.col("quantity").cast("int").cast("string"), arrivals(spark, d)
