@@ -1,8 +1,11 @@
 """Queries that have to see whole tables and whole texts."""
 
+import difflib
+
 from conftest import SF
 
 from wharfinger import catalog
+from wharfinger.operators import names
 
 
 def test_mojibake_of_whole_texts(spark):
@@ -19,3 +22,18 @@ def test_merges_of_all_suppliers(spark):
     n = spark.read.parquet(f"{SF}/supplier.parquet").select("s_name").distinct().count()
     for name in ("authority_merge_all", "coordinate_merge_all"):
         assert catalog.QUERIES[name](spark, SF).count() == 3 * 2 * n
+
+
+def test_suggestions_like_plain_difflib(spark):
+    known = ["Bordeaux", "Riga", "Memel", "Gothenburg", "Nantes", "St. John"]
+    rows = [("Dordeaux", 12), ("bordeaux", 40), ("Bordeaux", 99), ("Gotenburg", 10), ("othenburg", 11), ("Nante", 9), ("Mantes", 30), ("Xt. John", 15), ("Odd", 50), ("", 20)]
+    want = set()
+    for name, n in rows:
+        if n >= 10 and name.lower() not in {k.lower() for k in known}:
+            score, best = min((-difflib.SequenceMatcher(None, name.lower(), k.lower()).ratio(), k) for k in known)
+            if -score >= 0.85:
+                want.add((name, n, best, round(-score, 6)))
+    got = names.suggestions(spark.createDataFrame(rows, "port string, n long"), "port", spark.createDataFrame([(k,) for k in known], "name string"))
+    assert {tuple(r) for r in got.collect()} == want and ("Dordeaux", 12, "Bordeaux", 0.875) in want
+    settled = {v.lower() for v in ("NATION_0", "nation_1", "Nation 2.", "NATION_2", "NATION_3", "nation_4", "NATION_5", "nation_6", "NATION_8")}
+    assert not settled & {r["name"].lower() for r in catalog.QUERIES["port_suggestions"](spark, SF).collect()}

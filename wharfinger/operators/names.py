@@ -113,9 +113,11 @@ def repair_mojibake(text: Column) -> Column:
     return F.when(single, F.coalesce(F.try_validate_utf8(F.encode(F.when(single, text), "ISO-8859-1").cast("string")), text)).otherwise(text)
 
 
-def suggestions(rows: DataFrame, name: str, known: DataFrame, least: int = 10, ratio: float = 0.85) -> DataFrame:
+def suggestions(rows: DataFrame, name: str, known: DataFrame, least: int = 10, ratio: float = 0.85, settled: DataFrame | None = None) -> DataFrame:
     """For names that occur often enough the known name most like each, if it is like enough.
-    known is a small authority: it goes to the tasks whole, blocked by the first letter."""
+    Names that are settled in any case (known ones, if not given) need none. Every known name is
+    compared but those whose length alone keeps the ratio, twice the common characters over all
+    of them, below the limit. Ties go to the first known name."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -123,7 +125,10 @@ def suggestions(rows: DataFrame, name: str, known: DataFrame, least: int = 10, r
             yield b
 
     often = rows.where(F.col("n") >= least).select(F.col(name).alias("name"), "n")
-    pairs = often.join(known.select(F.col("name").alias("known")).distinct(), F.lower(F.substring("name", 1, 1)) == F.lower(F.substring("known", 1, 1)))
+    done = (known if settled is None else settled).select(F.lower("name").alias("_done")).distinct()
+    often = often.join(done, F.lower("name") == F.col("_done"), "left_anti")
+    a, b = F.length(F.lower("name")), F.length(F.lower("known"))
+    pairs = often.join(known.select(F.col("name").alias("known")).distinct(), 2 * F.least(a, b) >= F.lit(ratio - 1e-9) * (a + b))
     best = F.min(F.struct((-F.col("ratio")).alias("m"), "known"))
     found = pairs.mapInPandas(score, "name string, n long, known string, ratio double").where(F.col("ratio") >= ratio).groupBy("name", "n").agg(best.alias("b"))
     return found.select("name", "n", F.col("b.known").alias("suggestion"), F.round(-F.col("b.m"), 6).alias("ratio"))

@@ -105,9 +105,10 @@ def port_coverage(spark, d):
 
 @query()
 def port_suggestions(spark, d):
-    m, _, geo = authority(spark)
+    m, errors, geo = authority(spark)
     known = m.select(F.col("canonical").alias("name")).union(geo.select("name"))
-    return names.suggestions(c.count_by(arrivals(spark, d).select(F.col("origin").alias("port")), "port"), "port", known)
+    settled = m.select(F.col("variant").alias("name")).union(errors.select("name")).union(geo.select("name"))
+    return names.suggestions(c.count_by(arrivals(spark, d).select(F.col("origin").alias("port")), "port"), "port", known, settled=settled)
 
 
 @query(
