@@ -1,11 +1,14 @@
 """Queries that have to see whole tables and whole texts."""
 
 import difflib
+import itertools
 
+import numpy as np
 from conftest import SF
 
 from wharfinger import catalog
 from wharfinger.operators import names
+from wharfinger.plans import more, statistics
 
 
 def test_mojibake_of_whole_texts(spark):
@@ -37,3 +40,32 @@ def test_suggestions_like_plain_difflib(spark):
     assert {tuple(r) for r in got.collect()} == want and ("Dordeaux", 12, "Bordeaux", 0.875) in want
     settled = {v.lower() for v in ("NATION_0", "nation_1", "Nation 2.", "NATION_2", "NATION_3", "nation_4", "NATION_5", "nation_6", "NATION_8")}
     assert not settled & {r["name"].lower() for r in catalog.QUERIES["port_suggestions"](spark, SF).collect()}
+
+
+def test_up_to_four_breaks(spark, monkeypatch):
+    """The queries on a series with three breaks, against all choices of breaks."""
+    level = np.repeat([10.0, 60.0, 20.0, 90.0], 9)
+    v = level + np.random.default_rng(1).normal(0, 1, len(level))
+    n = len(v)
+    ssr = {}
+    for i in range(n):
+        for j in range(i + 8, n + 1):
+            t = np.arange(i, j)
+            ssr[i, j] = float(((v[i:j] - np.polyval(np.polyfit(t, v[i:j], 1), t)) ** 2).sum())
+    tries = []
+    for m in range(5):
+        for at in itertools.combinations(range(1, n), m):
+            ends = (0, *at, n)
+            if all(e in ssr for e in zip(ends, ends[1:])):
+                cost = sum(ssr[e] for e in zip(ends, ends[1:]))
+                tries.append((n * np.log(cost / n) + (3 * m + 2) * np.log(n), m, ",".join(map(str, at))))
+    bic, m, at = min(tries)
+    series = spark.createDataFrame([("X", t + 1, float(x)) for t, x in enumerate(v)], "origin_region string, t long, v double")
+    monkeypatch.setattr(statistics, "monthly", lambda spark, d: series)
+    monkeypatch.setattr(more, "monthly", lambda spark, d: series)
+    [r] = catalog.QUERIES["best_break_bic_4"](spark, SF).collect()
+    assert m == 3 and (r["m"], r["breaks"]) == (m, at) and abs(r["bic"] - bic) < 1e-3
+    ends = [0, *map(int, at.split(",")), n]
+    got = sorted((r["segment"], r["n"], r["slope"]) for r in catalog.QUERIES["segment_slopes_4"](spark, SF).collect())
+    assert [g[:2] for g in got] == [(k, b - a) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
+    assert all(abs(g[2] - np.polyfit(np.arange(a, b), v[a:b], 1)[0]) < 1e-5 for g, a, b in zip(got, ends, ends[1:]))

@@ -27,10 +27,18 @@ def segment_slopes(spark, d):
     return s.segment_slopes(monthly(spark, d), one, "t", "v", "origin_region")
 
 
+@query()
+def segment_slopes_4(spark, d):
+    """Of the segments between the breaks, 0 to 4, that BIC chooses."""
+    best = s.by_bic(s.best_breaks(s.segment_errors(monthly(spark, d), "t", "v", "origin_region", least=8), "origin_region", 4), "origin_region")
+    breaks = F.transform(F.filter(F.split("breaks", ","), lambda b: b != ""), lambda b: b.cast("int"))
+    return s.segment_slopes(monthly(spark, d), best.withColumn("breaks", breaks), "t", "v", "origin_region")
+
+
 @query()
 def bootstrap_trend(spark, d):
     g = arrivals(spark, d).groupBy("year", "issue").agg(F.count_if(F.col("origin_region") == "ASIA").alias("x"), F.count(F.lit(1)).alias("n"))
-    return s.bootstrap_trend(g, "issue", "year", "x", "n", 400, 10, 390)
+    return s.bootstrap_trend(g, "issue", "year", "x", "n", 1000, 25, 975)
 
 
 TWO = "x AS (SELECT year, avg((origin_region = 'ASIA')::INT::DOUBLE) AS v FROM arr WHERE NOT steam AND year < 2001 GROUP BY year), z AS (SELECT year, avg((origin_region = 'ASIA')::INT::DOUBLE) AS v FROM arr WHERE steam AND year > 1995 GROUP BY year), both_ AS (SELECT year, x.v AS a, z.v AS b FROM x FULL JOIN z USING (year))"

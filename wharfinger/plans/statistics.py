@@ -107,6 +107,13 @@ def best_break_bic(spark, d):
     return s.by_bic(s.best_breaks(e, "origin_region", 1), "origin_region")
 
 
+@query()
+def best_break_bic_4(spark, d):
+    """Among 0 to 4 breaks."""
+    e = s.segment_errors(monthly(spark, d), "t", "v", "origin_region", least=8)
+    return s.by_bic(s.best_breaks(e, "origin_region", 4), "origin_region")
+
+
 @query(
     f"""WITH {SEGMENTS}, n AS (SELECT origin_region, max(k) AS n FROM o GROUP BY ALL),
 b AS (SELECT x.origin_region, x.j AS at, x.ssr + y.ssr AS ssr FROM e x JOIN e y ON x.origin_region = y.origin_region AND y.i = x.j + 1 JOIN n ON n.origin_region = x.origin_region WHERE x.i = 1 AND y.j = n)
