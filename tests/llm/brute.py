@@ -84,6 +84,24 @@ def base_rules(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated)
 
 
+def kept(text, rules):
+    """The verdict of the quality rules, line by line."""
+    n, _, _, _, repeated = base_rules(text)
+    if n < rules.min_words or 100 * repeated > rules.max_repeat_percent * n:
+        return False
+    seen, lost, total = set(), 0, 0
+    for line in (text or "").split("\n"):
+        if not words(line):
+            continue
+        size = len(line.encode())
+        total += size
+        bad = not re.search(rules.ends, line) or any(re.search(x, line) for x in (rules.shouting, rules.navigation, rules.boilerplate, rules.code))
+        if bad or line in seen:
+            lost += size
+        seen.add(line)
+    return lost <= rules.max_lost * total
+
+
 def tokens(docs, tokenizer, end_id=1):
     """[(doc_id, start, n, crc)] in doc_id order."""
     out, start = [], 0

@@ -70,6 +70,34 @@ def test_quality_rules(spark):
     assert quality.score_documents(empty(spark)).count() == quality.clean_documents(empty(spark)).count() == 0
 
 
+def test_quality_rules_by_slices(spark):
+    """Slices of a few bytes and one text of 20 MB: the same figures and the same documents."""
+    docs = table(spark)
+    whole, cut = ({r["doc_id"]: tuple(r) for r in quality.score_documents(docs, slice_bytes=n).collect()} for n in (4 << 20, 50))
+    assert whole == cut
+    a, b = (sorted(map(tuple, quality.clean_documents(docs, slice_bytes=n).collect()), key=str) for n in (4 << 20, 50))
+    assert a == b
+    line = "A sentence that ends as it should. "
+    long = spark.createDataFrame([(1, line * 600_000, "en", None, 0)], DOCS)
+    r = quality.score_documents(long).first()
+    assert (r["n_words"], r["n_lines"], r["base_failed"]) == (7 * 600_000, 1, True)
+
+
+def test_verdict_of_the_rules_by_brute_force(spark):
+    """kept from lines judged one by one with Python's regular expressions."""
+    docs = table(spark)
+    got = {r["doc_id"]: r["kept"] for r in quality.score_documents(docs).collect()}
+    for doc_id, text in pairs(docs):
+        if len(text or "") <= 50000:
+            assert got[doc_id] == brute.kept(text, quality.LineRules()), doc_id
+
+
+@pytest.mark.parametrize("line", ["Startseite", "Über uns", "Mentions légales", "Lire la suite", "Aviso legal", "Read more »", "Alle Rechte vorbehalten.", "Todos los derechos reservados."])
+def test_menus_and_notices_of_four_languages(line):
+    out, cleaned = quality.measure(pa.array([f"A fine sentence.\n{line}"], pa.large_string()), quality.LineRules())
+    assert cleaned.to_pylist() == ["A fine sentence."]
+
+
 def test_lines_that_fail():
     good, bad = "A fine sentence stands here.", ["no end mark here", "Home | About | Contact | Help", "All rights reserved.", "if (x) { y; }.", "WOW!! NOW!! BUY!! GO!!", "Log in"]
     out, cleaned = quality.measure(pa.array(["\n".join([good, *bad, good])], pa.large_string()), quality.LineRules())
@@ -159,6 +187,9 @@ def test_decontamination(spark, limit):
     nothing = bench.where("item_id < 0")
     assert decontam.contamination(docs, nothing).where("contaminated").count() == 0
     assert decontam.contamination(empty(spark), bench).count() == 0
+    odd = spark.createDataFrame([(None, PASSAGE), (5, PASSAGE), (5, PASSAGE)], "doc_id long, text string")
+    for r in decontam.contamination(odd, spark.createDataFrame([(None, PASSAGE)], "item_id long, text string"), limit=limit).collect():
+        assert (r["n_hit"], r["n_items"], r["contaminated"]) == (60, 1, True)
 
 
 def test_longest_matches(spark):

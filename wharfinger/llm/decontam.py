@@ -6,11 +6,13 @@ interval that is left after a window's words holds all places of the window; goi
 it is empty gives the longest match. Suffixes whose next words cannot all be benchmark
 words in benchmark order are left out of the array first: they match no window.
 
-Documents are never shuffled. The benchmark is handed out in blocks of at most
-BLOCK_BYTES of text, one pass of the documents for each, whatever its size.
+Documents are not shuffled. The benchmark is handed out in blocks of about BLOCK_BYTES of text,
+one pass of the documents for each; the driver and a task hold one block at a time. With
+several blocks what a pass finds is saved, and a document's spans are put together at the end.
 
 Defined results: null or wordless text has no words and no hits; an item without words is
-in nothing; repeated rows are judged each for itself; items that share an id count once.
+in nothing; repeated rows are judged each for itself; items that share an id count once; a null
+item_id counts as the empty string; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wharfinger.llm.words import Words, covered, pair, split_words, spread, sums, texts_of
+from wharfinger.llm.scratch import Scratch
+from wharfinger.llm.words import Words, covered, pair, sliced, split_words, spread, sums, texts_of
 
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
 SPANS = "array<struct<doc_word:int,n_words:int,item_id:string,item_word:int>>"
 
@@ -43,8 +47,8 @@ def lower_words(texts: pa.Array) -> Words:
     """Words are runs of a-z, 0-9 and everything outside ASCII, after A-Z became a-z."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = texts.buffers()[2]
-    plain = _BYTES[np.frombuffer(data, np.uint8)] if data else np.zeros(0, np.uint8)
-    return split_words(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(plain)))
+    plain = _BYTES[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]] if data else np.zeros(0, np.uint8)
+    return split_words(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(plain)))
 
 
 @dataclass
@@ -180,47 +184,60 @@ def search(w: Words, bench: Benchmark) -> Found:
     return Found(doc, place - doc - w.offsets[doc], n, item, item_at - bench.starts[item])
 
 
-def blocks_of(benchmark: DataFrame, n: int, limit: int = BLOCK_BYTES) -> list:
-    """The benchmark in broadcast blocks of about `limit` bytes of text at most."""
-    spark = benchmark.sparkSession
+def split_benchmark(benchmark: DataFrame, limit: int) -> list[DataFrame]:
+    """The items (item_id, text) in blocks of about `limit` bytes of text. Each is collected,
+    broadcast and released for itself, so the driver never holds more than one."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = total // limit + 1
-    out = []
-    for k in range(parts):
-        block = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        rows = block.toArrow()
-        index = Benchmark.of(rows["item_id"].to_pylist(), texts_of(rows["text"].combine_chunks()), n)
-        out.append(spark.sparkContext.broadcast(index))
-    return out
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items for k in range(parts)]
+
+
+def handed_out(block: DataFrame, n: int) -> Broadcast:
+    """The index of one block, for all tasks."""
+    rows = block.toArrow()
+    index = Benchmark.of(rows["item_id"].to_pylist(), texts_of(pa.chunked_array(rows["text"].chunks, pa.string()).combine_chunks()), n)
+    return block.sparkSession.sparkContext.broadcast(index)
+
+
+def found_spans(rows: DataFrame, bench: Broadcast, kind: str, every: bool) -> DataFrame:
+    """row, doc_id, n_words and spans of one block's items; every: also of rows without any."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = bench.value
+        for b in (part for whole in batches for part in sliced(whole)):
+            w = lower_words(texts_of(b["text"]))
+            f = search(w, items)
+            order = np.argsort(f.doc, kind="stable")
+            ids = pa.array(items.ids, pa.string()).take(pa.array(f.item[order]))
+            values = pa.StructArray.from_arrays([pa.array(f.word[order], pa.int32()), pa.array(f.n[order], pa.int32()), ids, pa.array(f.item_word[order], pa.int32())], ["doc_word", "n_words", "item_id", "item_word"])
+            counts = np.bincount(f.doc, minlength=len(b))
+            spans = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), values)
+            out = pa.RecordBatch.from_arrays([b["row"], b["doc_id"], pa.array(w.counts, pa.int64()), spans], ["row", "doc_id", "n_words", "spans"])
+            yield out if every else out.filter(pa.array(counts > 0))
+
+    return rows.mapInArrow(work, f"row long, doc_id {kind}, n_words long, spans {SPANS}")
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words and spans for each row: every place of an item's window of n words (of
     all its words, if it has fewer), with the length of the longest match from there on."""
-    kind = docs.schema["doc_id"].dataType
-    out = docs.select("doc_id", F.col("text").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"))
-    schema = f"doc_id {kind.simpleString()}, text string, n_words long, spans {SPANS}"
-    blocks = blocks_of(benchmark, n, limit)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    blocks = split_benchmark(benchmark, limit)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if len(blocks) == 1:
+        return found_spans(rows, handed_out(blocks[0], n), kind, True).select("doc_id", "n_words", "spans")
+    scratch = Scratch(docs.sparkSession)
+    rows, found = scratch.save(rows, "rows"), []
     for k, block in enumerate(blocks):
-
-        def work(batches: Iterator[pa.RecordBatch], block=block, last=k == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
-            bench = block.value
-            for b in batches:
-                w = lower_words(texts_of(b["text"]))
-                f = search(w, bench)
-                order = np.argsort(f.doc, kind="stable")
-                ids = pa.array(bench.ids, pa.string()).take(pa.array(f.item[order]))
-                values = pa.StructArray.from_arrays([pa.array(f.word[order], pa.int32()), pa.array(f.n[order], pa.int32()), ids, pa.array(f.item_word[order], pa.int32())], ["doc_word", "n_words", "item_id", "item_word"])
-                counts = np.bincount(f.doc, minlength=len(b))
-                new = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), values)
-                if k:
-                    new = pa.array([x + y for x, y in zip(b["spans"].to_pylist(), new.to_pylist(), strict=True)], new.type)
-                text = pa.nulls(len(b), pa.string()) if last else b["text"]
-                yield pa.RecordBatch.from_arrays([b["doc_id"], text, pa.array(w.counts, pa.int64()), new], ["doc_id", "text", "n_words", "spans"])
-
-        out = out.mapInArrow(work, schema)
-    return out.select("doc_id", "n_words", "spans")
+        bench = handed_out(block, n)
+        found.append(scratch.save(found_spans(rows, bench, kind, k == 0), f"found{k}"))
+        bench.destroy()
+    each = found[0]
+    for x in found[1:]:
+        each = each.union(x)
+    each = each.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return each.select("doc_id", "n_words", "spans")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -251,15 +268,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = BLOCK_BYTES) -> DataFrame:
     """The rows, all columns, in which no item's window occurs."""
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
-    for block in blocks_of(benchmark, n, limit):
+    blocks = split_benchmark(benchmark, limit)
+    scratch = Scratch(docs.sparkSession)
+    for k, block in enumerate(blocks):
+        bench = handed_out(block, n)
 
-        def work(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            bench = block.value
-            for b in batches:
-                f = search(lower_words(texts_of(b["text"])), bench)
+        def work(batches: Iterator[pa.RecordBatch], bench=bench) -> Iterator[pa.RecordBatch]:
+            for b in (part for whole in batches for part in sliced(whole)):
+                f = search(lower_words(texts_of(b["text"])), bench.value)
                 clean = np.ones(len(b), bool)
                 clean[f.doc] = False
                 yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(work, schema)
+        if len(blocks) > 1:
+            docs = scratch.save(docs, f"clean{k}")
+            bench.destroy()
+            scratch.drop(f"clean{k - 1}")
     return docs

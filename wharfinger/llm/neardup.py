@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from wharfinger.llm.components import absorb, components
 from wharfinger.llm.scratch import Scratch
-from wharfinger.llm.words import U64, mix, pair, split_words, spread, texts_of, windows
+from wharfinger.llm.words import SLICE_BYTES, U64, mix, pair, slices, split_words, spread, texts_of, windows
 
 PLACES, TREES, SMALL, STAR = 64, 14, 16, 3
 BROADCAST_NODES = 500_000  # ids of nodes, 8 bytes each
@@ -48,6 +48,12 @@ _EVEN_BITS = U64(0x5555555555555555)
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, counts, hashes) of up to CHUNK documents: sorted distinct shingles."""
+    for i, j in slices(texts, SLICE_BYTES):
+        for a, n, key in _sets(texts.slice(i, j - i), k):
+            yield i + a, n, key
+
+
+def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     w = split_words(pc.ascii_lower(texts))
     h = w.hashes()
     for a in range(0, len(texts), CHUNK):

@@ -2,10 +2,12 @@
 loses too much of its text goes as well.
 
 Everything is decided within one document, so this is one pass over the table without a
-shuffle. Rules run once for each distinct line of a batch.
+shuffle. A task works on slices of SLICE_BYTES of text; rules run once for each distinct line
+of a slice.
 
 Defined results: null text is the empty text; an empty text has no words and fails the base
-rules; repeated rows are judged each for itself; other columns pass through untouched.
+rules; a text of any length is judged whole, in a slice of its own; repeated rows are judged
+each for itself; a null doc_id stays null; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -19,17 +21,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from wharfinger.llm.words import same, split_words, sums, texts_of, window_starts
+from wharfinger.llm.words import SLICE_BYTES, same, sliced, split_words, sums, texts_of, window_starts
+
+
+#: What a line of a menu says, and notices that sites repeat.
+MENU = "|".join((
+    r"home|menu|search|log ?in|sign (?:in|up)|register|next(?: page)?|previous(?: page)?|read more|back to top|click here|skip to (?:main )?content|share (?:this|on)\b.*|follow us\b.*|about(?: us)?|contact(?: us)?",
+    r"startseite|suche|anmelden|registrieren|weiterlesen|mehr erfahren|nach oben|weiter|zurück|nächste seite|vorherige seite|zum inhalt springen|teilen\b.*|folgen sie uns\b.*|über uns|kontakt|impressum|datenschutz(?:erklärung)?",
+    r"accueil|recherche|rechercher|connexion|se connecter|s'inscrire|inscription|page suivante|suivant|précédent|page précédente|lire la suite|en savoir plus|haut de page|retour en haut|aller au contenu|partager\b.*|suivez-nous\b.*|à propos|qui sommes-nous|nous contacter|mentions légales",
+    r"inicio|buscar|iniciar sesión|registrarse|regístrate|siguiente|anterior|página siguiente|página anterior|leer más|saber más|volver arriba|ir al contenido|saltar al contenido|compartir\b.*|síguenos\b.*|sobre nosotros|quiénes somos|contacto|contáctenos|aviso legal",
+))
+NOTICES = "|".join((
+    r"\ball rights reserved\b|\b(?:privacy|cookie) policy\b|\bterms (?:of use|of service|and conditions)\b|\blorem ipsum\b|\benable javascript\b|\buses? cookies\b|\bsubscribe to our newsletter\b|\bpowered by \w+\s*$",
+    r"\balle rechte vorbehalten\b|\bdatenschutzerklärung\b|\ballgemeine geschäftsbedingungen\b|\b(?:nutzt|verwendet|verwenden) cookies\b|\bjavascript aktivieren\b|\bnewsletter abonnieren\b",
+    r"\btous droits réservés\b|\bpolitique de confidentialité\b|\bconditions (?:générales )?d'utilisation\b|\butilise des cookies\b|\bactiver javascript\b|\babonnez-vous à (?:notre|la) newsletter\b",
+    r"\btodos los derechos reservados\b|\bpolítica de (?:privacidad|cookies)\b|\btérminos y condiciones\b|\b(?:utiliza|usa) cookies\b|\bactivar? javascript\b|\bsuscríbete a (?:nuestro|la) (?:boletín|newsletter)\b",
+))
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """Patterns are RE2. A line fails if it lacks `ends`, or matches one of the others."""
+    """Patterns are RE2. A line fails if it lacks `ends`, or matches one of the others. Words of
+    menus and boilerplate are those of English, German, French and Spanish sites."""
 
     ends: str = r"""[.!?…。！？:;,)\]"'”’»]\s*$"""
     shouting: str = r"(?:(?:!!|\?\?)[^!?]*){4}|(?:[#*$%&<>]{2,}[^#*$%&<>]*){4}|[!?*#=_~-]{12}"
-    navigation: str = r"(?i)^\s*(?:home|menu|search|log ?in|sign (?:in|up)|register|next(?: page)?|previous(?: page)?|read more|back to top|click here|skip to (?:main )?content|share (?:this|on)\b.*|follow us\b.*|about(?: us)?|contact(?: us)?)[\s.!:»>]*$|(?:[^|>»·\n]{1,40}\s[|>»·]\s){3}"
-    boilerplate: str = r"(?i)\ball rights reserved\b|\b(?:privacy|cookie) policy\b|\bterms (?:of use|of service|and conditions)\b|\blorem ipsum\b|\benable javascript\b|\buses? cookies\b|\bsubscribe to our newsletter\b|\bpowered by \w+\s*$"
+    navigation: str = rf"(?i)^\s*(?:{MENU})[\s.!:»>]*$|(?:[^|>»·\n]{{1,40}}\s[|>»·]\s){{3}}"
+    boilerplate: str = rf"(?i){NOTICES}"
     code: str = r"[{}]"
     drop_repeated: bool = True
     max_lost: float = 0.5
@@ -81,11 +99,11 @@ def measure(texts: pa.Array, rules: LineRules) -> tuple[dict[str, np.ndarray], p
     return out, cleaned
 
 
-def score_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+def score_documents(docs: DataFrame, rules: LineRules = LineRules(), slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id and METRICS for each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, slice_bytes)):
             out, _ = measure(texts_of(b["text"]), rules)
             yield pa.RecordBatch.from_arrays([b["doc_id"], *map(pa.array, out.values())], ["doc_id", *out])
 
@@ -93,15 +111,16 @@ def score_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, {METRICS}")
 
 
-def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+def clean_documents(docs: DataFrame, rules: LineRules = LineRules(), slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The kept documents, all columns, without the lines that failed; n_chars follows."""
     fields = [f.name for f in docs.schema.fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in sliced(whole, slice_bytes)):
             out, cleaned = measure(texts_of(b["text"]), rules)
-            new = {"text": cleaned.cast(pa.string()), "n_chars": pc.utf8_length(cleaned).cast(pa.int64())}
-            whole = pa.RecordBatch.from_arrays([new[c].cast(b.schema.field(c).type) if c in new else b[c] for c in fields], schema=b.schema)
-            yield whole.filter(pa.array(out["kept"]))
+            kept = pa.array(out["kept"])
+            cleaned, b = cleaned.filter(kept), b.filter(kept)
+            new = {"text": cleaned, "n_chars": pc.utf8_length(cleaned)}
+            yield pa.RecordBatch.from_arrays([new[c].cast(b.schema.field(c).type) if c in new else b[c] for c in fields], schema=b.schema)
 
     return docs.mapInArrow(work, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))

@@ -16,7 +16,9 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         context = spark.sparkContext
-        if context.getCheckpointDir() is None:  # as in tests: no cluster has named a folder
+        if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):  # each machine would write to a disk of its own
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="wharfinger"))
         self.path = f"{context.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
         atexit.register(self.drop)

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wharfinger.llm import grammar
-from wharfinger.llm.words import slices, split_words, spread, sums, texts_of
+from wharfinger.llm.words import SLICE_BYTES, slices, split_words, spread, sums, texts_of
 
-PART_BYTES, SLICE_BYTES = 32 << 20, 4 << 20
+PART_BYTES = 32 << 20
 MEMO, JOINED, AT_ONCE = 1_200_000, 2000, 1000
 BROADCAST_SHARDS = 200_000
 

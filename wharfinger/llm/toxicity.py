@@ -25,11 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfinger.llm.words import U64, mix, pair, slices, split_words, spread, texts_of, window_starts, windows
+from wharfinger.llm.words import SLICE_BYTES, U64, mix, pair, slices, split_words, spread, texts_of, window_starts, windows
 
 BITS, SHORTEST, LONGEST = 18, 3, 5
 SAMPLE_ROWS, ALPHA, L2, STEPS = 2000, 1.0, 1.0, 60
-SLICE_BYTES = 4 << 20
 
 
 def word_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:

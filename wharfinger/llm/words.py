@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
+SLICE_BYTES = 4 << 20  # of text that a task works on at once
 _M1, _M2, _M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
@@ -130,6 +131,13 @@ def same(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, first
 
 
+def sliced(batch: pa.RecordBatch, limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `limit` bytes of text at most, so that a task's memory
+    follows the slice, not the batch; a longer text is a part by itself."""
+    for a, b in slices(texts_of(batch[column]), limit):
+        yield batch.slice(a, b - a)
+
+
 def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` bytes at most."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
