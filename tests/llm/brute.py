@@ -110,3 +110,39 @@ def tokens(docs, tokenizer, end_id=1):
         out.append((doc_id, start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     return out
+
+
+def gram_bucket(gram, bits):
+    """The bucket of a character n-gram, by integers."""
+    m = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+        return x ^ (x >> 31)
+
+    def both(a, b):
+        return mixed((a * 0x9E3779B97F4A7C15 + b) & m)
+
+    h = [mixed(ord(c) + 1) for c in gram]
+    while len(h) > 1:  # powers of two, the least first
+        if len(h) & 1:
+            rest = h[1:]
+            while len(rest) > 1:
+                rest = [both(a, b) for a, b in zip(rest[::2], rest[1::2], strict=True)]
+            h = [both(h[0], rest[0])]
+        else:
+            h = [both(a, b) for a, b in zip(h[::2], h[1::2], strict=True)]
+    return both(h[0], len(gram)) >> (64 - bits)
+
+
+def grams(text, bits, shortest=3, longest=5):
+    """{bucket: in how many distinct words of the text its n-grams stand, each time counted}."""
+    out = {}
+    for w in {w.lower() for w in words(text)}:
+        w = f" {w} "
+        for n in range(shortest, longest + 1):
+            for i in range(len(w) - n + 1):
+                k = gram_bucket(w[i : i + n], bits)
+                out[k] = out.get(k, 0) + 1
+    return out

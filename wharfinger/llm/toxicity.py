@@ -1,17 +1,19 @@
 """Toxicity by a linear classifier over character n-grams.
 
-A feature is an n-gram of a lower-cased word between spaces, hashed to one of 2**BITS
+A feature is an n-gram of the characters (code points) of a lower-cased word between spaces, hashed to one of 2**BITS
 buckets; its value is the number of a text's distinct words that hold it. Values are scaled
 by the naive Bayes log-count ratio of the feature (its smoothed share of toxic against other
 texts), then weighed by a regularised logistic fit. Since a score is a sum over words, each
 distinct word of a batch is weighed once.
 
-The model is fitted in one task on at most SAMPLE_ROWS labelled rows of each class, those
-with the least hash of their doc_id, weighted so that the classes keep their shares.
+The model is fitted in one task on at most SAMPLE_ROWS labelled documents of each class, those
+with the least hash of their doc_id, as many of them as SAMPLE_BYTES of text hold, weighted so
+that the classes keep their shares. Both bounds are parameters.
 
 Defined results: null text is the empty text, whose score comes from the intercept alone;
 without labelled rows of both classes every score is their smoothed share; a doc_id with
-several labels counts as toxic if one of them does; null labels are none.
+several labels counts as toxic if one of them does; null labels are none; rows that share a
+doc_id are scored each for itself; a text of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -24,18 +26,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wharfinger.llm.words import SLICE_BYTES, U64, mix, pair, slices, split_words, spread, texts_of, window_starts, windows
 
 BITS, SHORTEST, LONGEST = 18, 3, 5
-SAMPLE_ROWS, ALPHA, L2, STEPS = 2000, 1.0, 1.0, 60
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 20
+ALPHA, L2, STEPS = 1.0, 1.0, 60
 
 
 def word_grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(features of all words one after the other, how many each word has)."""
-    raw = [f" {w} ".encode() for w in words.to_numpy(zero_copy_only=False)]
+    raw = [f" {w} " for w in words.to_numpy(zero_copy_only=False)]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
-    chars = mix(np.frombuffer(b"".join(raw), np.uint8).astype(U64) + U64(1))
+    chars = mix(np.frombuffer("".join(raw).encode("utf-32-le"), np.uint32).astype(U64) + U64(1))
     features, owner = [], []
     for n in range(SHORTEST, LONGEST + 1):
         at = window_starts(offsets, n)
@@ -147,23 +151,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The model of the labelled documents that aren't held out."""
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, text, toxic and weight of the rows that the model is fitted on."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picks = [known.where(F.col("toxic") == F.lit(c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).withColumn("weight", F.lit(n / min(n, sample_rows))) for c, n in totals.items()]
-    if not picks:
-        return fit(pa.array([], pa.large_string()), np.zeros(0, bool), np.zeros(0))
-    picked = picks[0] if len(picks) == 1 else picks[0].union(picks[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # two times sample_rows at most
+    draw = F.xxhash64("doc_id")
+    picks = [known.where(F.col("toxic") == F.lit(c)).orderBy(draw, "doc_id").limit(sample_rows) for c in (False, True)]
+    picked = picks[0].union(picks[1]).withColumnsRenamed({"doc_id": "_id"})
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).drop("_id")  # two times sample_rows at most
+    order = W.partitionBy("toxic").orderBy(draw, "doc_id", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_bytes", F.sum(F.octet_length("text")).over(order)).where(F.col("_bytes") <= sample_bytes).drop("_bytes")
+    share = F.when(F.col("toxic"), totals.get(True, 0)).otherwise(totals.get(False, 0)) / F.count(F.lit(1)).over(W.partitionBy("toxic"))
+    return rows.withColumn("weight", share.cast("double"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """The model of the labelled documents that aren't held out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if held := list(batches):
+        if held := [b for b in batches if len(b)]:
             t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
             m = fit(texts_of(t["text"].combine_chunks()), t["toxic"].to_numpy(), t["weight"].to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([m.intercept])], ["weights", "intercept"])
 
-    found = rows.repartition(1).mapInArrow(work, "weights binary, intercept double").collect()
+    found = sample(docs, labels, sample_rows, sample_bytes).repartition(1).mapInArrow(work, "weights binary, intercept double").collect()
     if not found:
         return fit(pa.array([], pa.large_string()), np.zeros(0, bool), np.zeros(0))
     return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["intercept"])
