@@ -199,7 +199,8 @@ def cut(docs: DataFrame, n: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFra
         if not len(docs_):
             return piece_table([], [], [])
         hot = dict(zip(answers["shard"].to_pylist(), map(unpack, answers["data"].to_pylist()), strict=True))
-        h = np.concatenate([np.zeros(0, U64), *(p.h for p in parts(docs_, n))])
+        few = list(parts(docs_, n)) if docs_["text"].nbytes <= 2 * PART_BYTES else None  # a longer block is gone through twice
+        h = np.concatenate([np.zeros(0, U64), *(p.h for p in few or parts(docs_, n))])
         counted = []
         for r, keys in enumerate(shape.cells(h)):
             keys.sort()
@@ -208,7 +209,7 @@ def cut(docs: DataFrame, n: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFra
             counted.append(cells[np.concatenate([np.zeros(0, np.uint8), *flags]).astype(bool)])
         del h
         live = []
-        for p in parts(docs_, n):
+        for p in few or parts(docs_, n):
             held = np.ones(len(p.h), bool)
             for keys, known in zip(shape.cells(p.h), counted, strict=True):
                 held &= known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else False
