@@ -198,6 +198,36 @@ def test_a_large_family_is_linked_like_all_pairs(spark):
     assert got == brute.near(docs, 2)
 
 
+def test_nodes_with_many_members_outside(spark, monkeypatch):
+    """Three families whose documents share a passage: with two members outside as the limit every
+    large node goes deeper, with packs of a few documents blocks meet in many groups, and nodes are
+    dealt by salts; links equal those of all pairs."""
+    rng = random.Random(9)
+    docs = []
+    for f in range(3):
+        base = [f"t{i}" for i in range(30)] + [f"f{f}x{i}" for i in range(60)]
+        for d in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, 12)):
+                w[rng.randrange(len(w))] = f"m{rng.randrange(10**6)}"
+            docs.append((1000 * f + d, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute.near(docs, 2)
+    for name, value in (("PACK", 3), ("PACKS_MET", 2), ("GRID", 64), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(neardup, name, value)
+    for outside, deepest in ((2, neardup.DEEPEST), (2, 5)):
+        monkeypatch.setattr(neardup, "DEEPEST", deepest)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, k=2, outside=outside).collect()}
+        assert got == want
+
+
+def test_rows_without_a_doc_id_are_deduplicated(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(4, text), (None, text), (None, text + " more"), (None, "alone here in this text today"), (None, None), (None, ""), (7, text)], "doc_id long, text string").withColumn("label", F.lit("extra"))
+    left = sorted(((r["doc_id"], r["text"]) for r in neardup.deduplicate(docs).collect()), key=str)
+    assert left == sorted([(4, text), (None, "alone here in this text today"), (None, None), (None, "")], key=str)
+
+
 @pytest.mark.parametrize("limit", [decontam.BLOCK_BYTES, 200])
 def test_decontamination(spark, limit):
     docs = table(spark, clashing=True)

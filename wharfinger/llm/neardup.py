@@ -7,19 +7,25 @@ depth), and its members go on to a child for each value there. Nodes with at mos
 compare them all by their sketches. Of a larger node only counts are gathered and its members
 go deeper. What is still together at depth STAR is mostly one family: there each member is
 first paired with one drawn at random, the closest pair of each document is confirmed, and a
-node whose members are all connected by then is done. If at most OUTSIDE members stand outside
-its largest component, these meet the family's members in packed blocks, on full sets; with
-more of them the node goes deeper. So no bucket is capped and no group is ever gathered.
+node whose members are all connected by then is done. If at most `outside` members stand outside
+its largest component, these meet the family's members in packed blocks, on full sets; a node
+with more of them goes deeper in SUBTREES trees of its own. At depth DEEPEST every node is compared in
+blocks. So no bucket is capped and no group is ever gathered, and hot nodes and families are
+dealt by salts.
 
 Candidates are confirmed on the full shingle sets; those whose ends are connected already
 need no confirming. Components come from the confirmed links.
 
-A pair at similarity 0.8 is missed by one tree with probability 0.16 at depth 1 and 0.36 at
-depth 3, by all of 14 trees with less than 1e-5; trees draw from one signature of 64 places.
+Recall: a pair at similarity 0.8 is missed by one tree with probability 0.16 at depth 1 and 0.36
+at depth 3, by all of 14 trees with less than 1e-6 if places were drawn anew; trees draw from one
+signature of 64 places, which makes it some 2e-5. From depth 3 on a pair is still together d
+places deeper in one tree with about 1 / (1 + d / 6); in one of eight subtrees with 0.99 at
+d = 10, 0.89 at d = 20 and 0.69 at d = 40. So the miss of one tree grows from 0.36 to 0.43 at depth
+23 and 0.56 at most, that of 14 trees to 1e-5 and 3e-4.
 
 Defined results: null or wordless text has the empty set and is linked with nothing; rows
 that repeat a doc_id share a component; a document of fewer words than a shingle has its
-whole sequence as the one member of its set.
+whole sequence as the one member of its set; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -39,7 +45,9 @@ from wharfinger.llm.words import SLICE_BYTES, U64, mix, pair, slices, split_word
 PLACES, TREES, SMALL, STAR = 64, 14, 16, 3
 BROADCAST_NODES = 500_000  # ids of nodes, 8 bytes each
 FAR = 22  # unequal places of a sketch beyond which a pair is no candidate, 4.5 sigma at 0.8
-OUTSIDE, PACK = 4096, 256
+OUTSIDE, SUBTREES, DEEPEST = 4096, 8, 43
+PACK, PACK_SHINGLES, PACKS_MET, GRID = 256, 1 << 18, 16, 1 << 22  # documents and shingles of a pack, packs that meet in a group, cells of a matrix
+SALTS, BROADCAST_ROWS = 16, 100_000
 CHUNK = 256  # documents whose sets are sorted together; the upper 56 bits of a hash stay
 
 _ODD = mix(np.arange(1, PLACES + 1, dtype=U64)) | U64(1)
@@ -136,8 +144,9 @@ def children(node: np.ndarray, sig: np.ndarray, second: float) -> tuple[np.ndarr
 LEVEL = "node long, id long, s1 long, s2 long"
 
 
-def descend(members: DataFrame, second: float, trees: int = 0, steps: int = 1) -> DataFrame:
-    """LEVEL rows so many steps deeper. trees: members are at the roots of so many trees."""
+def descend(members: DataFrame, second: float, trees: int = 0, steps: int = 1, copies: int = 1) -> DataFrame:
+    """LEVEL rows so many steps deeper. trees: members are at the roots of so many trees; copies:
+    each node is the root of so many."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,6 +155,8 @@ def descend(members: DataFrame, second: float, trees: int = 0, steps: int = 1) -
             sig = places_of(b["sig"])
             row = np.tile(np.arange(len(b)), max(trees, 1))
             node = mix(np.repeat(np.arange(1, trees + 1, dtype=U64), len(b))) if trees else b["node"].to_numpy().view(U64)
+            if copies > 1:
+                row, node = np.tile(row, copies), pair(np.tile(node, copies), np.repeat(np.arange(1, copies + 1, dtype=U64), len(node)))
             for _ in range(steps):
                 r, node = children(node, sig[row], second)
                 row = row[r]
@@ -197,6 +208,14 @@ class Nodes:
         return self.level.join(self.nodes.hint(self.hint), "node", "left_semi")
 
 
+def by_node(rows: DataFrame, each: DataFrame, n: int) -> DataFrame:
+    """rows joined with one row a node, of n nodes at most: by broadcast, or dealt by node and salt."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(each), "node")
+    salted = each.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["node", "_salt"]).drop("_salt")
+
+
 def together(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
@@ -215,28 +234,32 @@ def labelled(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataF
     return rows.join(r, F.col(column) == F.col("_u"), "left").withColumn(name, F.coalesce("_v", column)).drop("_u", "_v")
 
 
-def split_families(inside: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_families(inside: DataFrame, roots: DataFrame, n: int, outside: int) -> tuple[DataFrame, DataFrame]:
     """(family, id, label, other) of the nodes with few members outside their largest
-    component, which names the family, each id once; and the rows of nodes with more."""
+    component, which names the family, each id once; and the rows of nodes with more. There are n nodes."""
     rows = labelled(inside, roots, "id", "label")
     sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     nodes = sizes.groupBy("node").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")).where(F.col("all") > F.col("top.n"))
     nodes = nodes.select("node", F.col("top.label").alias("family"), (F.col("all") - F.col("top.n")).alias("others"))
-    open_ = rows.join(nodes, "node")
-    members = open_.where(F.col("others") <= OUTSIDE).select("family", "id", "label", (F.col("label") != F.col("family")).alias("other")).distinct()
-    return members, open_.where(F.col("others") > OUTSIDE).select("node", "id")
+    open_ = by_node(rows, nodes, n)
+    members = open_.where(F.col("others") <= outside).select("family", "id", "label", (F.col("label") != F.col("family")).alias("other")).distinct()
+    return members, open_.where(F.col("others") > outside).select("node", "id")
 
 
 def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): of each outside member a link with each component of its family in which it
-    has one. Members come in packs of about PACK, so a join row is a pair of packs."""
-    full = members.join(sets.hint("merge"), "id")
-    packs = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_if("other").alias("m"))
-    full = full.join(packs, "family").withColumn("r", F.xxhash64("id"))
-
-    def packed(rows: DataFrame, n: str, name: str) -> DataFrame:
-        k = F.pmod("r", F.ceil(F.col(n) / F.lit(PACK)))
-        return rows.groupBy("family", k.alias(f"k{name}")).agg(F.collect_list(F.struct("id", "label", "set")).alias(name))
+    has one. Members come in packs of about PACK documents or PACK_SHINGLES shingles, so a join row
+    is a pair of packs; PACKS_MET packs of either side meet in a group, so no family is in one task."""
+    full = members.join(sets.hint("merge"), "id").withColumn("m", F.size("set"))
+    wanted = lambda who: F.greatest(F.ceil(F.count_if(who) / F.lit(PACK)), F.ceil(F.sum(F.when(who, F.col("m"))) / F.lit(PACK_SHINGLES)), F.lit(1))
+    packs = full.groupBy("family").agg(wanted(F.col("other")).alias("nx"), wanted(F.lit(True)).alias("ny"))
+    full = full.drop("m").join(packs, "family").withColumn("r", F.xxhash64("id"))
+    groups = lambda n: F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / F.lit(PACKS_MET)))
+
+    def packed(rows: DataFrame, name: str, n: str, own: str, met: str) -> DataFrame:
+        """Packs with the number of their own group, repeated for each group that they meet."""
+        rows = rows.groupBy("family", "nx", "ny", F.pmod("r", F.col(n)).alias("k")).agg(F.collect_list(F.struct("id", "label", "set")).alias(name))
+        return rows.select("family", name, F.floor(F.col("k") / F.lit(PACKS_MET)).alias(own), F.explode(groups("ny" if n == "nx" else "nx")).alias(met))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,8 +267,8 @@ def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 u, v = linked(x.values, y.values, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    pairs = packed(full.where("other"), "m", "x").join(packed(full, "n", "y"), "family").select("x", "y")
-    return pairs.mapInArrow(work, "u long, v long")
+    x, y = packed(full.where("other"), "x", "nx", "gx", "gy"), packed(full, "y", "ny", "gy", "gx")
+    return x.join(y.hint("merge"), ["family", "gx", "gy"]).select("x", "y").mapInArrow(work, "u long, v long")
 
 
 def linked(x: pa.StructArray, y: pa.StructArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,15 +280,19 @@ def linked(x: pa.StructArray, y: pa.StructArray, percent: int) -> tuple[np.ndarr
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         packs.append((p.field("id").to_numpy(), p.field("label").to_numpy(), sizes, lists.flatten().to_numpy()))
     common = np.intersect1d(packs[0][3], packs[1][3])
-    grids = []
-    for ids, _, sizes, flat in packs:
-        at = np.searchsorted(common, flat)
-        held = at < len(common)
-        held[held] = common[at[held]] == flat[held]
-        grid = np.zeros((len(ids), len(common)), np.float32)
-        grid[np.repeat(np.arange(len(ids)), sizes)[held], at[held]] = 1
-        grids.append(grid)
-    both = (grids[0] @ grids[1].T).astype(np.int64)
+    both = np.zeros((len(packs[0][0]), len(packs[1][0])), np.float64)
+    step = max(1, GRID // max(1, *both.shape))
+    for a in range(0, len(common), step):  # the product a range of shingles at a time
+        grids = []
+        for ids, _, sizes, flat in packs:
+            at = np.searchsorted(part := common[a : a + step], flat)
+            held = at < len(part)
+            held[held] = part[at[held]] == flat[held]
+            grid = np.zeros((len(ids), len(part)), np.float32)
+            grid[np.repeat(np.arange(len(ids)), sizes)[held], at[held]] = 1
+            grids.append(grid)
+        both += grids[0] @ grids[1].T
+    both = both.astype(np.int64)
     union = packs[0][2][:, None] + packs[1][2][None, :] - both
     i, j = np.nonzero((100 * both >= percent * union) & (packs[0][1][:, None] != packs[1][1][None, :]))
     first = np.unique(np.stack([i, packs[1][1][j]], axis=1), axis=0, return_index=True)[1] if len(i) else i
@@ -292,7 +319,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(work, "id long, set array<long>")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, outside: int = OUTSIDE) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) and kept (it is
     the document's own) for each row of docs, whose doc_id is an integer."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -310,6 +337,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         depth += 1
         at = Nodes(descend(at.large().select("node", "id").join(reps.select("id", "sig"), "id"), second), scratch, f"level{depth}")
     pairs = [scratch.save(together(found), "pairs")]
+    for d in range(1, depth):
+        scratch.drop(f"level{d}")
     needed = pairs[0].select(F.explode(F.array("a", "b")).alias("doc_id")).union(at.large().select("id")).distinct()
     sets = scratch.save(full_sets(docs.join(needed.hint("merge"), "doc_id", "left_semi"), k).dropDuplicates(["id"]), "sets")
     roots, tried, links, first = None, [], [], True
@@ -317,7 +346,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         tries = pairs[-1]
         if at.n:
             one = at.large().groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("r"), "id", "s1", "s2")).alias("p"))
-            star = at.large().join(one, "node").withColumn("u", unequal_sql(F.struct("s1", "s2"), F.col("p")).cast("long"))
+            star = by_node(at.large(), one, at.n).withColumn("u", unequal_sql(F.struct("s1", "s2"), F.col("p")).cast("long"))
             star = star.where((F.col("u") <= FAR) & (F.col("id") != F.col("p.id"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), "u")
             pairs.append(scratch.save(star.distinct(), f"star{depth}"))
             tries = tries.union(pairs[-1])
@@ -327,11 +356,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         first = False
         if not at.n:
             break
-        members, deeper = split_families(at.large(), roots)
+        members, deeper = split_families(at.large(), roots, at.n, outside if depth < DEEPEST else 1 << 62)
         links.append(scratch.save(family_links(scratch.save(members, f"family{depth}"), sets, percent), f"inner{depth}"))
         roots = absorb(roots, links[-1], scratch, f"joined{depth}_")
+        at = Nodes(descend(deeper.join(reps.select("id", "sig"), "id"), second, steps=2, copies=SUBTREES if depth == STAR else 1), scratch, f"level{depth + 2}")
+        scratch.drop(f"level{depth}")
         depth += 2
-        at = Nodes(descend(deeper.join(reps.select("id", "sig"), "id"), second, steps=2), scratch, f"level{depth}")
         pairs.append(scratch.save(compare_small(at.small()), f"pairs{depth}"))
     every = labelled(labelled(together(pairs), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
     for x in tried:
@@ -345,6 +375,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that are linked with a smaller doc_id."""
-    gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs without the documents that are linked with a smaller doc_id. A row without a doc_id is
+    named by its text, after all others: it goes if it is linked with a document that has one, or
+    with another text without one that comes before it. Rows that share a doc_id stay or go together."""
+    named = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+    docs = docs.withColumn("_named", named)
+    gone = near_duplicates(docs.select(F.col("_named").alias("doc_id"), "text"), k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_named")).distinct()
+    return docs.join(gone, "_named", "left_anti").drop("_named")
