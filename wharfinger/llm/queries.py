@@ -26,16 +26,16 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four batches, one of them sent twice: all documents come in by words; those whose text
-    an earlier document has go out again; the others are counted by pieces too; the word
+    an earlier row has (by doc_id, null last) go out again; the others are counted by pieces too; the word
     counts of those with repeated lines are revised to count each line once."""
     scratch = Scratch(spark)
     text = F.coalesce("text", F.lit(""))
     once = F.array_join(F.array_distinct(F.split(text, "\n")), "\n")
     pieces = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]")).cast("long")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2(text, 256).alias("digest"), mixing.word_count(text).alias("words"), mixing.word_count(once).alias("once"), pieces.alias("pieces"))
-    docs = scratch.save(docs, "counts")
-    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    docs = scratch.save(docs.join(first, "digest").withColumn("copy", F.col("doc_id") > F.col("first")).drop("digest", "first"), "marked")
+    docs = scratch.save(docs.withColumn("row", F.monotonically_increasing_id()), "counts")
+    first = docs.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("f")).select(F.col("f.row").alias("row"), F.lit(False).alias("copy"))
+    docs = scratch.save(docs.join(first, "row", "left").withColumn("copy", F.coalesce("copy", F.lit(True))).drop("digest", "row"), "marked")
     by_words, by_pieces = docs.withColumn("tokenizer", F.lit("words-1")), docs.withColumn("tokenizer", F.lit("pieces-1"))
     totals = rollup.Rollup(spark, f"{scratch.path}/totals")
     totals.commit("1", rollup.signed(by_words, new="words"))
@@ -205,7 +205,7 @@ FROM files f LEFT JOIN own o ON o.doc_id = f.doc_id LEFT JOIN nearest n ON n.dir
 OP2 = r"""
 WITH d AS (
   SELECT source, lang, coalesce(text, '') AS t FROM documents
-  QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1),
+  QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id NULLS LAST) = 1),
 once AS (
   SELECT source, lang, t, array_to_string(list_filter(string_split(t, chr(10)), lambda x, i: list_position(string_split(t, chr(10)), x) = i), chr(10)) AS o FROM d),
 n AS (
