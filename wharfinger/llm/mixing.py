@@ -7,7 +7,8 @@ running sum within a bucket is added. Where the running sum of a source meets it
 the mix is cut; a budget above the source's size takes whole epochs first.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order;
-ties of keys fall by doc_id, then size; repeated rows are taken each for itself.
+ties of keys fall by doc_id, then size; repeated rows are taken each for itself; a null doc_id
+has a key of its own; texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-BUCKET_ROWS = 50_000
+from wharfinger.llm.scratch import Scratch
+
+BUCKET_ROWS = 8192
 
 
 def word_count(text: Column) -> Column:
@@ -59,7 +62,9 @@ def plan_mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1
     weights: (source, weight); without it sources take 5, 2, 1 in turn."""
     row = [c for c in docs.columns if c == "_row"]
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), random_key(F.col("doc_id"), seed).alias("_key"), *row)
-    slim = sized.select("doc_id", "source", "_size", "_key")
+    slim = Scratch(docs.sparkSession).save(sized.select("doc_id", "source", "_size", "_key"), "sizes")  # words are counted once
+    if not row:
+        sized = slim
     totals = slim.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     if weights is None:
         totals = cycled_weights(totals)
