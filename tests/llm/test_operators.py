@@ -336,6 +336,43 @@ def test_token_files(spark):
     assert token_files.read_tokens(spark, other).count() == 0
 
 
+def test_ranges_of_token_files(spark, monkeypatch):
+    """Any range of ids is read from the shards that hold it; the rest is not opened."""
+    monkeypatch.setattr(token_files, "SLICE_BYTES", 20000)
+    path = f"{Scratch(spark).path}/ranges"
+    token_files.write_tokens(table(spark), path, queries.word_tokenizer(), 1, by_word=True)
+    ids = [i for r in token_files.read_tokens(spark, path).orderBy("start").collect() for i in r["ids"]]
+    assert spark.read.parquet(path).count() > 3
+    for a, b in ((0, 1), (0, len(ids)), (100, 5000), (len(ids) - 3, len(ids)), (7, 7), (len(ids), len(ids) + 9)):
+        got = [i for r in token_files.read_range(spark, path, a, b).orderBy("start").collect() for i in r["ids"]]
+        assert got == ids[a:b]
+
+
+def test_token_files_of_odd_rows(spark):
+    """Null and repeated doc_ids in any order of rows: the same ids; added tokens in other spellings."""
+    from tokenizers import Tokenizer
+
+    rows = [(5, "b b"), (5, "a"), (None, "lost words"), (None, None), (5, "a"), (6, "<|ENDOFTEXT|> <|EndOfText|> <|endoftext|>"), (7, "")]
+    got = []
+    for k, order in enumerate((rows, rows[::-1], rows[3:] + rows[:3])):
+        path = f"{Scratch(spark).path}/odd{k}"
+        token_files.write_tokens(spark.createDataFrame(order, "doc_id long, text string").repartition(3), path, queries.word_tokenizer(), 1, by_word=True)
+        got.append([tuple(r) for r in token_files.read_tokens(spark, path).orderBy("start").collect()])
+    assert got[0] == got[1] == got[2] and [r[0] for r in got[0]] == [None, None, 5, 5, 5, 6, 7]
+    tokenizer = Tokenizer.from_file(queries.word_tokenizer())
+    assert got[0][5][4][:-1] == tokenizer.encode(rows[5][1], add_special_tokens=False).ids
+
+
+def test_words_that_share_half_a_hash(monkeypatch):
+    enc = token_files.Encoder(queries.word_tokenizer(), by_word=True)
+    text = pa.array(["alpha beta gamma alpha delta", "delta epsilon beta"], pa.large_string())
+    want = [x.tolist() for x in enc.encode(text)]
+    plain = token_files.hashed
+    monkeypatch.setattr(token_files, "hashed", lambda w: (plain(w)[0] % np.uint64(2), plain(w)[1]))
+    enc.forget()
+    assert [x.tolist() for x in enc.encode(text)] == want and [x.tolist() for x in enc.encode(text)] == want
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(0)
     for ids in (np.zeros(0, np.uint32), np.zeros(1, np.uint32), np.zeros(1000, np.uint32), rng.integers(0, 9, 20000).astype(np.uint32), np.tile(rng.integers(0, 500, 50), 40).astype(np.uint32)):
@@ -346,6 +383,9 @@ def test_grammar_round_trip():
         for a, b in ((0, 0), (3, 17), (0, len(ids)), (len(ids) // 2, len(ids))):
             assert (g.range(a, min(b, len(ids))) == ids[a:b]).all()
     assert len(g.symbols) < len(ids) / 8
+    end = grammar.induce(ids, 1000, saves=0)
+    pair_counts = Counter(zip(end.symbols[:-1].tolist(), end.symbols[1:].tolist()))
+    assert all(n < 2 * grammar.LEAST for (a, b), n in pair_counts.items() if a != b) and (end.expand(end.symbols) == ids).all()
 
 
 def test_chat(spark):
@@ -367,6 +407,30 @@ def test_rollup(spark):
     assert [tuple(r) for r in totals.totals().collect()] == [("a", "en", "v1", 2, 12)]
 
 
+def test_rollup_counts_whole_batches_once(spark):
+    path = f"{Scratch(spark).path}/whole"
+    totals = rollup.Rollup(spark, path)
+    rows = spark.createDataFrame([("a", "en", "v1", 10)], "source string, lang string, tokenizer string, n long")
+    change = rollup.signed(rows, new="n")
+    change.write.parquet(f"{path}/_staged-broken")  # a writer that died before its commit
+    assert totals.commit("x/1", change) and totals.commit("2", change)
+    rival = rollup.Rollup(spark, path)
+    rival._committed = lambda: set()  # looked before the other one committed
+    assert not rival.commit("2", change)
+    assert [tuple(r) for r in totals.totals().collect()] == [("a", "en", "v1", 2, 20)]
+    assert totals.compact() and not totals.commit("x/1", change) and totals.commit("3", change)
+    assert [tuple(r) for r in totals.totals().collect()] == [("a", "en", "v1", 3, 30)]
+    assert totals.compact() and [tuple(r) for r in rollup.Rollup(spark, path).totals().collect()] == [("a", "en", "v1", 3, 30)]
+
+
+def test_rollup_of_rows_without_doc_id(spark, tmp_path):
+    """Each text counts once, whoever has it: null and repeated doc_ids, null texts."""
+    docs = [(None, "a b", "en", "s", 3), (None, "a b", "en", "s", 3), (3, "a b", "en", "s", 3), (3, "a b", "en", "s", 3), (4, None, None, None, None), (5, "", "en", "s", 0)]
+    spark.createDataFrame(docs, DOCS).withColumn("row", F.lit(1)).withColumn("copy", F.lit(1)).withColumn("digest", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in queries.op2_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == {("s", "en", t): (1, 2) for t in ("words-1", "pieces-1")} | {(None, None, t): (1, 0) for t in ("words-1", "pieces-1")}
+
+
 def test_licences(spark):
     mit = licence.TEMPLATES["MIT"]
     rows = [(1, "repo/LICENSE", mit), (2, "repo/src/a.py", "code here"), (3, "repo/src/deep/b.py", licence.TEMPLATES["Apache-2.0"]), (4, "repo/src/deep/er/c.py", None), (5, "top", "no folder"), (6, None, mit), (7, "other/x", "This licence is like none of them whatsoever"), (7, "other/x", "")]

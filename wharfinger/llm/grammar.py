@@ -1,12 +1,12 @@
 """Re-Pair grammars of token ids, and the binary shard that holds one.
 
 A round counts the pairs of neighbours, gives the most frequent ones a nonterminal each and
-replaces them from left to right. A shard keeps the rules and how many ids each symbol
-stands for, so that any range of ids can be decoded without the rest.
+replaces them from left to right. A shard keeps the rules, how many ids each symbol stands for,
+and how many stand before every MARK-th one, so that any range of ids is decoded without the rest.
 
-Layout, little-endian: "WRP1", four u32 (base, number of rules, symbols, documents), then u32
+Layout, little-endian: "WRP2", four u32 (base, number of rules, symbols, documents), then u32
 rules[n][2], u32 lengths[n], u32 symbols[], u32 tokens of each document, i64 doc_id of each
-document, u8 whether that doc_id is null.
+document, u8 whether that doc_id is null, i64 marks[].
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ import numpy as np
 
 from wharfinger.llm.words import spread
 
-MAGIC = b"WRP1"
-ROUNDS, TOP, LEAST, BUCKET_BITS = 8, 8192, 8, 20
+MAGIC = b"WRP2"
+MARK = 1024
+TOP, LEAST, SAVES, BUCKET_BITS = 8192, 4, 1 / 1000, 20  # a rule is three numbers, so pairs found four times pay
 _U64 = np.uint64
 
 
@@ -31,6 +32,7 @@ class Grammar:
     rules: np.ndarray
     lengths: np.ndarray
     symbols: np.ndarray
+    _marks: np.ndarray | None = None
 
     def size_of(self, symbols: np.ndarray) -> np.ndarray:
         """How many ids each symbol stands for."""
@@ -65,23 +67,51 @@ class Grammar:
         return out
 
     def range(self, start: int, stop: int) -> np.ndarray:
-        """The ids from start to stop, from the symbols that cover them alone."""
-        ends = np.cumsum(self.size_of(self.symbols))
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
-        part = self.symbols[a : b + 1]
-        skip = start - (int(ends[a - 1]) if a else 0)
-        return self.expand(part)[skip : skip + stop - start]
-
-
-def induce(ids: np.ndarray, base: int, rounds: int = ROUNDS, top: int = TOP, least: int = LEAST) -> Grammar:
+        """The ids from start to stop: a mark leads near the first symbol, and only symbols that
+        reach into the range are opened, level by level."""
+        m = max(0, int(np.searchsorted(self.marks, start, "right")) - 1)
+        at, a, parts = int(self.marks[m]) if len(self.marks) else 0, m * MARK, []
+        first = at
+        while a < len(self.symbols) and at < stop:
+            parts.append(self.symbols[a : a + MARK])
+            at += int(self.size_of(parts[-1]).sum())
+            a += MARK
+        part = np.concatenate([np.zeros(0, np.uint32), *parts])
+        while True:
+            ends = first + np.cumsum(self.size_of(part))
+            lo, hi = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
+            first, part = (int(ends[lo - 1]) if lo else first), part[lo:hi]
+            rule = part >= self.base
+            if not rule.any():
+                return part[start - first : stop - first]
+            width = 1 + rule.astype(np.int64)
+            out = np.repeat(part, width)
+            at_ = (np.cumsum(width) - width)[rule]
+            pairs = self.rules[part[rule].astype(np.int64) - self.base]
+            out[at_], out[at_ + 1] = pairs[:, 0], pairs[:, 1]
+            part = out
+
+    @property
+    def marks(self) -> np.ndarray:
+        """How many ids stand before every MARK-th symbol."""
+        if self._marks is None:
+            sizes = self.size_of(self.symbols)
+            self._marks = (np.cumsum(sizes) - sizes)[::MARK]
+        return self._marks
+
+
+def induce(ids: np.ndarray, base: int, top: int = TOP, least: int = LEAST, saves: float = SAVES) -> Grammar:
     """A grammar of the ids, all below base. Each round takes at most `top` pairs that occur
-    `least` times or more; pairs that meet in a bucket with another one wait for a later round."""
+    `least` times or more; pairs that meet in a bucket with another one wait for a later round.
+    It goes on until a round saves less than the share `saves` of the symbols; with 0 until two
+    rounds in a row find no pair."""
     symbols, rules, lengths = ids.astype(np.uint32), [], []
     known = 0
     size = np.ones(base, np.uint32)
-    for turn in range(rounds):
-        if len(symbols) < 2:
-            break
+    turn = idle = 0
+    while len(symbols) > 1 and idle < 2:
+        turn += 1
+        idle += 1
         key = (symbols[:-1].astype(_U64) << _U64(32)) | symbols[1:]
         bucket = ((key * _U64(0x9E3779B97F4A7C15 + 2 * 0x2545F4914F6CDD1D * turn & (1 << 64) - 1)) >> _U64(64 - BUCKET_BITS)).view(np.int64)
         holder = np.zeros(1 << BUCKET_BITS, _U64)
@@ -92,7 +122,7 @@ def induce(ids: np.ndarray, base: int, rounds: int = ROUNDS, top: int = TOP, lea
         if len(chosen) > top:
             chosen = chosen[np.argpartition(-counts[chosen], top)[:top]]
         if not len(chosen):
-            break
+            continue
         number = np.full((1 << BUCKET_BITS) + 1, -1, np.int32)
         number[chosen] = np.arange(len(chosen), dtype=np.int32)
         rule = number[bucket]
@@ -103,7 +133,7 @@ def induce(ids: np.ndarray, base: int, rounds: int = ROUNDS, top: int = TOP, lea
         used = np.bincount(rule[at], minlength=len(chosen))
         at = at[used[rule[at]] > 1]
         if not len(at):
-            break
+            continue
         order = np.cumsum(used > 1) - 1
         pairs = holder[chosen[used > 1]]
         new = np.stack([pairs >> _U64(32), pairs & _U64(0xFFFFFFFF)], axis=1).astype(np.uint32)
@@ -112,15 +142,18 @@ def induce(ids: np.ndarray, base: int, rounds: int = ROUNDS, top: int = TOP, lea
         symbols[at] = (base + known + order[rule[at]]).astype(np.uint32)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        symbols = symbols[keep]
+        done, symbols = len(at) < saves * len(symbols), symbols[keep]
         known += len(new)
+        idle = 0
+        if done:
+            break
     all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return Grammar(base, all_rules, size[base:].astype(np.uint32), symbols)
 
 
 def to_bytes(g: Grammar, tokens: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray) -> bytes:
     head = MAGIC + struct.pack("<4I", g.base, len(g.rules), len(g.symbols), len(tokens))
-    return b"".join([head, *(np.ascontiguousarray(x, k).tobytes() for x, k in ((g.rules, "<u4"), (g.lengths, "<u4"), (g.symbols, "<u4"), (tokens, "<u4"), (doc_ids, "<i8"), (nulls, "u1")))])
+    return b"".join([head, *(np.ascontiguousarray(x, k).tobytes() for x, k in ((g.rules, "<u4"), (g.lengths, "<u4"), (g.symbols, "<u4"), (tokens, "<u4"), (doc_ids, "<i8"), (nulls, "u1"), (g.marks, "<i8")))])
 
 
 def from_bytes(data: bytes) -> tuple[Grammar, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +162,7 @@ def from_bytes(data: bytes) -> tuple[Grammar, np.ndarray, np.ndarray, np.ndarray
         raise ValueError("not a grammar shard")
     base, r, s, d = struct.unpack_from("<4I", data, 4)
     at, out = 20, []
-    for n, kind in ((2 * r, "<u4"), (r, "<u4"), (s, "<u4"), (d, "<u4"), (d, "<i8"), (d, "u1")):
+    for n, kind in ((2 * r, "<u4"), (r, "<u4"), (s, "<u4"), (d, "<u4"), (d, "<i8"), (d, "u1"), (-(-s // MARK), "<i8")):
         out.append(np.frombuffer(data, kind, n, at))
         at += out[-1].nbytes
-    return Grammar(base, out[0].reshape(-1, 2), out[1], out[2]), *out[3:]
+    return Grammar(base, out[0].reshape(-1, 2), out[1], out[2], out[6]), *out[3:6]

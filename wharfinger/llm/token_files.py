@@ -6,7 +6,9 @@ them and finds them again; the payload is the binary layout in grammar.py. Readi
 the shards' sizes in order, which gives each document its place among all ids.
 
 Defined results: null text is the empty text, which still gets the end id; a null doc_id
-comes first; rows that share a doc_id are written one after the other.
+comes first; rows that share a doc_id are written one after the other in the order of a hash of
+their texts, so that a rerun writes the same ids, and many of them are dealt to several tasks;
+a text of any length is a slice by itself.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ MEMO, JOINED, AT_ONCE = 1_200_000, 2000, 1000
 BROADCAST_SHARDS = 200_000
 
 
-def hashed(words: list[str] | np.ndarray) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def hashed(words: list[str] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each word, in two halves."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 class Encoder:
@@ -55,7 +59,7 @@ class Encoder:
 
     def forget(self) -> None:
         """What is known of words: sorted hashes, the word's number, and where its ids are."""
-        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.keys, self.seconds, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -91,22 +95,30 @@ class Encoder:
     def look_up(self, words: pa.Array) -> np.ndarray:
         """Places of distinct words in starts and sizes."""
         listed = words.to_numpy(zero_copy_only=False)
-        keys = hashed(listed)
-        at = np.searchsorted(self.keys, keys)
-        known = np.append(self.keys, np.uint64(0))[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        known &= at < len(self.keys)
-        if not known.all():
-            new = np.flatnonzero(~known)
+        keys, seconds = hashed(listed)
+        at = self.find(keys, seconds)
+        if (at < 0).any():
+            new = np.flatnonzero(at < 0)
             letters = pc.match_substring_regex(words.take(pa.array(new)), r"^\p{L}+$").to_numpy(zero_copy_only=False)
             first = len(self.sizes)
-            fresh = hashed(self.learn([listed[i] for i in new], letters))
-            order = np.argsort(fresh)
-            place = np.searchsorted(self.keys, fresh[order])
-            self.keys = np.insert(self.keys, place, fresh[order])
+            key, second = hashed(self.learn([listed[i] for i in new], letters))
+            order = np.argsort(key)
+            place = np.searchsorted(self.keys, key[order])
+            self.keys, self.seconds = np.insert(self.keys, place, key[order]), np.insert(self.seconds, place, second[order])
             self.numbers = np.insert(self.numbers, place, first + order)
-            at = np.searchsorted(self.keys, keys)
+            at = self.find(keys, seconds)
         return self.numbers[at]
 
+    def find(self, keys: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+        """Where the words with these hashes are known, -1 for those that aren't."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        last = len(self.keys) - 1
+        at = np.minimum(np.searchsorted(self.keys, keys), last)
+        while (off := (self.keys[at] == keys) & (self.seconds[at] != seconds) & (at < last)).any():  # two words share the first half
+            at[off] += 1
+        return np.where((self.keys[at] == keys) & (self.seconds[at] == seconds), at, -1)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many each text has)."""
         if not self.by_word:
@@ -114,7 +126,7 @@ class Encoder:
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
         special = np.zeros(len(texts), bool)
         for t in self.added:
-            special |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+            special |= pc.match_substring(texts, t, ignore_case=True).to_numpy(zero_copy_only=False)
         if special.any():
             each: list = [None] * len(texts)
             for i, ids in zip(np.flatnonzero(special), self.whole(texts.filter(pa.array(special)).to_pylist()), strict=True):
@@ -147,7 +159,7 @@ def encoder(path: str, by_word: bool) -> Encoder:
     return Encoder(path, by_word)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_word: bool = False, rounds: int = grammar.ROUNDS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_word: bool = False, saves: float = grammar.SAVES) -> None:
     """Writes the shards of docs to a new table at path."""
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
@@ -163,11 +175,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_wor
                 inner[ends] = False
                 with_end[inner] = ids
                 doc_id = b["doc_id"].slice(i, j - i)
-                data = grammar.to_bytes(grammar.induce(with_end, enc.base, rounds), n + 1, pc.fill_null(doc_id, 0).to_numpy(), pc.is_null(doc_id).to_numpy(zero_copy_only=False))
+                data = grammar.to_bytes(grammar.induce(with_end, enc.base, saves=saves), n + 1, pc.fill_null(doc_id, 0).to_numpy(), pc.is_null(doc_id).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([b["part"].slice(i, 1), pa.array([seq], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([len(with_end)], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "data"])
                 seq += 1
 
-    sorted_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n_bytes // PART_BYTES + 1, "doc_id").sortWithinPartitions("doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    sorted_ = keyed.repartitionByRange(n_bytes // PART_BYTES + 1, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     shards = sorted_.withColumn("part", F.spark_partition_id()).mapInArrow(work, "part int, seq int, n_docs long, n_tokens long, data binary")
     shards.write.parquet(path)
 
@@ -205,3 +218,21 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
     return shards.join(starts, ["part", "seq"]).select("data", "start").mapInArrow(work, schema)
+
+
+def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """start and ids: the ids from start to stop among all of the table at path, a row for each shard
+    that has some of them. Other parts are left out by their numbers, other shards by their sizes."""
+    shards = spark.read.parquet(path)
+    met = shard_starts(shards).join(shards.select("part", "seq", "n_tokens"), ["part", "seq"]).where((F.col("start") < stop) & (F.col("start") + F.col("n_tokens") > start))
+    ends = met.agg(F.min("part"), F.max("part")).first()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data, first, n in zip(b["data"], b["start"].to_pylist(), b["n_tokens"].to_pylist(), strict=True):
+                g = grammar.from_bytes(data.as_py())[0]
+                a, z = max(0, start - first), min(n, stop - first)
+                yield pa.RecordBatch.from_arrays([pa.array([first + a]), pa.array([g.range(a, z)], pa.list_(pa.int32()))], ["start", "ids"])
+
+    rows = shards.where(F.col("part").between(ends[0], ends[1])) if ends[0] is not None else shards.limit(0)
+    return rows.select("part", "seq", "data").join(F.broadcast(met), ["part", "seq"]).select("data", "start", "n_tokens").mapInArrow(work, "start long, ids array<int>")
