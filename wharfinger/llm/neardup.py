@@ -208,12 +208,15 @@ class Nodes:
         return self.level.join(self.nodes.hint(self.hint), "node", "left_semi")
 
 
+def salted(rows: DataFrame, each: DataFrame, key: str) -> DataFrame:
+    """rows joined with one row a key, dealt by key and salt, so that no key is in one task."""
+    copies = each.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def by_node(rows: DataFrame, each: DataFrame, n: int) -> DataFrame:
-    """rows joined with one row a node, of n nodes at most: by broadcast, or dealt by node and salt."""
-    if n <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(each), "node")
-    salted = each.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["node", "_salt"]).drop("_salt")
+    """rows joined with one row a node, of n nodes at most."""
+    return rows.join(F.broadcast(each), "node") if n <= BROADCAST_ROWS else salted(rows, each, "node")
 
 
 def together(parts: list[DataFrame]) -> DataFrame:
@@ -253,7 +256,7 @@ def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     full = members.join(sets.hint("merge"), "id").withColumn("m", F.size("set"))
     wanted = lambda who: F.greatest(F.ceil(F.count_if(who) / F.lit(PACK)), F.ceil(F.sum(F.when(who, F.col("m"))) / F.lit(PACK_SHINGLES)), F.lit(1))
     packs = full.groupBy("family").agg(wanted(F.col("other")).alias("nx"), wanted(F.lit(True)).alias("ny"))
-    full = full.drop("m").join(packs, "family").withColumn("r", F.xxhash64("id"))
+    full = salted(full.drop("m"), packs, "family").withColumn("r", F.xxhash64("id"))
     groups = lambda n: F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / F.lit(PACKS_MET)))
 
     def packed(rows: DataFrame, name: str, n: str, own: str, met: str) -> DataFrame:
