@@ -112,7 +112,9 @@ def induce(ids: np.ndarray, base: int, top: int = TOP, least: int = LEAST, saves
     while len(symbols) > 1 and idle < 2:
         turn += 1
         idle += 1
-        key = (symbols[:-1].astype(_U64) << _U64(32)) | symbols[1:]
+        key = np.empty(len(symbols) - 1, _U64)  # a pair's first symbol is the lower half
+        for i in (0, 1):
+            key[i::2] = symbols[i : i + (len(symbols) - i) // 2 * 2].view(_U64)
         bucket = ((key * _U64(0x9E3779B97F4A7C15 + 2 * 0x2545F4914F6CDD1D * turn & (1 << 64) - 1)) >> _U64(64 - BUCKET_BITS)).view(np.int64)
         holder = np.zeros(1 << BUCKET_BITS, _U64)
         holder[bucket] = key
@@ -136,7 +138,7 @@ def induce(ids: np.ndarray, base: int, top: int = TOP, least: int = LEAST, saves
             continue
         order = np.cumsum(used > 1) - 1
         pairs = holder[chosen[used > 1]]
-        new = np.stack([pairs >> _U64(32), pairs & _U64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        new = pairs.view(np.uint32).reshape(-1, 2)
         rules.append(new)
         size = np.append(size, size[new[:, 0]] + size[new[:, 1]])
         symbols[at] = (base + known + order[rule[at]]).astype(np.uint32)

@@ -6,8 +6,8 @@ them and finds them again; the payload is the binary layout in grammar.py. Readi
 the shards' sizes in order, which gives each document its place among all ids.
 
 Defined results: null text is the empty text, which still gets the end id; a null doc_id
-comes first; rows that share a doc_id are written one after the other in the order of a hash of
-their texts, so that a rerun writes the same ids, and many of them are dealt to several tasks;
+comes first; rows that share a doc_id are written one after the other in the order of the
+lengths of their texts, then of the texts, so that a rerun writes the same ids, and many of them are dealt to several tasks;
 a text of any length is a slice by itself.
 """
 
@@ -97,8 +97,8 @@ class Encoder:
         listed = words.to_numpy(zero_copy_only=False)
         keys, seconds = hashed(listed)
         at = self.find(keys, seconds)
-        if (at < 0).any():
-            new = np.flatnonzero(at < 0)
+        out = self.numbers[at] if len(self.numbers) else np.zeros(len(at), np.int32)
+        if len(new := np.flatnonzero(at < 0)):
             letters = pc.match_substring_regex(words.take(pa.array(new)), r"^\p{L}+$").to_numpy(zero_copy_only=False)
             first = len(self.sizes)
             key, second = hashed(self.learn([listed[i] for i in new], letters))
@@ -106,8 +106,8 @@ class Encoder:
             place = np.searchsorted(self.keys, key[order])
             self.keys, self.seconds = np.insert(self.keys, place, key[order]), np.insert(self.seconds, place, second[order])
             self.numbers = np.insert(self.numbers, place, first + order)
-            at = self.find(keys, seconds)
-        return self.numbers[at]
+            out[new] = self.numbers[self.find(keys[new], seconds[new])]
+        return out
 
     def find(self, keys: np.ndarray, seconds: np.ndarray) -> np.ndarray:
         """Where the words with these hashes are known, -1 for those that aren't."""
@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_wor
                 yield pa.RecordBatch.from_arrays([b["part"].slice(i, 1), pa.array([seq], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([len(with_end)], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "data"])
                 seq += 1
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.octet_length("text").alias("tie"))
     sorted_ = keyed.repartitionByRange(n_bytes // PART_BYTES + 1, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     shards = sorted_.withColumn("part", F.spark_partition_id()).mapInArrow(work, "part int, seq int, n_docs long, n_tokens long, data binary")
     shards.write.parquet(path)
