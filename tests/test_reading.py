@@ -2,7 +2,6 @@
 
 import difflib
 
-import pytest
 from pyspark.sql import functions as F
 
 from wharfinger.functions import grammar, rules, text
@@ -26,22 +25,59 @@ DASH = {
 }
 
 
-@pytest.mark.parametrize("line", DASH)
-def test_dash_lines(line):
-    (r,) = grammar.read_dash(line)
-    assert brief(r) == DASH[line]
+def read(spark, *lines, ports=None):
+    rows = grammar.parse_lines(spark.createDataFrame(list(enumerate(lines)), "id int, line string"), "line", ports).collect()
+    return [brief(r) for r in sorted(rows, key=lambda r: (r["id"], lines[r["id"]].index(r["raw_text"])))]
 
 
-def test_at_lines():
-    two = grammar.read_at("Primrose (s) @ Riga,—5,555 sleepers, Order. Christiana @ Drammen,—146 doz. battens, C. J. Im Thurn & Co.")
-    assert [brief(r) for r in two] == [("Primrose", True, "Riga", [("5,555", None, "sleepers")], "Order", "high"), ("Christiana", False, "Drammen", [("146", "doz.", "battens")], "C. J. Im Thurn & Co.", "high")]
-    tail = grammar.read_at("Caroline @ Gothenburg,—1,135 doz. deals, Order. Neptionus @ Sannesund,—151 t. firewood, Order. A quantity of sapanwood was brought")
-    assert brief(tail[1]) == ("Neptionus", False, "Sannesund", [("151", "t.", "firewood")], "Order", "high")
+def test_dash_lines(spark):
+    assert read(spark, *DASH) == list(DASH.values())
 
 
-def test_line_without_separators():
-    (r,) = grammar.read_dash("Busy Bee (s) Rotterdam 1 case woodware", frozenset(["rotterdam"]))
-    assert (r["ship"], r["origin"], r["steam"], r["confidence"]) == ("Busy Bee", "Rotterdam", True, "medium")
+SHAPES = {
+    "Ida—Memel—40 lds. oak—Order": ("Ida", False, "Memel", [("40", "lds.", "oak")], "Order", "high"),
+    "Ida - Memel - 40 lds. oak - Order": ("Ida", False, "Memel", [("40", "lds.", "oak")], "Order", "high"),
+    "Ida-Memel": ("Ida", False, "Memel", [], None, "medium"),
+    "Ida-40 deals": ("Ida", False, "", [("40", None, "deals")], None, "medium"),
+    "474 pcs. hewn, 3 lds. oak, Price & Co.": ("", False, "", [("474", "pcs.", "hewn"), ("3", "lds.", "oak")], "Price & Co.", "low"),
+    "Ida-Riga-10 deals, Wood & Co.; 1,000 staves, Order": ("Ida", False, "Riga", [("10", None, "deals"), ("1,000", None, "staves")], "Wood & Co.", "high"),
+    "Ida": ("Ida", False, "", [], None, "low"),
+    "Foo-bar-deals-Riga-ends": ("Foo-bar", False, "deals", [(None, None, "ends")], None, "high"),
+    "Ida-Riga-12 1/2 fms. lathwood, &c., qty. of staves": ("Ida", False, "Riga", [("12 1/2", "fms.", "lathwood"), ("qty.", None, "of staves")], None, "high"),
+}
+
+
+def test_shapes_of_dash_lines(spark):
+    assert read(spark, *SHAPES) == list(SHAPES.values())
+
+
+def test_at_lines(spark):
+    got = read(spark, "Primrose (s) @ Riga,—5,555 sleepers, Order. Christiana @ Drammen,—146 doz. battens, C. J. Im Thurn & Co.")
+    assert got == [("Primrose", True, "Riga", [("5,555", None, "sleepers")], "Order", "high"), ("Christiana", False, "Drammen", [("146", "doz.", "battens")], "C. J. Im Thurn & Co.", "high")]
+    tail = read(spark, "Caroline @ Gothenburg,—1,135 doz. deals, Order. Neptionus @ Sannesund,—151 t. firewood, Order. A quantity of sapanwood was brought")
+    assert tail[1] == ("Neptionus", False, "Sannesund", [("151", "t.", "firewood")], "Order", "high")
+    headed = read(spark, "Mahogany. — Ida @ Belize, &c.,—301 logs, Price & Co. Ada @ Tonala,—40, Order")
+    assert headed == [("Ida", False, "Belize", [("301", "logs.", "mahogany")], "Price & Co.", "high"), ("Ada", False, "Tonala", [("40", None, "mahogany")], "Order", "high")]
+
+
+def test_lines_without_separators(spark):
+    got = read(spark, "Busy Bee (s) Rotterdam 1 case woodware", "Black Eagle Sheerness Lavender yard", "Ida New York 40 deals Wood & Co.", "Ida Nowhere 40 deals", "Ida Riga ,, 40 deals", ports=["rotterdam", "sheerness", "york", "new york", "riga"])
+    assert got[0] == ("Busy Bee", True, "Rotterdam", [("1", None, "case woodware")], None, "medium")
+    assert got[1] == ("Black Eagle", False, "Sheerness", [], None, "medium")
+    assert got[2] == ("Ida", False, "New York", [("40", None, "deals")], "Wood & Co.", "medium")
+    assert [r[2] for r in got[3:]] == ["", ""]
+
+
+def test_gazetteer(spark):
+    coords = spark.createDataFrame([("St. John's",), ("Rg",), ("12 34",), ("Riga",)], ["name"])
+    mapping = spark.createDataFrame([("RIGA", "Riga"), ("Order", "Russia"), ("Dantzic", "Danzig")], ["variant", "canonical"])
+    assert sorted(r["name"] for r in grammar.gazetteer(coords, mapping).collect()) == ["dantzic", "danzig", "riga", "st john s"]
+
+
+def test_places_of_names(spark):
+    coords = spark.createDataFrame([("riga", 1.0, 2.0, 1), ("RIGA", 3.0, 4.0, 0), ("Memel", 5.0, 6.0, 2), ("Memel", None, 7.0, 0)], "name string, lat double, lon double, ordinal int")
+    got = names.located(spark.createDataFrame([("riga",), ("Riga",), ("MEMEL",), ("Nowhere",), (None,)], "p string"), "p", coords, "o").collect()
+    assert {r["p"]: (r["o_lat"], r["o_lon"]) for r in got} == {"riga": (1.0, 2.0), "Riga": (3.0, 4.0), "MEMEL": (5.0, 6.0), "Nowhere": (None, None), None: (None, None)}
 
 
 def one(spark, column, **values):
@@ -83,7 +119,7 @@ def test_quantities(spark):
 
 
 def test_continuation(spark):
-    want = {"219 pcs. sawn pitch pine": True, "25 Fauna-Riga": False, "; 180 deals": True}
+    want = {"219 pcs. sawn pitch pine": True, "25 Fauna-Riga": False, "; 180 deals": True, "40 redwood ends": True, "12 Lds. oak": False, "Price & Co., 40": True, "élan": True, "40 Swedes": False}
     df = spark.createDataFrame([(k,) for k in want], ["t"])
     assert {r["t"]: r["c"] for r in df.select("t", arrivals.is_continuation(F.col("t")).alias("c")).collect()} == want
 

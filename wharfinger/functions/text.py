@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 # Names of months and the beginnings that stand for them.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 MONTH_FORMS = {"jan": "Jan.", "feb": "Feb.", "mar": "Mar.", "apr": "Apr.", "may": "May", "jun": "Jun.", "jul": "Jul.", "aug": "Aug.", "sep": "Sep.", "oct": "Oct.", "nov": "Nov.", "dec": "Dec."}
-DATE = r"^\s*((?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t|tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?)\s+(\d{1,2})(?:st|nd|rd|th)?\.?\s+(.*)$"
-DAY = r"^\s*(\d{1,2})(?:st|nd|rd|th)?\.?\s+([^\d].*)$"
+ENDINGS = r"(?:st|nd|rd|th)?\.?"
+NAMED = "|".join(sorted({f for m in MONTHS for f in (m.title(), m[:3].title())} | {"Sept"}, key=len, reverse=True))
+DATE = rf"^\s*((?:{NAMED})\.?)\s+(\d{{1,2}}){ENDINGS}\s+(.*)$"
+DAY = rf"^\s*(\d{{1,2}}){ENDINGS}\s+([^\d].*)$"
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -83,10 +85,6 @@ def sanitize(text: Column, n: int) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 1, n)
 
 
-def protect_thousands(text: Column, mark: str = "\u0000") -> Column:
-    return F.regexp_replace(text, r"(?<=\d),(?=\d{3}\b)", mark)
-
-
 def quantity(text: Column) -> tuple[Column, Column]:
     """(number, what was odd) of a quantity: empty, range (its first number), fraction,
     extremely_large, negative, non_numeric or ok."""

@@ -148,3 +148,20 @@ def merge_coordinates(points: DataFrame, extra: DataFrame) -> DataFrame:
 def status_counts(rows: DataFrame, file: str, status: str, kinds: list[str]) -> DataFrame:
     """Rows of each file by status, a column for each."""
     return rows.groupBy(file).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(status) == k).alias(k) for k in kinds])
+
+
+def first_place(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """name, lat and lon of the first row of each name, in the given order, that has both."""
+    placed = rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    first = placed.groupBy(name).agg(F.min_by(F.struct("lat", "lon"), F.struct(*order)).alias("p"))
+    return first.select(name, "p.lat", "p.lon")
+
+
+def located(rows: DataFrame, name: str, coords: DataFrame, prefix: str) -> DataFrame:
+    """rows with <prefix>_lat and <prefix>_lon of a name: the place of that name as it stands, else of
+    the first one (by ordinal) that differs in case alone. coords has name, lat, lon and ordinal."""
+    exact = first_place(coords, "name", "ordinal").select(F.col("name").alias("_n"), F.struct("lat", "lon").alias("_exact"))
+    loose = first_place(coords.withColumn("name", F.lower("name")), "name", "ordinal").select(F.col("name").alias("_l"), F.struct("lat", "lon").alias("_loose"))
+    found = rows.join(exact, F.col(name) == F.col("_n"), "left").join(loose, F.lower(name) == F.col("_l"), "left")
+    place = F.coalesce("_exact", "_loose")
+    return found.withColumn(f"{prefix}_lat", place["lat"]).withColumn(f"{prefix}_lon", place["lon"]).drop("_n", "_l", "_exact", "_loose")

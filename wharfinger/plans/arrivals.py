@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from wharfinger.functions import grammar, rules, text
 from wharfinger.operators import names, repeats, sequences
 
-MERCHANT_TAIL = r"^[A-Z][\w.\s,&']{0,40}(?:(?:Co\.?|Sons?|Bros?\.?)\s*[;,]|;)"
+#: What may stand in a firm's name and in a port's header, and words that end a firm's name.
+FIRM_CHARS, HEADER_CHARS = r"\w\s.,&'", r"A-Z\s().,'&-"
+FIRM_TAILS = (r"Co\.?", "Sons?", r"Bros?\.?")
 
 
 def is_continuation(line: Column) -> Column:
     """A line that goes on with the entry above: a small letter or mark at its head, an amount of
     cargo (but not a day and a ship), or the end of a firm's name."""
     t = F.trim(line)
-    amount = F.regexp_extract(t, r"^\d[\d,]*(?:\s+\d/\d)?\s+([A-Za-z][\w\-]*)", 1)
-    cargo = amount.rlike(rf"(?i)^(?:{grammar.UNITS}|{grammar.OPENERS})$") & ~t.rlike(r"^\d{1,2}\s+[A-Z][a-z]")
-    return t.rlike(r"^[a-z)\-—–;,&]") | cargo | t.rlike(MERCHANT_TAIL)
+    counted = F.regexp_extract(t, r"^[\d,]+(?:\s+\d/\d)?\s+(\S+)", 1)
+    cargo = counted.rlike(rf"(?i)^{grammar.any_of(grammar.UNITS)}\.?$|^{grammar.OPENS}") | counted.rlike(rf"(?i)^{grammar.any_of((*grammar.UNITS, *grammar.GOODS))}\b")
+    day = t.rlike(r"^\d{1,2}\s+[A-Z][a-z]")
+    firm = t.rlike(rf"^[A-Z][{FIRM_CHARS}]{{0,40}}(?:;|(?:{'|'.join(FIRM_TAILS)})\s*[;,])")
+    return t.rlike(r"^[\p{Ll})\-—–;,&]") | cargo & ~day | firm
 
 
 def parse(lines: DataFrame, labels: DataFrame, ports: list[str] | None = None) -> DataFrame:
@@ -25,7 +29,7 @@ def parse(lines: DataFrame, labels: DataFrame, ports: list[str] | None = None) -
     then each logical line read."""
     rows = lines.join(labels, ["source_file", "line_no"]).where(F.trim("text") != "")
     header = F.col("line_type") == "PORT_HEADER"
-    named = F.regexp_extract(F.trim("text"), r"^([A-Z][A-Z\s\-()'.&,]+)", 1)
+    named = F.regexp_extract(F.trim("text"), rf"^([A-Z][{HEADER_CHARS}]+)", 1)
     port = F.when(header & ~F.trim(named).isin("IMPORTS", "IMPORT", "EXPORTS", "") & (F.length(named) > 0), F.btrim(named, F.lit(" .,-")))
     rows = sequences.carry_forward(rows, port, "port", "source_file", "line_no")
     rows = sequences.carry_forward(rows, F.when(header, F.col("line_no")), "section", "source_file", "line_no")
@@ -60,7 +64,7 @@ def enrich_cargo(records: DataFrame) -> DataFrame:
 def enrich_firms(records: DataFrame, big: int = 100) -> DataFrame:
     """Consignees by kind; named ones by their canonical form, ditto by the one before."""
     rows = records.withColumn("firm_kind", rules.firm_kind(F.col("consignee"))).withColumn("firm", F.when(F.col("firm_kind") == "named", rules.clean_firm(F.col("consignee"))))
-    canon = names.exact_merge(rows.where("firm is not null"), "firm", "record_id")
+    canon = names.exact_merge(rows.where("firm is not null").withColumn("_seen", F.struct("source_file", "line_no", "record_id")), "firm", "_seen")
     near = names.fuzzy_merge(canon.select("canonical", "n"), big=big)
     final = canon.join(near.select("canonical", "target"), "canonical", "left").select(F.col("key").alias("_key"), F.coalesce("target", "canonical").alias("canonical_firm"))
     rows = rows.withColumn("_key", names.squash_firm(F.col("firm"))).join(final, "_key", "left").drop("_key")
@@ -71,10 +75,9 @@ def enrich_firms(records: DataFrame, big: int = 100) -> DataFrame:
 def enrich_ports(records: DataFrame, mapping: DataFrame, errors: DataFrame, coords: DataFrame) -> DataFrame:
     """Both ports normalised and placed, and which of the two are."""
     rows = records
-    place = coords.groupBy("name").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
     for side in ("origin", "dest"):
         rows = names.normalise(rows, side, mapping, errors, coords)
-        rows = rows.join(place.select(F.col("name").alias(f"{side}_normalized"), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon")), f"{side}_normalized", "left")
+        rows = names.located(rows, f"{side}_normalized", coords, side)
     good = lambda s: F.col(f"{s}_status").isin("mapped", "canonical")
     pair = F.when(good("origin") & good("dest"), "both").when(good("origin"), "origin_only").when(good("dest"), "destination_only").otherwise("neither")
     return rows.withColumn("port_status", pair)

@@ -46,8 +46,8 @@ KEYWORDS = ", ".join(f"'{k}'" for k in r.CARGO_KEYWORDS)
 
 @query(f"WITH k AS (SELECT source_file, line_no, list_filter([{KEYWORDS}], lambda x: contains(lower(text), x)) AS words FROM ln) SELECT source_file, line_no, array_to_string(words, ',') AS words FROM k WHERE len(words) > 0", lines=True)
 def contamination(spark, d):
-    rows = page_lines(spark, d).select("source_file", "line_no", r.keywords_in(F.col("text")).alias("k"))
-    return rows.where(F.size("k") > 0).select("source_file", "line_no", F.array_join("k", ",").alias("words"))
+    rows = page_lines(spark, d).select("source_file", "line_no", F.lower("text").alias("low"))
+    return rows.where(r.has_keyword(F.col("low"))).select("source_file", "line_no", F.array_join(r.keywords_in(F.col("low")), ",").alias("words"))
 
 
 ISSUE = "CASE WHEN length(text) <= 3 THEN 'short' WHEN regexp_matches(text, '[<>\\[\\]{}|\\\\]') THEN 'odd' WHEN regexp_matches(text, '\\($') THEN 'truncated' WHEN regexp_matches(text, '^[0-9]') THEN 'date' END"
