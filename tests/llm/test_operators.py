@@ -383,7 +383,7 @@ def test_grammar_round_trip():
         for a, b in ((0, 0), (3, 17), (0, len(ids)), (len(ids) // 2, len(ids))):
             assert (g.range(a, min(b, len(ids))) == ids[a:b]).all()
     assert len(g.symbols) < len(ids) / 8
-    end = grammar.induce(ids, 1000, saves=0)
+    end = grammar.induce(ids, 1000)
     pair_counts = Counter(zip(end.symbols[:-1].tolist(), end.symbols[1:].tolist()))
     assert all(n < 2 * grammar.LEAST for (a, b), n in pair_counts.items() if a != b) and (end.expand(end.symbols) == ids).all()
 

@@ -20,7 +20,7 @@ from wharfinger.llm.words import spread
 
 MAGIC = b"WRP2"
 MARK = 1024
-TOP, LEAST, SAVES, BUCKET_BITS = 8192, 4, 1 / 1000, 20  # a rule is three numbers, so pairs found four times pay
+TOP, LEAST, BUCKET_BITS = 8192, 4, 20  # a rule is three numbers, so pairs found four times pay
 _U64 = np.uint64
 
 
@@ -100,55 +100,67 @@ class Grammar:
         return self._marks
 
 
-def induce(ids: np.ndarray, base: int, top: int = TOP, least: int = LEAST, saves: float = SAVES) -> Grammar:
+def induce(ids: np.ndarray, base: int, top: int = TOP, least: int = LEAST) -> Grammar:
     """A grammar of the ids, all below base. Each round takes at most `top` pairs that occur
     `least` times or more; pairs that meet in a bucket with another one wait for a later round.
-    It goes on until a round saves less than the share `saves` of the symbols; with 0 until two
-    rounds in a row find no pair."""
-    symbols, rules, lengths = ids.astype(np.uint32), [], []
-    known = 0
-    size = np.ones(base, np.uint32)
+    It goes on until two rounds in a row find no pair; a round looks only at pairs that may still
+    be frequent."""
+    symbols, rules = ids.astype(np.uint32), []
+    known, size = 0, np.ones(base, np.uint32)
+    open_ = np.arange(len(symbols) - 1)  # where pairs begin that may still be frequent
     turn = idle = 0
-    while len(symbols) > 1 and idle < 2:
+    while len(open_) and idle < 2:
         turn += 1
         idle += 1
-        key = np.empty(len(symbols) - 1, _U64)  # a pair's first symbol is the lower half
-        for i in (0, 1):
-            key[i::2] = symbols[i : i + (len(symbols) - i) // 2 * 2].view(_U64)
-        bucket = ((key * _U64(0x9E3779B97F4A7C15 + 2 * 0x2545F4914F6CDD1D * turn & (1 << 64) - 1)) >> _U64(64 - BUCKET_BITS)).view(np.int64)
-        holder = np.zeros(1 << BUCKET_BITS, _U64)
+        bits = min(BUCKET_BITS, len(open_).bit_length() + 1)
+        n = 1 << bits
+        key = symbols[open_].astype(_U64) | (symbols[open_ + 1].astype(_U64) << _U64(32))
+        bucket = ((key * _U64(0x9E3779B97F4A7C15 + 2 * 0x2545F4914F6CDD1D * turn & (1 << 64) - 1)) >> _U64(64 - bits)).view(np.int64)
+        holder = np.empty(n, _U64)
         holder[bucket] = key
-        bucket = np.where(holder[bucket] == key, bucket, 1 << BUCKET_BITS)  # the last one takes those that wait
-        counts = np.bincount(bucket, minlength=1 << BUCKET_BITS)[: 1 << BUCKET_BITS]
+        bucket[holder[bucket] != key] = n  # the last one takes those that wait
+        counts = np.bincount(bucket, minlength=n + 1)
+        counts[-1] = 0
         chosen = np.flatnonzero(counts >= least)
         if len(chosen) > top:
             chosen = chosen[np.argpartition(-counts[chosen], top)[:top]]
+        counts[-1] = least
+        stay = counts[bucket] >= least  # a pair of old symbols never becomes more frequent
         if not len(chosen):
+            open_ = open_[stay]
             continue
-        number = np.full((1 << BUCKET_BITS) + 1, -1, np.int32)
+        number = np.full(n + 1, -1, np.int32)
         number[chosen] = np.arange(len(chosen), dtype=np.int32)
         rule = number[bucket]
-        at = np.flatnonzero(rule >= 0)
+        hit = np.flatnonzero(rule >= 0)
+        at, rule = open_[hit], rule[hit]
         run = np.flatnonzero(np.diff(at, prepend=-2) > 1)
         start = np.repeat(at[run], np.diff(run, append=len(at)))
-        at = at[(at - start) % 2 == 0]
-        used = np.bincount(rule[at], minlength=len(chosen))
-        at = at[used[rule[at]] > 1]
+        even = (at - start) % 2 == 0
+        at, rule = at[even], rule[even]
+        used = np.bincount(rule, minlength=len(chosen))
+        paid = used[rule] > 1
+        at, rule = at[paid], rule[paid]
         if not len(at):
+            open_ = open_[stay]
             continue
         order = np.cumsum(used > 1) - 1
         pairs = holder[chosen[used > 1]]
         new = pairs.view(np.uint32).reshape(-1, 2)
         rules.append(new)
         size = np.append(size, size[new[:, 0]] + size[new[:, 1]])
-        symbols[at] = (base + known + order[rule[at]]).astype(np.uint32)
+        symbols[at] = (base + known + order[rule]).astype(np.uint32)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        done, symbols = len(at) < saves * len(symbols), symbols[keep]
+        mark = np.zeros(len(symbols), bool)  # pairs that stay open, and those with a new symbol
+        mark[open_[stay]] = True
+        mark[at] = True
+        symbols, mark = symbols[keep], mark[keep]
+        fresh = np.flatnonzero(symbols >= base + known)
+        mark[np.maximum(fresh - 1, 0)] = True
+        open_ = np.flatnonzero(mark[:-1])
         known += len(new)
         idle = 0
-        if done:
-            break
     all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     return Grammar(base, all_rules, size[base:].astype(np.uint32), symbols)
 

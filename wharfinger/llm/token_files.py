@@ -124,9 +124,16 @@ class Encoder:
         if not self.by_word:
             each = self.whole(texts.to_pylist())
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
-        special = np.zeros(len(texts), bool)
-        for t in self.added:
-            special |= pc.match_substring(texts, t, ignore_case=True).to_numpy(zero_copy_only=False)
+        w = split_words(texts)
+        lower = pc.ascii_lower(w.vocab)
+        special, word = np.zeros(len(texts), bool), np.zeros(len(lower), bool)
+        for t in self.added:  # looked for in the words, if it has no white space
+            if t.split() == [t]:
+                word |= pc.match_substring(lower, t.lower()).to_numpy(zero_copy_only=False)
+            else:
+                special |= pc.match_substring(texts, t, ignore_case=True).to_numpy(zero_copy_only=False)
+        if word.any():
+            special |= sums(word[w.codes], w.offsets) > 0
         if special.any():
             each: list = [None] * len(texts)
             for i, ids in zip(np.flatnonzero(special), self.whole(texts.filter(pa.array(special)).to_pylist()), strict=True):
@@ -137,10 +144,8 @@ class Encoder:
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
         if len(self.keys) > MEMO:
             self.forget()
-        w = split_words(texts)
         if not len(w.codes):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        lower = pc.ascii_lower(w.vocab)
         parts = pc.extract_regex(lower, r"^(?P<stem>\p{L}+)(?P<tail>[!-/:-@\[-`{-~]+)$")
         stem = pc.coalesce(parts.field("stem"), lower) if parts.null_count == 0 else pc.if_else(parts.is_valid(), parts.field("stem"), lower)
         stem = stem.dictionary_encode()
@@ -159,7 +164,7 @@ def encoder(path: str, by_word: bool) -> Encoder:
     return Encoder(path, by_word)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_word: bool = False, saves: float = grammar.SAVES) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_word: bool = False) -> None:
     """Writes the shards of docs to a new table at path."""
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
@@ -175,7 +180,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_wor
                 inner[ends] = False
                 with_end[inner] = ids
                 doc_id = b["doc_id"].slice(i, j - i)
-                data = grammar.to_bytes(grammar.induce(with_end, enc.base, saves=saves), n + 1, pc.fill_null(doc_id, 0).to_numpy(), pc.is_null(doc_id).to_numpy(zero_copy_only=False))
+                data = grammar.to_bytes(grammar.induce(with_end, enc.base), n + 1, pc.fill_null(doc_id, 0).to_numpy(), pc.is_null(doc_id).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([b["part"].slice(i, 1), pa.array([seq], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([len(with_end)], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "data"])
                 seq += 1
 
