@@ -53,6 +53,21 @@ def file_year(name: Column) -> Column:
     return F.coalesce(found(name, r"^(\d{4})"), found(name, r"(18\d\d|1900)")).cast("int")
 
 
+def issue_month(name: Column) -> tuple[Column, Column]:
+    """(year, month) of an issue from a file name: eight figures at its head, a month's full name with
+    a day and a year, or a year alone, whose month is null."""
+    head = r"^(\d{4})(\d{2})\d{2}"
+    spelt = rf"(?i)({'|'.join(MONTHS)})\s+\d{{1,2}},?\s+(18\d\d|1900)"
+    year = F.coalesce(found(name, head, 1), found(name, spelt, 2), found(name, r"(18\d\d|1900)")).cast("int")
+    month = F.when(name.rlike(head), found(name, head, 2).cast("int")).otherwise(month_of(found(name, spelt, 1)))
+    return year, month
+
+
+def audit_year(name: Column) -> Column:
+    """The year of an audit by file name: 1870 to 1899 as text, else unknown."""
+    return F.coalesce(found(name, r"(18[7-9]\d)"), F.lit("unknown"))
+
+
 def arrival_iso(date: Column, issue_year: Column, issue_month: Column) -> Column:
     """"Mon. D" in an issue's year, or the year before if December comes in a January issue."""
     month, day = month_of(date), found(date, r"^[A-Za-z]{3}\.?\s+(\d{1,2})$").cast("int")

@@ -26,6 +26,23 @@ def error_rates(df: DataFrame, file: str, bad: Column, k: int = 50) -> DataFrame
     return n.withColumn("rate", F.round(F.col("bad") / F.col("n"), 6)).orderBy(F.desc("rate"), file).limit(k)
 
 
+def many_empty(df: DataFrame, file: str, empty: Column, share: float = 0.2) -> DataFrame:
+    """Files of whose rows more than the share is empty."""
+    n = df.groupBy(file).agg(F.count(F.lit(1)).alias("n"), F.count_if(empty).alias("empty"))
+    return n.where(F.col("empty") > F.lit(share) * F.col("n")).withColumn("rate", F.round(F.col("empty") / F.col("n"), 3))
+
+
+def stamped(df: DataFrame, name: str, column: str, value: Column) -> tuple[DataFrame, DataFrame]:
+    """df with the column as it should be, and (stamped, unresolvable): how many rows that changed, and
+    how many of these have no value. A second run changes none."""
+    new = df.withColumn("_new", value)
+    if column not in df.columns:
+        new = new.withColumn(column, F.lit(None).cast("string"))
+    changed = ~F.col(column).eqNullSafe(F.col("_new"))
+    counts = new.agg(F.count_if(changed).alias("stamped"), F.count_if(changed & F.col("_new").isNull()).alias("unresolvable"))
+    return new.withColumn(column, F.col("_new")).drop("_new"), counts
+
+
 def catalogue(df: DataFrame, value: Column, valid: DataFrame | None = None) -> DataFrame:
     """Values without case and their counts; those that `valid` (value) lacks, if it is given."""
     n = df.groupBy(F.lower(F.trim(value)).alias("value")).agg(F.count(F.lit(1)).alias("n"))

@@ -23,6 +23,21 @@ def total_and_labels(df: DataFrame, labels: str, label: str, *keys: str) -> Data
     return total.unionByName(label_cube(df, labels, label, *keys))
 
 
+def cube_levels(df: DataFrame, labels: str, label: str, first: str, second: str, key: str) -> DataFrame:
+    """level, first, second, key, label and n of three levels: both sides (route), the second alone
+    (imports) and the first alone (exports), each in all (label null) and by label. Rows without a side
+    are in the levels that don't name it."""
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    out = []
+    for level, keys in (("route", (first, second)), ("imports", (second,)), ("exports", (first,))):
+        rows = df
+        for k in keys:
+            rows = rows.where(F.col(k).isNotNull())
+        cube = total_and_labels(rows, labels, label, *keys, key)
+        out.append(cube.select(F.lit(level).alias("level"), *[F.col(c) if c in keys else none(c) for c in (first, second)], key, label, "n"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def ranked(df: DataFrame, by: str, *ties: str, name: str = "rank") -> DataFrame:
     """Places by falling `by`, ties in order. For the few rows of a roll-up: one task sees all."""
     return df.withColumn(name, F.row_number().over(W.orderBy(F.desc(by), *ties)))
