@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wharfinger.sources.files import saved
+
 
 def squash_port(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(name, r"[.,'\s]+", " ")))
@@ -84,16 +86,18 @@ def unmapped(df: DataFrame, name: str, known: DataFrame) -> DataFrame:
     return n.join(known.select(F.lower("name").alias("_l")).distinct(), "_l", "left_anti").select(name, "n")
 
 
-def resolve_aliases(alias: DataFrame, steps: int = 16) -> DataFrame:
-    """Follows variant -> canonical to the end; a cycle ends at the least name on the way.
-    Paths double at each of the few rounds, and the table of aliases is small."""
-    out = alias.select("variant", F.array("variant", "canonical").alias("path"))
-    for _ in range(max(1, steps.bit_length())):
-        nxt = out.select(F.col("variant").alias("_v"), F.col("path").alias("_q"))
-        j = out.join(nxt, F.element_at("path", -1) == F.col("_v"), "left")
-        out = j.select("variant", F.when(F.col("_q").isNull() | (F.array_size(F.array_distinct("path")) < F.array_size("path")), F.col("path")).otherwise(F.concat("path", F.slice("_q", F.lit(2), F.size("_q")))).alias("path"))
-    cyclic = F.size(F.array_distinct("path")) < F.size("path")
-    return out.select("variant", F.when(cyclic, F.array_min("path")).otherwise(F.element_at("path", -1)).alias("canonical"))
+def resolve_aliases(alias: DataFrame) -> DataFrame:
+    """Follows variant -> canonical to the end, however long the path; one that runs into a cycle ends
+    at the least name on the way. A variant given twice goes to its least canonical. Each round
+    doubles the steps, until they are as many as there are aliases; rounds are cut by checkpoints."""
+    least = F.least("variant", F.min("canonical"))
+    out = saved(alias.where("variant is not null and canonical is not null").groupBy("variant").agg(F.min("canonical").alias("end"), least.alias("least")))
+    for _ in range(out.count().bit_length()):
+        nxt = out.select(F.col("variant").alias("_v"), F.col("end").alias("_e"), F.col("least").alias("_l"))
+        j = out.join(nxt, F.col("end") == F.col("_v"), "left")
+        out = saved(j.select("variant", F.coalesce("_e", "end").alias("end"), F.least("least", "_l").alias("least")))
+    more = out.select(F.col("variant").alias("_v"))
+    return out.join(more, F.col("end") == F.col("_v"), "left").select("variant", F.when(F.col("_v").isNotNull(), F.col("least")).otherwise(F.col("end")).alias("canonical"))
 
 
 def merge_authorities(*sources: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -77,3 +79,14 @@ def indexed(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with a column replaced by its value's place in order, from 0 on. Values are a dimension."""
     dim = df.select(column).distinct().withColumn(name, F.row_number().over(W.orderBy(column)) - 1)
     return df.join(dim, df[column].eqNullSafe(dim[column])).drop(column)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df computed and kept in the checkpoint folder, which all machines must share. Local sessions
+    without one get a folder of their own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="wharfinger"))
+    return df.checkpoint()
