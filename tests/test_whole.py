@@ -8,7 +8,7 @@ from conftest import SF
 
 from wharfinger import catalog
 from wharfinger.operators import names
-from wharfinger.plans import more, statistics
+from wharfinger.plans import more, reports, statistics
 
 
 def test_mojibake_of_whole_texts(spark):
@@ -63,9 +63,18 @@ def test_up_to_four_breaks(spark, monkeypatch):
     series = spark.createDataFrame([("X", t + 1, float(x)) for t, x in enumerate(v)], "origin_region string, t long, v double")
     monkeypatch.setattr(statistics, "monthly", lambda spark, d: series)
     monkeypatch.setattr(more, "monthly", lambda spark, d: series)
+    monkeypatch.setattr(reports, "monthly", lambda spark, d: series)
     [r] = catalog.QUERIES["best_break_bic_4"](spark, SF).collect()
     assert m == 3 and (r["m"], r["breaks"]) == (m, at) and abs(r["bic"] - bic) < 1e-3
     ends = [0, *map(int, at.split(",")), n]
     got = sorted((r["segment"], r["n"], r["slope"]) for r in catalog.QUERIES["segment_slopes_4"](spark, SF).collect())
     assert [g[:2] for g in got] == [(k, b - a) for k, (a, b) in enumerate(zip(ends, ends[1:]))]
     assert all(abs(g[2] - np.polyfit(np.arange(a, b), v[a:b], 1)[0]) < 1e-5 for g, a, b in zip(got, ends, ends[1:]))
+    want, inner = set(), ends[1:-1]
+    cost = sum(ssr[e] for e in zip(ends, ends[1:]))
+    for k in range(m):
+        for place in range(1, n):
+            at = [0, *inner[:k], place, *inner[k + 1 :], n]
+            if all(e in ssr for e in zip(at, at[1:])) and sum(ssr[e] for e in zip(at, at[1:])) <= 1.01 * cost:
+                want.add((k + 1, place))
+    assert {(r["k"], r["place"]) for r in catalog.QUERIES["break_confidence_4"](spark, SF).collect()} == want and len(want) >= m

@@ -51,4 +51,4 @@ def query(sql: str | None = None, arrivals: bool = False, lines: bool = False, n
     return register
 
 
-from wharfinger.plans import audits, checks, cubes, entities, more, records, statistics, trade  # noqa: E402, F401  they register themselves
+from wharfinger.plans import audits, checks, cubes, entities, more, records, reports, statistics, trade  # noqa: E402, F401  they register themselves

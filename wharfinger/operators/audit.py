@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wharfinger.functions import rules
+
 
 def completeness(df: DataFrame, *fields: str) -> DataFrame:
     """field, empty and percent of rows, in one pass over them."""
@@ -71,3 +73,50 @@ def reporting_style(text: Column) -> Column:
     without any line that looks like either."""
     single, total = F.size(F.regexp_extract_all(text, F.lit(r"(@|\(s\)|-[A-Z][a-z]+-)"), F.lit(1))), F.size(F.regexp_extract_all(text, F.lit(r"(?i)\b(total|various|sundry)\b"), F.lit(1)))
     return F.when((single == 0) & (total == 0), "not_found").when(single > 3 * total, "individual").when(total > 3 * single, "aggregated").when((single > 0) & (total > 0), "mixed").otherwise("unclear")
+
+
+def port_checks(df: DataFrame, port: str, fixes: DataFrame, headers: tuple[str, ...], variants: DataFrame) -> DataFrame:
+    """What is wrong with each port name, with its rows: port, n, category (the first issue, "empty" or
+    "ok"), issues, and what each rule would put in its place. fixes (value, fix) knows names cut
+    short, variants (value, canonical) misread ones, both in capitals; headers are parts of headings."""
+    upper = F.upper(F.trim("port"))
+    n = df.groupBy(F.coalesce(F.col(port), F.lit("")).alias("port")).agg(F.count(F.lit(1)).alias("n"))
+    n = n.join(fixes.select(F.col("value").alias("_f"), "fix"), upper == F.col("_f"), "left").join(variants.select(F.col("value").alias("_v"), "canonical"), upper == F.col("_v"), "left")
+    short = upper.endswith("(") | upper.rlike(r"^\p{Lu}{1,3}$")
+    heading = F.col("port").rlike(r"^[\d\-.,\s]+$")
+    for h in headers:
+        heading = heading | F.contains(upper, F.lit(h))
+    n = n.withColumn("clean", rules.port_and_goods(F.col("port"))["port"])
+    found = F.array(F.when(F.col("clean").isNotNull(), "port_cargo_combined"), F.when(F.col("_f").isNotNull(), "truncated").when(short, "unmatched_short"), F.when(heading, "header_as_port"), F.when(F.col("_v").isNotNull(), "ocr_variant"))
+    n = n.withColumn("issues", F.when(upper == "", F.array().cast("array<string>")).otherwise(F.array_compact(found)))
+    return n.select("port", "n", F.when(upper == "", "empty").otherwise(F.coalesce(F.get("issues", F.lit(0)), F.lit("ok"))).alias("category"), "issues", "clean", "fix", "canonical")
+
+
+def fix_rules(checks: DataFrame) -> DataFrame:
+    """rule, value and replacement (null: leave it out) from port_checks: ports without their goods, names
+    completed, headings left out, misread names."""
+    upper, has = F.upper(F.trim("port")), lambda x: F.array_contains("issues", x)
+    rule = lambda on, name, value, new: F.when(on, F.struct(F.lit(name).alias("rule"), value.alias("value"), new.alias("replacement")))
+    every = F.array(
+        rule(has("port_cargo_combined"), "port_cargo_split", F.col("port"), F.col("clean")),
+        rule(has("truncated") & (F.col("fix") != ""), "truncation_completion", upper, F.col("fix")),
+        rule(has("header_as_port"), "error_exclusions", F.col("port"), F.lit(None).cast("string")),
+        rule(has("ocr_variant"), "ocr_normalization", F.upper("port"), F.col("canonical")),
+    )
+    return checks.select(F.explode(F.array_compact(every)).alias("r")).select("r.*").distinct()
+
+
+def summary(df: DataFrame, flags: dict[str, tuple[Column, str]], sums: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """metric, n, percent of rows and priority: how many rows each flag holds for, in one pass, and the sums
+    of the column n of further frames."""
+    counts = df.agg(F.count(F.lit(1)).alias("t"), *[F.count_if(x).alias(f"_{i}") for i, (x, _) in enumerate(flags.values())])
+    each = [F.struct(F.lit(k).alias("metric"), F.col(f"_{i}").alias("n"), F.lit(p).alias("priority")) for i, (k, (_, p)) in enumerate(flags.items())]
+    for i, (k, (rows, p)) in enumerate((sums or {}).items()):
+        counts = counts.crossJoin(rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"s_{i}")))
+        each.append(F.struct(F.lit(k).alias("metric"), F.col(f"s_{i}").alias("n"), F.lit(p).alias("priority")))
+    return counts.select("t", F.explode(F.array(*each)).alias("x")).select("x.metric", "x.n", F.round(F.col("x.n") * 100 / F.greatest("t", F.lit(1)), 1).alias("percent"), "x.priority")
+
+
+def rates_by(df: DataFrame, key: str, bad: Column) -> DataFrame:
+    """Rows, bad rows and their share by a key such as the year."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.round(F.avg(bad.cast("double")), 6).alias("rate"))

@@ -59,3 +59,33 @@ def busiest(edge: DataFrame, year: int, k: int) -> DataFrame:
 
 def career(df: DataFrame, ship: str) -> DataFrame:
     return df.where(F.col("ship") == ship).select("record_id", F.date_format("arrived", "yyyy-MM-dd").alias("iso"), "origin", "dest")
+
+
+def tables(df: DataFrame, coords: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The graph as 13 tables by name: five kinds of node, records, seven kinds of edge. coords has a
+    row (name, lat, lon) for each placed port. Edges to a value that is null or empty are left out."""
+    every, n = F.count(F.lit(1)), lambda name: F.count(F.lit(1)).alias(name)
+    out, into = df.groupBy(F.col("origin").alias("name")).agg(n("shipments_out")), df.groupBy(F.col("dest").alias("name")).agg(n("shipments_in"))
+    port = out.join(into, "name", "full").where("name <> ''").fillna(0, ["shipments_out", "shipments_in"])
+    port = port.join(coords, "name", "left").select("name", "lat", "lon", "shipments_out", "shipments_in") if coords is not None else port
+    goods = df.select("record_id", F.explode(F.array_distinct("forms")).alias("form"), *[c for c in ("quantity", "unit", "item_raw") if c in df.columns])
+    kept = [c for c in df.columns if c not in ("origin", "dest", "ship", "merchant", "species", "forms", "quantity", "unit", "item_raw")]
+
+    def node(rows: DataFrame, column: str, name: str = "name") -> DataFrame:
+        return rows.where(F.col(column) != "").groupBy(F.col(column).alias(name)).agg(every.alias("shipments"))
+
+    def edge(column: str) -> DataFrame:
+        return links(df, column).where("target <> ''")
+
+    routes = df.where("origin <> '' and dest <> ''").groupBy("origin", F.col("dest").alias("destination"), "year").agg(every.alias("shipments"))
+    return {
+        "Port": port, "Ship": node(df, "ship"), "Merchant": node(df, "merchant"), "Commodity": node(goods, "form", "form"), "Species": node(df, "species"), "Shipment": df.select(*kept),
+        "ARRIVED_FROM": edge("origin"), "ARRIVED_AT": edge("dest"), "BY_SHIP": edge("ship"), "CONSIGNED_TO": edge("merchant"), "CARRIED": goods, "CARRIED_SPECIES": edge("species"), "ROUTE": routes,
+    }
+
+
+def load(graph: dict[str, DataFrame], path: str, prefix: str = "graph_") -> None:
+    """Writes each table as a dataset of its own below path, then shows it as a temporary view."""
+    for name, rows in graph.items():
+        rows.write.parquet(f"{path}/{name}")
+        rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}").createOrReplaceTempView(prefix + name.lower())

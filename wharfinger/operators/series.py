@@ -147,3 +147,17 @@ def triangulate(a: DataFrame, b: DataFrame, year: str, value: str) -> DataFrame:
 def agreement(both: DataFrame) -> DataFrame:
     """Over the years that both series have: their number and the mean absolute difference."""
     return both.where("a is not null and b is not null").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mae"))
+
+
+def break_sets(errors: DataFrame, best: DataFrame, part: str, within: float = 1.01) -> DataFrame:
+    """For each chosen break the places that it could have, the others held: those at which the error of
+    the whole series stays within a factor of the least. best has part, n, cost and breaks."""
+    ends = F.concat(F.array(F.lit(0)), F.col("breaks"), F.array(F.col("n").cast("int")))
+    each = best.where(F.size("breaks") > 0).select(part, "cost", F.posexplode("breaks").alias("p", "at"), ends.alias("e"))
+    each = each.select(part, "cost", (F.col("p") + 1).alias("k"), "at", F.get("e", F.col("p")).alias("lo"), F.get("e", F.col("p") + 2).alias("hi"))
+    left = errors.select(part, (F.col("i") - 1).cast("int").alias("lo"), F.col("j").cast("int").alias("place"), F.col("ssr").alias("a"))
+    right = errors.select(part, (F.col("i") - 1).cast("int").alias("place"), F.col("j").cast("int").alias("hi"), F.col("ssr").alias("b"))
+    tried = each.join(left, [part, "lo"]).join(right, [part, "hi", "place"]).withColumn("two", F.col("a") + F.col("b"))
+    chosen = F.max(F.when(F.col("place") == F.col("at"), F.col("two"))).over(W.partitionBy(part, "k"))
+    whole = F.col("cost") - chosen + F.col("two")
+    return tried.withColumn("ssr", whole).where(F.col("ssr") <= within * F.col("cost")).select(part, F.col("k").cast("int").alias("k"), "place", F.round("ssr", 4).alias("ssr"))

@@ -31,10 +31,15 @@ SPOILT = """CASE l_orderkey % 5 WHEN 0 THEN 'Port ' || l_suppkey || '-Timber, 4'
 CASE l_partkey % 6 WHEN 0 THEN 'Jan. ' || l_suppkey WHEN 1 THEN '3 dec Anna' WHEN 2 THEN 'Anna 40 pcs. oak' WHEN 3 THEN '5/6 Ida' WHEN 4 THEN '12 red deals' ELSE 'Vesta ' || l_suppkey || ' pcs' END AS ship"""
 
 
-def spoilt(spark, d):
+def spoilt_fields():
     k, n = F.col("l_suppkey").cast("string"), F.lit
     port = F.when(F.col("l_orderkey") % 5 == 0, F.concat(n("Port "), k, n("-Timber, 4"))).when(F.col("l_orderkey") % 5 == 1, F.concat(n("Port "), k, n(" & Co."))).when(F.col("l_orderkey") % 5 == 2, F.concat(n("Port, etc. "), k)).when(F.col("l_orderkey") % 5 == 3, F.concat(n("Border "), k)).otherwise("Order")
     ship = F.element_at(F.array(F.concat(n("Jan. "), k), n("3 dec Anna"), n("Anna 40 pcs. oak"), n("5/6 Ida"), n("12 red deals"), F.concat(n("Vesta "), k, n(" pcs"))), (F.col("l_partkey") % 6 + 1).cast("int"))
+    return port, ship
+
+
+def spoilt(spark, d):
+    port, ship = spoilt_fields()
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", port.alias("port"), ship.alias("ship"))
 
 

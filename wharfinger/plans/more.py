@@ -12,6 +12,7 @@ from wharfinger.operators import series as s
 from wharfinger.plans.entities import authority, raw_origin
 from wharfinger.plans.statistics import SEGMENTS, monthly
 from wharfinger.sources.adapters import arrivals, table
+from wharfinger.sources.files import saved
 
 
 @query(
@@ -30,7 +31,8 @@ def segment_slopes(spark, d):
 @query()
 def segment_slopes_4(spark, d):
     """Of the segments between the breaks, 0 to 4, that BIC chooses."""
-    best = s.by_bic(s.best_breaks(s.segment_errors(monthly(spark, d), "t", "v", "origin_region", least=8), "origin_region", 4), "origin_region")
+    e = saved(s.segment_errors(monthly(spark, d), "t", "v", "origin_region", least=8))
+    best = s.by_bic(s.best_breaks(e, "origin_region", 4), "origin_region")
     breaks = F.transform(F.filter(F.split("breaks", ","), lambda b: b != ""), lambda b: b.cast("int"))
     return s.segment_slopes(monthly(spark, d), best.withColumn("breaks", breaks), "t", "v", "origin_region")
 

@@ -88,7 +88,7 @@ def repetition_loops(spark, d):
     arrivals=True,
 )
 def key_dups(spark, d):
-    return repeats.key_repeats(arrivals(spark, d), "record_id", "ship", "origin", "issue")
+    return repeats.key_repeats(arrivals(spark, d), "record_id", "ship", "origin", "issue", needed=("ship", "issue"))
 
 
 FILES = "SELECT event_id, (1870 + event_id % 25)::VARCHAR || strftime(ts, '%m%d') || 'J_p' || lpad((event_id % 7)::VARCHAR, 3, '0') AS a, 'Journal - ' || strftime(ts, '%B') || ' ' || day(ts) || ' ' || (1870 + event_id % 25) || ' - p' AS b FROM events"

@@ -8,6 +8,7 @@ from wharfinger.catalog import query
 from wharfinger.operators import counts as c
 from wharfinger.operators import series as s
 from wharfinger.sources.adapters import arrivals
+from wharfinger.sources.files import saved
 
 YEARLY = "y AS (SELECT year, avg((origin_region = 'ASIA')::INT::DOUBLE) AS a, avg(steam::INT::DOUBLE) AS b, count(*) AS n FROM arr GROUP BY year)"
 MONTHLY = "m AS (SELECT origin_region, (year(l) - 1995) * 12 + month(l) AS t, count(*)::DOUBLE AS v FROM (SELECT origin_region, arrived AS l FROM arr) GROUP BY ALL)"
@@ -110,7 +111,7 @@ def best_break_bic(spark, d):
 @query()
 def best_break_bic_4(spark, d):
     """Among 0 to 4 breaks."""
-    e = s.segment_errors(monthly(spark, d), "t", "v", "origin_region", least=8)
+    e = saved(s.segment_errors(monthly(spark, d), "t", "v", "origin_region", least=8))
     return s.by_bic(s.best_breaks(e, "origin_region", 4), "origin_region")
 
 
