@@ -161,3 +161,14 @@ def break_sets(errors: DataFrame, best: DataFrame, part: str, within: float = 1.
     chosen = F.max(F.when(F.col("place") == F.col("at"), F.col("two"))).over(W.partitionBy(part, "k"))
     whole = F.col("cost") - chosen + F.col("two")
     return tried.withColumn("ssr", whole).where(F.col("ssr") <= within * F.col("cost")).select(part, F.col("k").cast("int").alias("k"), "place", F.round("ssr", 4).alias("ssr"))
+
+
+def side_by_side(named: dict[str, DataFrame], year: str, value: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Any number of series by year, and for each pair the first over the second, null where either is
+    missing or the second is not above zero."""
+    out = None
+    for name, rows in named.items():
+        x = rows.select(year, F.col(value).alias(name))
+        out = x if out is None else out.join(x, year, "full")
+    ratios = [F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 6).alias(f"{a}_to_{b}") for a, b in pairs]
+    return out.select(year, *[F.round(n, 6).alias(n) for n in named], *ratios)

@@ -101,3 +101,12 @@ def persistence_by_size(df: DataFrame, year: str, limits: list[int], *route: str
     size = sum(((F.col("k") >= x).cast("int") for x in limits), F.lit(0))
     rows = n.join(calendar, year).join(later, [*route, "next"], "left").withColumn("size", size)
     return rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("again", F.lit(0)).cast("double")), 6).alias("persistence"))
+
+
+def official_shares(df: DataFrame, *within: str) -> DataFrame:
+    """Each country's share of quantity, over cells in loads alone, and of value, over cells with one.
+    df has country, unit, quantity and value; within are the years or kinds that shares add up in."""
+    n = df.groupBy(*within, "country").agg(F.coalesce(F.sum(F.when(F.col("unit") == "loads", F.col("quantity"))), F.lit(0.0)).alias("quantity"), F.coalesce(F.sum(F.when(F.col("value") != 0, F.col("value"))), F.lit(0.0)).alias("value"))
+    every = W.partitionBy(*within)
+    share = lambda c: F.round(F.try_divide(F.col(c), F.sum(c).over(every)), 6).alias(f"{c}_share")
+    return n.select(*within, "country", share("quantity"), share("value"))

@@ -137,3 +137,14 @@ def break_confidence_4(spark, d):
     e = saved(s.segment_errors(monthly(spark, d), "t", "v", "origin_region", least=8))
     every = saved(s.best_breaks(e, "origin_region", 4))
     return s.break_sets(e, every.join(s.by_bic(every, "origin_region").select("origin_region", "m"), ["origin_region", "m"]), "origin_region")
+
+
+@query(
+    """WITH a AS (SELECT year, avg(quantity) AS v FROM arr WHERE steam AND year < 2001 GROUP BY year), b AS (SELECT year, avg(quantity) AS v FROM arr WHERE NOT steam AND year > 1995 GROUP BY year), c AS (SELECT year, avg(quantity) AS v FROM arr WHERE coast = 'ASIA' AND year <> 1998 GROUP BY year)
+SELECT year, round(a.v, 6) AS a, round(b.v, 6) AS b, round(c.v, 6) AS c, round(a.v / b.v, 6) AS a_to_b, round(b.v / c.v, 6) AS b_to_c FROM a FULL JOIN b USING (year) FULL JOIN c USING (year)""",
+    arrivals=True,
+)
+def triangulation_of_three(spark, d):
+    rows = arrivals(spark, d).select("year", "steam", "coast", "quantity")
+    one = lambda on: rows.where(on).groupBy("year").agg(F.avg("quantity").alias("v"))
+    return s.side_by_side({"a": one("steam and year < 2001"), "b": one("not steam and year > 1995"), "c": one("coast = 'ASIA' and year <> 1998")}, "year", "v", [("a", "b"), ("b", "c")])

@@ -140,3 +140,38 @@ def merchant_place_named(spark, d):
     named = arrivals(spark, d).where(F.right("merchant", F.lit(1)) != "0").select("merchant", "dest", "year")
     rows = t.with_group(named, "dest", lists(spark, d), "place").withColumn("place", F.coalesce("place", F.lit("")))
     return rows.groupBy("merchant", "place", "year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH o AS (SELECT year(l_shipdate)::INT AS year, n_name AS country, l_returnflag AS u, l_quantity AS q, CASE WHEN l_discount = 0 THEN 0 ELSE l_quantity END AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+g AS (SELECT year, country, coalesce(sum(q) FILTER (u = 'A'), 0) AS q, sum(v) AS v FROM o GROUP BY ALL)
+SELECT year, country, round(q / sum(q) OVER (PARTITION BY year), 6) AS quantity_share, round(v / sum(v) OVER (PARTITION BY year), 6) AS value_share FROM g"""
+)
+def official_shares_by_year(spark, d):
+    """Every year; return flag A is loads, and items without a discount have no value."""
+    place = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("country"))
+    rows = table(spark, d, "lineitem").join(place, F.col("l_suppkey") == F.col("s_suppkey"))
+    cells = rows.select(F.year("l_shipdate").alias("year"), "country", F.when(F.col("l_returnflag") == "A", "loads").otherwise("tons").alias("unit"), F.col("l_quantity").alias("quantity"), F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("l_quantity")).alias("value"))
+    return t.official_shares(cells, "year")
+
+
+@query(
+    """WITH x AS (SELECT period, CASE WHEN list_has_any(forms, ['ring', 'bolt']) THEN 'raw' WHEN list_has_any(forms, ['gear', 'anvil']) THEN 'finished' ELSE 'other' END AS kind, origin FROM arr WHERE period IS NOT NULL), n AS (SELECT kind, period, origin, count(*) AS n FROM x GROUP BY ALL)
+SELECT kind, period, origin, n, round(n / sum(n) OVER (PARTITION BY kind, period), 6) AS share FROM n QUALIFY row_number() OVER (PARTITION BY kind, period ORDER BY n DESC, origin) <= 5""",
+    arrivals=True,
+)
+def category_partners(spark, d):
+    """The origins that lead in each category of goods, early and late."""
+    has = lambda *v: F.arrays_overlap("forms", F.array(*map(F.lit, v)))
+    kind = F.when(has("ring", "bolt"), "raw").when(has("gear", "anvil"), "finished").otherwise("other")
+    return t.leading(arrivals(spark, d).where("period is not null").select(kind.alias("kind"), "period", "origin"), "origin", 5, "kind", "period")
+
+
+@query(
+    """WITH z AS (SELECT dest, period, count(*) AS size FROM arr WHERE period IS NOT NULL GROUP BY ALL), x AS (SELECT dest, period, form, count(*) AS n FROM lab WHERE period IS NOT NULL GROUP BY ALL)
+SELECT dest, period, form, n, round(n / size, 6) AS share FROM x JOIN z USING (dest, period) QUALIFY row_number() OVER (PARTITION BY dest, period ORDER BY n DESC, form) <= 5""",
+    arrivals=True,
+)
+def port_profiles(spark, d):
+    """What came to each port, early and late."""
+    return t.profiles(arrivals(spark, d).where("period is not null"), "forms", "form", 5, "dest", "period")
