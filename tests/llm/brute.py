@@ -146,3 +146,95 @@ def grams(text, bits, shortest=3, longest=5):
                 k = gram_bucket(w[i : i + n], bits)
                 out[k] = out.get(k, 0) + 1
     return out
+
+
+def importance(docs, target, percent=25, least=20, buckets=10000):
+    """[(doc_id, n_features, weight, score, rank)], ties by doc_id (None last)."""
+    import math
+
+    def grams(text):
+        w = TERM.findall((text or "").translate(UPPER))
+        return w, [zlib.crc32(g.encode()) % buckets for g in w + [f"{a} {b}" for a, b in zip(w, w[1:])]]
+
+    ours, theirs = [(d, *grams(t)) for d, t in docs], [grams(t)[1] for t in target]
+    s, t = [0] * buckets, [0] * buckets
+    for _, _, g in ours:
+        for b in g:
+            s[b] += 1
+    for g in theirs:
+        for b in g:
+            t[b] += 1
+    big, small = sum(s), sum(t)
+    out = []
+    for d, w, g in ours:
+        gain = [math.floor(1000 * math.log((t[b] + 1) * (big + buckets) / ((s[b] + 1) * (small + buckets)))) for b in g]
+        weight = sum(gain) // len(g) if g else 0
+        h = int(hashlib.sha256(f"7:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        out.append([d, len(g), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(w) >= least])
+    fit = sorted((r for r in out if r[5]), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[2]))
+    for k, r in enumerate(fit[: len(fit) * percent // 100]):
+        r[4] = k + 1
+    return [tuple(r[:5]) for r in out]
+
+
+def repair(turns):
+    """{conv_id: (gaps, blank, duplicate, truncated, illegal, cost, audit, sha)} of (conv_id, turn, role, text)
+    without nulls in role and text, by the best audit of each prefix and state."""
+    by = {}
+    for conv, turn, role, text in turns:
+        by.setdefault(conv, []).append((turn, role, text))
+    out = {}
+    for conv, rows in by.items():
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), hashlib.sha256(r[2].encode()).hexdigest()))
+        seen, faults = set(), []
+        for _, role, text in rows:
+            end = text.rstrip(" \t\n\x0b\x0c\r")
+            faults.append("blank" if not end else "duplicate" if (role, text) in seen else "truncated" if end[-1] not in ".!?" else "")
+            seen.add((role, text))
+        best = {"": (0, "", ())}  # the last initial of what is kept: (cost, letters, turns)
+
+        def legal(last, now):
+            return now in {"": "su", "s": "u", "u": "a", "a": "u"}[last]
+
+        def inserted(best):
+            best = dict(best)
+            for _ in range(3):
+                for last, (cost, letters, kept) in list(best.items()):
+                    for role in ("user", "assistant"):
+                        if legal(last, role[0]):
+                            new = (cost + 2, letters + "I", (*kept, f"{role}:"))
+                            if role[0] not in best or new[:2] < best[role[0]][:2]:
+                                best[role[0]] = new
+            return best
+
+        for (_, role, text), fault in zip(rows, faults):
+            more, after = int(fault == "truncated"), {}
+            for last, (cost, letters, kept) in inserted(best).items():
+                ways = [(last, cost + 3, "D", ())]
+                if fault not in ("blank", "duplicate"):
+                    ways += [(r[0], cost + 2 + more, "R", (f"{r}:{text}",)) for r in ("user", "assistant") if legal(last, r[0])]
+                    if role[:1] in ("s", "u", "a") and legal(last, role[:1]):
+                        ways.append((role[:1], cost + more, "K", (f"{role}:{text}",)))
+                for state, c, letter, line in ways:
+                    new = (c, letters + letter, kept + line)
+                    if state not in after or new[:2] < after[state][:2]:
+                        after[state] = new
+            best = after
+        cost, letters, kept = min((v for k, v in inserted(best).items() if k in ("", "a")), key=lambda v: v[:2])
+        known = [t for t, _, _ in rows if t is not None]
+        gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+        initials = [r[:1] for _, r, _ in rows]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        out[conv] = (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, letters, hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    return out
+
+
+def damaged(turns):
+    out = []
+    for conv, turn, role, text in turns:
+        role, text = (" " if x is None else x for x in (role, text))
+        draw = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if draw:
+            row = (conv, turn, "user" if draw == 4 else role, "" if draw == 1 else re.sub("[.!?]", "", text) if draw == 2 else text)
+            out += [row, row] if draw == 3 else [row]
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfinger.llm import chat, decontam, licence, mixing, neardup, quality, rollup, substring, token_files, toxicity
+from wharfinger.llm import chat, decontam, importance, licence, mixing, neardup, quality, repair, rollup, slots, substring, token_files, toxicity
 from wharfinger.llm.scratch import Scratch
 
 
@@ -83,9 +83,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path, ids=False)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of 8 shards and its next version, with 9: the law is that of the key."""
+    shards = slots.SlotMap(spark, f"{Scratch(spark).path}/map")
+    now = shards.create(8)
+    rows = slots.placed(table(spark, sf_dir, "documents"), shards, now, later=shards.grow())
+    return rows.withColumn("law", F.lit("key"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_licence_scan, op2_token_rollup, op3_mix_sources, op4_substring_dedup, op5_chat, op6_near_duplicates, op7_decontaminate, op8_toxicity, op9_quality_rules, op10_token_files)
+    for f in (op1_licence_scan, op2_token_rollup, op3_mix_sources, op4_substring_dedup, op5_chat, op6_near_duplicates, op7_decontaminate, op8_toxicity, op9_quality_rules, op10_token_files, op11_importance, op12_repair, op13_slots)
 }
 
 OP3 = r"""
@@ -228,4 +244,115 @@ SELECT conv_id, n_turns, n_equal, chat FROM one
 WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.n_turns > one.n_turns AND c.l[1:one.n_turns] = one.l)
 """
 
-ORACLES: dict[str, str] = {"op1_licence_scan": OP1, "op2_token_rollup": OP2, "op5_chat": OP5, "op3_mix_sources": OP3, "op4_substring_dedup": OP4, "op6_near_duplicates": OP6, "op7_decontaminate": OP7}
+#: (bytes in hexadecimal) -> their crc32, for texts that FIELD names; the table comes from the polynomial.
+CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(FIELD)), '..'), lambda b: ('0x' || b)::BIGINT)),
+      lambda c, b: xor(c >> 8, crc_table.rest[xor(c & 255, b) + 1]))"""
+CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS rest)"""
+
+
+def crc_sql(field: str) -> str:
+    return f"xor({CRC.replace('FIELD', field)}, 4294967295)"
+
+
+OP11 = rf"""
+WITH {CRC_TABLE},
+texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+dw AS (
+  SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+flat AS (
+  SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM dw),
+bucket AS (SELECT g, {crc_sql("g")} % 10000 AS bucket FROM (SELECT DISTINCT g FROM flat), crc_table),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM flat JOIN bucket USING (g) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000.0::DOUBLE * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+mean AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM flat JOIN bucket USING (g) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (
+  SELECT doc_id, greatest(2 * len(w) - 1, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(w) >= 20 AS fit,
+         ('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h
+  FROM dw LEFT JOIN mean USING (r) WHERE side = 'd'),
+full_score AS (SELECT *, weight + floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM scored),
+placed AS (SELECT *, row_number() OVER (ORDER BY fit DESC, score DESC, doc_id NULLS LAST, n_features, weight) AS p FROM full_score)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= (SELECT count(*) FROM scored WHERE fit) * 25 // 100 THEN p END::BIGINT AS rank FROM placed
+"""
+
+
+def _grown_sql(n: int, slots: int) -> str:
+    """The map of n + 1 shards from that of n."""
+    return f"""m{n + 1} AS (
+  SELECT slot, CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY slot) > {slots} // {n + 1} + (shard < {slots} % {n + 1})::INT THEN {n} ELSE shard END AS shard FROM m{n})"""
+
+
+OP13 = f"""
+WITH {CRC_TABLE},
+m1 AS (SELECT i::INT AS slot, 0 AS shard FROM range(4096) t(i)),
+{", ".join(_grown_sql(n, 4096) for n in range(1, 9))},
+sized AS (
+  SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, {crc_sql("coalesce(text, '')")}::BIGINT AS text_crc32,
+         (('0x' || md5('slot:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))))[1:15])::BIGINT % 4096)::INT AS virtual_slot
+  FROM documents, crc_table)
+SELECT doc_id, size, text_crc32, virtual_slot, m8.shard::INT AS shard, m9.shard::INT AS grown_shard, 'key' AS law,
+       row_number() OVER (PARTITION BY m8.shard ORDER BY virtual_slot, doc_id NULLS LAST, text_crc32, size) - 1 AS slot
+FROM sized JOIN m8 ON m8.slot = virtual_slot JOIN m9 ON m9.slot = virtual_slot
+"""
+
+SPACED = "[^\\x20\\x09-\\x0D]"
+
+
+def _over(state: int) -> str:
+    """The least (cost in nine digits, then letters) in a state after one more turn, or after an insert for 'i'."""
+    add = lambda s, cost, letter: f"printf('%09d', d{s}[1:9]::INT + {cost}) || d{s}[10:] || '{letter}'"
+    ways = [add(state, 3, "D")]
+    keeps = {1: [("s", 0)], 2: [("u", 0), ("u", 1), ("u", 3)], 3: [("a", 2)]}.get(state, [])
+    ways += [f"CASE WHEN NOT gone AND initial = '{i}' THEN {add(s, 'more', 'K')} END" for i, s in keeps]
+    ways += [f"CASE WHEN NOT gone THEN {add(s, '2 + more', 'R')} END" for s in {2: (0, 1, 3), 3: (2,)}.get(state, ())]
+    return f"least({', '.join(ways)})" if len(ways) > 1 else ways[0]
+
+
+_INSERTED = """SELECT conv_id, i, d0, d1, e2 AS d2, least(d3, printf('%09d', e2[1:9]::INT + 2) || e2[10:] || 'I') AS d3
+    FROM (SELECT *, least(d2, printf('%09d', d0[1:9]::INT + 2) || d0[10:] || 'I', printf('%09d', d1[1:9]::INT + 2) || d1[10:] || 'I', printf('%09d', d3[1:9]::INT + 2) || d3[10:] || 'I') AS e2 FROM ("""
+
+OP12 = rf"""
+WITH RECURSIVE {CRC_TABLE},
+given AS (
+  SELECT coalesce(conv_id::VARCHAR, ' ') AS conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS draw FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+         CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN draw = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM given WHERE draw <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS p, NOT regexp_matches(text, '{SPACED}') AS blank FROM damaged),
+faults AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS twice, role[1] AS initial,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY p) AS earlier,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut
+  FROM placed),
+turns AS (SELECT *, blank OR twice AS gone, (NOT blank AND NOT twice AND cut)::INT AS more FROM faults),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(twice) AS duplicate, sum(more) AS truncated,
+         count_if(earlier IS NOT NULL AND (earlier || initial) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM turns GROUP BY conv_id),
+steps AS (
+  {_INSERTED}SELECT conv_id, 0::BIGINT AS i, '000000000' AS d0, '900000000' AS d1, '900000000' AS d2, '900000000' AS d3 FROM counts))
+  UNION ALL
+  {_INSERTED}SELECT s.conv_id, p AS i, {_over(0)} AS d0, {_over(1)} AS d1, {_over(2)} AS d2, {_over(3)} AS d3
+    FROM steps s JOIN turns t ON t.conv_id = s.conv_id AND t.p = s.i + 1))),
+best AS (SELECT s.conv_id, least(d0, d3)[1:9]::BIGINT AS cost, least(d0, d3)[10:] AS audit FROM steps s JOIN counts c ON c.conv_id = s.conv_id AND c.n = s.i),
+letters AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS j, audit[j] AS letter FROM best),
+at_turn AS (
+  SELECT *, CASE WHEN letter <> 'I' THEN count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY j) END AS p, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS k FROM letters),
+lined AS (
+  SELECT a.conv_id, j, letter, k, role, CASE WHEN letter = 'I' THEN '' ELSE text END AS text,
+         max((letter = 'K' AND k = 1 AND initial = 's')::INT) OVER (PARTITION BY a.conv_id) AS led
+  FROM at_turn a LEFT JOIN turns t ON t.conv_id = a.conv_id AND t.p = a.p WHERE letter <> 'D'),
+joined AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS whole FROM lined GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id = coalesce(o.conv_id::VARCHAR, ' ') LEFT JOIN best b ON b.conv_id = c.conv_id LEFT JOIN joined x ON x.conv_id = c.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_licence_scan": OP1, "op2_token_rollup": OP2, "op5_chat": OP5, "op3_mix_sources": OP3, "op4_substring_dedup": OP4, "op6_near_duplicates": OP6, "op7_decontaminate": OP7, "op11_importance": OP11, "op12_repair": OP12, "op13_slots": OP13}

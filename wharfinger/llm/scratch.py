@@ -9,6 +9,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores after it as long as df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """A folder of its own under the session's checkpoint folder. It goes when Python ends;
     drop() frees what is no longer read."""
