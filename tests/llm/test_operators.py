@@ -35,7 +35,7 @@ def table(spark, clashing=False):
     rows = [(i, t, "en" if i % 3 else None, None if i % 7 == 0 else f"s{i % 3}", len(t or "")) for i, t in enumerate(texts())]
     df = spark.createDataFrame(rows, DOCS)
     if clashing:
-        for c in ("id", "node", "a", "b", "u", "v", "size", "target", "block", "shard", "part", "seq", "_row", "_gone", "label", "take", "spans", "n_words", "kept", "path", "score"):
+        for c in ("id", "node", "a", "b", "u", "v", "size", "target", "block", "shard", "part", "seq", "_row", "_gone", "label", "take", "spans", "n_words", "kept", "path", "score", "_named", "_at", "x1", "set", "before"):
             df = df.withColumn(c, F.lit("extra"))
     return df
 
@@ -226,6 +226,27 @@ def test_rows_without_a_doc_id_are_deduplicated(spark):
     docs = spark.createDataFrame([(4, text), (None, text), (None, text + " more"), (None, "alone here in this text today"), (None, None), (None, ""), (7, text)], "doc_id long, text string").withColumn("label", F.lit("extra"))
     left = sorted(((r["doc_id"], r["text"]) for r in neardup.deduplicate(docs).collect()), key=str)
     assert left == sorted([(4, text), (None, "alone here in this text today"), (None, None), (None, "")], key=str)
+    other = spark.createDataFrame([(None, text), (None, text), (None, text + " more"), (5, "not like these"), (None, "")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(other).collect() if r["doc_id"])
+    assert got == [(5, 1, 5, True)]
+    rest = [(r["component_id"], r["kept"]) for r in neardup.near_duplicates(other).collect() if r["doc_id"] is None]
+    assert sorted(rest, key=str) == [(None, False), (None, False), (None, True), (None, True)]
+    assert sorted(r["text"][:3] for r in neardup.deduplicate(other).collect()) == ["", "not", text[:3]]
+
+
+def test_documents_of_several_texts(spark):
+    """Rows that share a doc_id are one document: near texts of any of them are linked, in any order
+    of rows, and half of all rows may share it."""
+    say = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(1, say("a")), (1, say("b")), (2, say("a") + " x"), (3, say("b") + " y"), (9, say("c")), (5, say("c")), (5, say("d")), (8, say("d") + " z"), (6, say("e"))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (9, 5), (5, 5), (8, 5), (6, 6)}
+        assert sorted(r["doc_id"] for r in neardup.deduplicate(df).collect()) == [1, 1, 5, 5, 6]
+    many = [(7, say(f"m{i}_")) for i in range(60)] + [(100 + i, say(f"m{i}_") + " more") for i in range(40)] + [(3, say("m5_")), (None, say("m7_") + " none")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert got == {(7, 3, False), (3, 3, True), (None, 3, False)} | {(100 + i, 3, False) for i in range(40)}
 
 
 @pytest.mark.parametrize("limit", [decontam.BLOCK_BYTES, 200])

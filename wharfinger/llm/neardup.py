@@ -21,11 +21,15 @@ at depth 3, by all of 14 trees with less than 1e-6 if places were drawn anew; tr
 signature of 64 places, which makes it some 2e-5. From depth 3 on a pair is still together d
 places deeper in one tree with about 1 / (1 + d / 6); in one of eight subtrees with 0.99 at
 d = 10, 0.89 at d = 20 and 0.69 at d = 40. So the miss of one tree grows from 0.36 to 0.43 at depth
-23 and 0.56 at most, that of 14 trees to 1e-5 and 3e-4.
+23 and 0.56 at most, that of 14 trees to 1e-5 and 3e-4. Besides, sketches that differ in more than FAR
+places are no candidates: for a pair at 0.8 that is the tail of 64 draws at 0.15, 2e-7.
 
 Defined results: null or wordless text has the empty set and is linked with nothing; rows
-that repeat a doc_id share a component; a document of fewer words than a shingle has its
-whole sequence as the one member of its set; texts of any length are read whole.
+that repeat a doc_id are one document with several sets, linked by any of them, so they share a component; a row
+without doc_id is a document of its own, after all that have one: its component_id is null if
+nothing with a doc_id is reached, and one such row of a component is kept; a document of fewer
+words than a shingle has its whole sequence as the one member of its set; texts of any length are
+read whole; doc_ids are below 2**62.
 """
 
 from __future__ import annotations
@@ -39,12 +43,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfinger.llm.components import absorb, components
-from wharfinger.llm.scratch import Scratch
+from wharfinger.llm.running import running
+from wharfinger.llm.scratch import Scratch, free_name
 from wharfinger.llm.words import SLICE_BYTES, U64, mix, pair, slices, split_words, spread, texts_of, windows
 
 PLACES, TREES, SMALL, STAR = 64, 14, 16, 3
 BROADCAST_NODES = 500_000  # ids of nodes, 8 bytes each
-FAR = 22  # unequal places of a sketch beyond which a pair is no candidate, 4.5 sigma at 0.8
+FAR = 26  # unequal places of a sketch beyond which a pair is no candidate
+UNNAMED = 1 << 62  # from here on: numbers of classes that no doc_id can name
 OUTSIDE, SUBTREES, DEEPEST = 4096, 8, 43
 PACK, PACK_SHINGLES, PACKS_MET, GRID = 256, 1 << 18, 16, 1 << 22  # documents and shingles of a pack, packs that meet in a group, cells of a matrix
 SALTS, BROADCAST_ROWS = 16, 100_000
@@ -80,8 +86,18 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield a, np.bincount((key >> U64(56)).astype(np.int64), minlength=len(n)), key & U64((1 << 56) - 1)
 
 
+def digests(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two sums of hashes over each set."""
+    full = np.flatnonzero(n)
+    at, out = np.concatenate(([0], np.cumsum(n)[:-1]))[full], np.zeros((2, len(n)), U64)
+    if len(full):
+        y = mix(x + U64(1))
+        out[0, full], out[1, full] = np.add.reduceat(y, at), np.add.reduceat(mix(y), at)
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (a digest of the set) and sig (its minwise tokens)."""
+    """_row, doc_id, n_shingles, d1 and d2 (a digest of the set) and sig (its minwise tokens)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,17 +105,15 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for a, n, x in shingle_sets(texts_of(b["text"]), k):
                 full = np.flatnonzero(n)
                 at = np.concatenate(([0], np.cumsum(n)[:-1]))[full]
-                sig, digest = np.zeros((len(n), PLACES), np.uint32), np.zeros((2, len(n)), U64)
+                sig = np.zeros((len(n), PLACES), np.uint32)
                 if len(full):
                     y = mix(x + U64(1))
                     for j in range(PLACES):
                         sig[full, j] = np.minimum.reduceat(y * _ODD[j], at) >> U64(32)
-                    digest[0, full] = np.add.reduceat(y, at)
-                    digest[1, full] = np.add.reduceat(mix(y), at)
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PLACES * 4), len(n), [None, pa.py_buffer(sig)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(a, len(n)), pa.array(n), *map(pa.array, digest.view(np.int64)), raw], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+                yield pa.RecordBatch.from_arrays([b["_row"].slice(a, len(n)), b["doc_id"].slice(a, len(n)), pa.array(n), *map(pa.array, digests(x, n)), raw], ["_row", "doc_id", "n_shingles", "d1", "d2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_shingles long, d1 long, d2 long, sig binary")
+    return docs.select("_row", "doc_id", "text").mapInArrow(work, f"_row long, doc_id {kind}, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def places_of(column: pa.Array) -> np.ndarray:
@@ -310,27 +324,73 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("both") >= F.lit(percent) * union).select(F.col("b").alias("u"), F.col("a").alias("v"))
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """id and set: the sorted shingle hashes of each row."""
+def full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """n_shingles, d1, d2 and set (sorted shingle hashes) of each row, with its id if texts have
+    one; rows with a digest of their own (x1, x2) are left out if their set has another."""
+    keys = [c for c in ("id", "x1", "x2") if c in texts.columns]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, n, x in shingle_sets(texts_of(b["text"]), k):
+                d, part = digests(x, n), b.slice(a, len(n))
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(x.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b["id"].slice(a, len(n)), lists], ["id", "set"])
+                out = pa.RecordBatch.from_arrays([part["id"] if keys else pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(d[0]), pa.array(d[1]), lists], ["id", "n_shingles", "d1", "d2", "set"])
+                yield out.filter(pa.array((d[0] == part["x1"].to_numpy()) & (d[1] == part["x2"].to_numpy()))) if keys else out
+
+    return texts.select(*keys, "text").mapInArrow(work, "id long, n_shingles long, d1 long, d2 long, set array<long>")
+
+
+SET = ["d1", "d2", "n_shingles"]
+
+
+def named_classes(full: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(id, doc_id, sig, SET) of each distinct set, and how many have a number in place of a name. The
+    least doc_id names a class; if several classes have it, that with the least digest, and the
+    others, as those without any, get numbers from UNNAMED on, in order of digests."""
+    classes = scratch.save(full.groupBy(*SET).agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")), "classes")
+    owners = classes.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("own")).select("own.*")
+    extra = scratch.save(classes.select(*SET).join(owners.hint("merge"), SET, "left_anti"), "extra")
+    n = extra.count()
+    if not n:
+        return classes.select(F.col("doc_id").alias("id"), "doc_id", "sig", *SET), 0
+    numbers = running(extra, [F.col(c) for c in SET], scratch, "numbers").select(*SET, (F.col("before") + F.lit(UNNAMED)).alias("_number"))
+    out = classes.join(numbers.hint("merge"), SET, "left").select(F.coalesce("_number", "doc_id").alias("id"), "doc_id", "sig", *SET)
+    return scratch.save(out, "named"), n
+
+
+def links_of_ids(full: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(u, v) between the classes of each doc_id that has several."""
+    several = scratch.save(full.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*SET)).alias("a"), F.max(F.struct(*SET)).alias("b")).where("a <> b").select("doc_id"), "several")
+    if several.isEmpty():
+        return None
+    own = full.select("doc_id", *SET).join(several.hint("merge"), "doc_id", "left_semi").distinct()
+    own = scratch.save(own.join(reps.select("id", *SET).hint("merge"), SET).select("doc_id", "id"), "owned")
+    least = own.groupBy("doc_id").agg(F.min("id").alias("v"))
+    return scratch.save(salted(own, least, "doc_id").where("id <> v").select(F.col("id").alias("u"), "v"), "linked_ids")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(work, "id long, set array<long>")
+def sets_of(docs: DataFrame, needed: DataFrame, numbered: int, k: int) -> DataFrame:
+    """id and set of the needed classes (id, doc_id, SET), each from a row that has its digest."""
+    named = needed.where(F.col("id") < UNNAMED).select("id", F.col("d1").alias("x1"), F.col("d2").alias("x2"), F.col("id").alias("doc_id"))
+    out = full_sets(docs.join(named.hint("merge"), "doc_id"), k).select("id", "set")
+    if numbered:
+        others = needed.where(F.col("id") >= UNNAMED)
+        rows = docs.where("doc_id is null").unionByName(docs.join(others.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
+        out = out.union(full_sets(rows.select("text"), k).drop("id").join(others.select("id", *SET).hint("merge"), SET).select("id", "set"))
+    return out.dropDuplicates(["id"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, outside: int = OUTSIDE) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, outside: int = OUTSIDE, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) and kept (it is
-    the document's own) for each row of docs, whose doc_id is an integer."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    the document's own) for each row of docs, whose doc_id is an integer, and _row if `row` names a
+    column of numbers that tell rows apart."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    docs = docs.select(number.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(docs.sparkSession)
     signed = scratch.save(signatures(docs, k), "signed")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    first = full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("f"))
-    reps = scratch.save(first.select(F.col("f.doc_id").alias("id"), F.col("f.sig").alias("sig"), "d1", "d2", "n_shingles"), "reps")
+    full = signed.where("n_shingles > 0")
+    reps, numbered = named_classes(full, scratch)
+    repeats = links_of_ids(full, reps, scratch)
     second, depth, found = 100 / percent - 1, 1, []
     at = Nodes(descend(reps, second, trees), scratch, "level1")
     while True:
@@ -342,8 +402,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     pairs = [scratch.save(together(found), "pairs")]
     for d in range(1, depth):
         scratch.drop(f"level{d}")
-    needed = pairs[0].select(F.explode(F.array("a", "b")).alias("doc_id")).union(at.large().select("id")).distinct()
-    sets = scratch.save(full_sets(docs.join(needed.hint("merge"), "doc_id", "left_semi"), k).dropDuplicates(["id"]), "sets")
+    needed = pairs[0].select(F.explode(F.array("a", "b")).alias("id")).union(at.large().select("id")).distinct()
+    needed = reps.drop("sig").join(needed.hint("merge"), "id", "left_semi")
+    sets = scratch.save(sets_of(docs.select("doc_id", "text"), needed, numbered, k), "sets")
     roots, tried, links, first = None, [], [], True
     while first or at.n:
         tries = pairs[-1]
@@ -355,7 +416,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
             tries = tries.union(pairs[-1])
         tried.append(scratch.save(closest(tries.union(tries.select(F.col("b").alias("a"), F.col("a").alias("b"), "u")), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"tried{depth}"))
         links.append(scratch.save(confirmed(tried[-1], sets, percent), f"links{depth}"))
-        roots = components(links[-1], scratch, f"root{depth}_") if roots is None else absorb(roots, links[-1], scratch, f"root{depth}_")
+        roots = components(links[-1].unionByName(repeats) if repeats else links[-1], scratch, f"root{depth}_") if roots is None else absorb(roots, links[-1], scratch, f"root{depth}_")
         first = False
         if not at.n:
             break
@@ -371,17 +432,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         every = every.join(x, ["a", "b"], "left_anti")
     more = scratch.save(confirmed(every, sets, percent), "more")
     roots = absorb(roots, more, scratch, "final")
-    named = reps.join(roots, F.col("id") == F.col("u"), "left").select("d1", "d2", "n_shingles", F.coalesce("v", "id").alias("component_id"))
-    rows = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = reps.join(roots, F.col("id") == F.col("u"), "left").select(*SET, F.coalesce("v", "id").alias("_root"), "id")
+    rows = signed.select("_row", "doc_id", *SET).join(named, SET, "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("_root") < UNNAMED, F.col("_root"))
+    kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == F.col("component_id"))
+    if numbered:  # of rows without doc_id one may stand for its class
+        first = full.where("doc_id is null").groupBy(*SET).agg(F.min("_row").alias("_first"))
+        rows = rows.join(first.select("_first"), F.col("_row") == F.col("_first"), "left")
+        kept = kept.when(F.col("n_shingles") > 0, (F.col("id") == F.col("_root")) & (F.col("id") >= UNNAMED) & F.col("_first").isNotNull())
+    return rows.withColumn("component_id", component).withColumn("kept", kept.otherwise(F.col("n_shingles") == 0)).select("doc_id", "n_shingles", "component_id", "kept", *(["_row"] if row else []))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that are linked with a smaller doc_id. A row without a doc_id is
-    named by its text, after all others: it goes if it is linked with a document that has one, or
-    with another text without one that comes before it. Rows that share a doc_id stay or go together."""
-    named = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
-    docs = docs.withColumn("_named", named)
-    gone = near_duplicates(docs.select(F.col("_named").alias("doc_id"), "text"), k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_named")).distinct()
-    return docs.join(gone, "_named", "left_anti").drop("_named")
+    """docs without the documents that are linked with a smaller doc_id. A row without a doc_id
+    goes if it is linked with a document that has one, or with another such row that comes before
+    it: of a component without doc_ids one row stays. Rows that share a doc_id stay or go together."""
+    if docs.where("doc_id is null").isEmpty():
+        gone = near_duplicates(docs.select("doc_id", "text"), k, percent).where(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = free_name(docs, "_at")  # rows need names of their own
+    held = Scratch(docs.sparkSession).save(docs.withColumn(at, F.monotonically_increasing_id()), "rows")
+    gone = near_duplicates(held, k, percent, row=at).where(~F.col("kept")).select(F.col("_row").alias(at))
+    return held.join(gone.hint("merge"), at, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
