@@ -19,7 +19,7 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     df = catalog.QUERIES[name](spark, SF)
-    assert df.columns and (df.count() > 0 or name == "fuzzy_merge")  # no two customers' names are near
+    assert df.columns and df.count() > 0
 
 
 def test_imports_without_a_session():

@@ -61,21 +61,69 @@ def exact_merge(df: DataFrame, name: str, seq: str) -> DataFrame:
     return forms.groupBy("key").agg(best.alias("b"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_forms")).select("key", F.col("b.f").alias("canonical"), "n", "n_forms")
 
 
-def fuzzy_merge(canon: DataFrame, big: int = 100, shortest: int = 8, least: float = 0.9) -> DataFrame:
-    """canonical and target: rare names that are nearly a frequent one with the same first
-    letter and about its length. Frequent names are few, so the blocked join has few partners;
-    the ratio itself runs in Arrow batches."""
+def spelled(low: Column) -> Column:
+    """The characters of a text, each with the number of times it has come so far: a set that keeps repeats."""
+    chars = F.filter(F.split(low, ""), lambda c: c != "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+
+
+def common_least(n: Column, m: Column, ratio: float) -> Column:
+    """How many characters texts of n and m have in common at least, if their ratio is to be met."""
+    return F.ceil(F.lit(ratio) * (n + m) / 2 - F.lit(1e-9)).cast("int")
+
+
+def alike(left: DataFrame, right: DataFrame, ratio: float, also: Column | None = None) -> DataFrame:
+    """a, x, b and y (small letters of a and b) of the pairs of names, one of each side's column
+    name, that have as many characters in common as the ratio, twice those over all, takes.
+
+    An inverted index finds them: the characters of a name are put in order, rare ones first, and two
+    names with so much in common must share one of their first few, as many as they may do without, and one more. The index
+    is by character and length, so a name meets those alone whose length allows the ratio. A pair is
+    made where its first shared character is, so none is made twice. `also` is a further condition on a, b, x and y."""
+
+    def letters(names: DataFrame, name: str, low: str, chars: str) -> DataFrame:
+        return names.select(F.col("name").alias(name), F.lower("name").alias(low)).where(F.length(low) > 0).distinct().withColumn(chars, spelled(F.col(low)))
+
+    lefts, rights = letters(left, "a", "x", "s"), letters(right, "b", "y", "t")
+    each = lefts.select(F.explode("s").alias("c")).unionAll(rights.select(F.explode("t").alias("c")))
+    often = each.groupBy("c").agg(F.count(F.lit(1)).alias("f"))
+
+    def in_order(names: DataFrame, chars: str, *keys: str) -> DataFrame:
+        rows = names.select(*keys, F.explode(chars).alias("c")).join(often, "c")
+        return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "c"))), lambda p: p["c"]).alias(chars))
+
+    reach = F.lit(ratio / (2 - ratio))  # of a name's length the least that a partner may have
+    m, n = F.size("t"), F.size("s")
+    index = in_order(rights, "t", "b", "y").withColumn("m", m)
+    index = index.select("b", "y", "t", "m", F.posexplode(F.slice("t", F.lit(1), F.col("m") - common_least(F.ceil(F.col("m") * reach - 1e-9), F.col("m"), ratio) + 1)).alias("q", "c"))
+    probe = in_order(lefts, "s", "a", "x").withColumn("n", n)
+    probe = probe.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * reach - 1e-9).cast("int"), F.floor(F.col("n") / reach + 1e-9).cast("int"))))
+    probe = probe.select("a", "x", "s", "n", "m", F.posexplode(F.slice("s", F.lit(1), F.col("n") - common_least(F.col("n"), F.col("m"), ratio) + 1)).alias("p", "c"))
+    least = common_least(F.col("n"), F.col("m"), ratio)
+    pairs = probe.join(index, ["c", "m"]).where(F.col("q") <= F.col("m") - least)
+    pairs = pairs if also is None else pairs.where(also)
+    first = F.get(F.array_intersect(F.slice("s", F.lit(1), F.col("n") - least + 1), F.slice("t", F.lit(1), F.col("m") - least + 1)), F.lit(0))
+    return pairs.where((F.col("c") == first) & (F.size(F.array_intersect("s", "t")) >= least)).select("a", "x", "b", "y")
+
+
+def with_ratio(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs with their ratio, in Arrow batches, if it is at least `least`."""
 
     def ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["ratio"] = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(b["x"], b["y"], strict=True)]
             yield b
 
-    few = canon.where(F.col("n") < big).where(F.length("canonical") >= shortest).select(F.col("canonical").alias("a"), F.lower("canonical").alias("x"))
-    many = canon.where(F.col("n") >= big).select(F.col("canonical").alias("b"), F.lower("canonical").alias("y"))
+    return pairs.mapInPandas(ratio, "a string, x string, b string, y string, ratio double").where(F.col("ratio") >= least)
+
+
+def fuzzy_merge(canon: DataFrame, big: int = 100, shortest: int = 8, least: float = 0.9) -> DataFrame:
+    """canonical and target: rare names that are nearly a frequent one with the same first
+    letter and about its length; ties to the first in order of names."""
+    few = canon.where((F.col("n") < big) & (F.length("canonical") >= shortest)).select(F.col("canonical").alias("name"))
+    many = canon.where(F.col("n") >= big).select(F.col("canonical").alias("name"))
     length = F.abs(F.length("x") - F.length("y")) <= F.greatest(F.lit(3), F.floor(F.length("x") / 4))
-    pairs = few.join(many, (F.substring("x", 1, 1) == F.substring("y", 1, 1)) & length)
-    scored = pairs.mapInPandas(ratio, "a string, x string, b string, y string, ratio double").where(F.col("ratio") >= least)
+    scored = with_ratio(alike(few, many, least, (F.substring("x", 1, 1) == F.substring("y", 1, 1)) & length), least)
     best = F.min(F.struct((-F.col("ratio")).alias("m"), "b"))
     return scored.groupBy("a").agg(best.alias("t")).select(F.col("a").alias("canonical"), F.col("t.b").alias("target"), F.round(-F.col("t.m"), 6).alias("ratio"))
 
@@ -119,23 +167,14 @@ def repair_mojibake(text: Column) -> Column:
 
 def suggestions(rows: DataFrame, name: str, known: DataFrame, least: int = 10, ratio: float = 0.85, settled: DataFrame | None = None) -> DataFrame:
     """For names that occur often enough the known name most like each, if it is like enough.
-    Names that are settled in any case (known ones, if not given) need none. Every known name is
-    compared but those whose length alone keeps the ratio, twice the common characters over all
-    of them, below the limit. Ties go to the first known name."""
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["ratio"] = [difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(b["name"], b["known"], strict=True)]
-            yield b
-
+    Names that are settled in any case (known ones, if not given) need none. Ties go to the first
+    known name."""
     often = rows.where(F.col("n") >= least).select(F.col(name).alias("name"), "n")
     done = (known if settled is None else settled).select(F.lower("name").alias("_done")).distinct()
     often = often.join(done, F.lower("name") == F.col("_done"), "left_anti")
-    a, b = F.length(F.lower("name")), F.length(F.lower("known"))
-    pairs = often.join(known.select(F.col("name").alias("known")).distinct(), 2 * F.least(a, b) >= F.lit(ratio - 1e-9) * (a + b))
-    best = F.min(F.struct((-F.col("ratio")).alias("m"), "known"))
-    found = pairs.mapInPandas(score, "name string, n long, known string, ratio double").where(F.col("ratio") >= ratio).groupBy("name", "n").agg(best.alias("b"))
-    return found.select("name", "n", F.col("b.known").alias("suggestion"), F.round(-F.col("b.m"), 6).alias("ratio"))
+    best = F.min(F.struct((-F.col("ratio")).alias("m"), "b"))
+    found = with_ratio(alike(often, known, ratio), ratio).groupBy("a").agg(best.alias("t"))
+    return often.join(found, F.col("name") == F.col("a")).select("name", "n", F.col("t.b").alias("suggestion"), F.round(-F.col("t.m"), 6).alias("ratio"))
 
 
 def merge_coordinates(points: DataFrame, extra: DataFrame) -> DataFrame:

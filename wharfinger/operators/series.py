@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -25,13 +28,55 @@ def pearson(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.round(F.corr(a, b), 6).alias("r"))
 
 
+def beta_ratio(a: Column) -> Column:
+    """gamma(a + 1/2) / gamma(a): its series in 1/a at a + 20, carried down by the factors between."""
+    z = a + 20
+    series = F.sqrt(z) * F.exp(F.lit(-1 / 8) / z + F.lit(1 / 192) / F.pow(z, F.lit(3)) - F.lit(1 / 640) / F.pow(z, F.lit(5)) + F.lit(17 / 14336) / F.pow(z, F.lit(7)))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(19)), series, lambda acc, k: acc * (a + k) / (a + k + 0.5))
+
+
+def incomplete_beta(a: Column, x: Column, terms: int = 200) -> Column:
+    """The regularised incomplete beta function I_x(a, 1/2), by its continued fraction, a fold over
+    the number of terms (Lentz). Below the mean it is taken as it stands, above from the other side."""
+    half = F.lit(0.5)
+    front = F.pow(x, a) * F.sqrt(1 - x) * beta_ratio(a) / F.lit(math.sqrt(math.pi))
+
+    def fraction(p: Column, q: Column, v: Column) -> Column:
+        tiny = lambda c: F.when(F.abs(c) < 1e-300, F.lit(1e-300)).otherwise(c)
+
+        def step(acc, m):
+            k = m.cast("double")
+            even = k * (q - k) * v / ((p + 2 * k - 1) * (p + 2 * k))
+            odd = -(p + k) * (p + q + k) * v / ((p + 2 * k) * (p + 2 * k + 1))
+            for c in (even, odd):
+                d = 1 / tiny(1 + c * acc["d"])
+                e = tiny(1 + c / acc["c"])
+                acc = F.struct(e.alias("c"), d.alias("d"), (acc["h"] * d * e).alias("h"))
+            return acc
+
+        d0 = 1 / tiny(1 - (p + q) * v / (p + 1))
+        start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["h"])
+
+    low = front * fraction(a, half, x) / a
+    high = 1 - front * fraction(half, a, 1 - x) / half
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x < (a + 1) / (a + 2.5), low).otherwise(high)
+
+
+def two_sided(r: Column, n: Column) -> Column:
+    """The chance of a correlation at least as far from none, by Student's t with n - 2 degrees of
+    freedom: I_{1 - r^2}((n - 2) / 2, 1/2); null below three points."""
+    return F.when(n > 2, incomplete_beta((n - 2).cast("double") / 2, F.greatest(1 - r * r, F.lit(0.0))))
+
+
 def spearman(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
-    """Rank correlation with average ranks for ties."""
+    """Rank correlation with average ranks for ties, and its two-sided p."""
     out = df
     for c in (a, b):
         same = F.count(F.lit(1)).over(W.partitionBy(*keys, c))
         out = out.withColumn(f"_{c}", F.rank().over(W.partitionBy(*keys).orderBy(c)) + (same - 1) / 2)
-    return out.groupBy(*keys).agg(F.round(F.corr(f"_{a}", f"_{b}"), 6).alias("rho"))
+    rho = out.groupBy(*keys).agg(F.corr(f"_{a}", f"_{b}").alias("_r"), F.count(F.lit(1)).alias("_n"))
+    return rho.select(*keys, F.round("_r", 6).alias("rho"), F.round(two_sided(F.col("_r"), F.col("_n")), 6).alias("p"))
 
 
 def between_anchors(df: DataFrame, anchors: DataFrame, t: str, value: str) -> DataFrame:
@@ -101,18 +146,32 @@ def by_bic(breaks: DataFrame, part: str) -> DataFrame:
     return breaks.groupBy(part).agg(x.alias("x")).select(part, "x.m", F.round("x.bic", 4).alias("bic"), F.round("x.cost", 4).alias("ssr"), F.array_join("x.breaks", ",").alias("breaks"))
 
 
+#: Of 2**60 the share below which a draw of Poisson(1) is at most k.
+POISSON = tuple(int(math.exp(-1) * sum(Fraction(1, math.factorial(i)) for i in range(k + 1)) * (1 << 60)) for k in range(19))
+
+
+def drawn(*keys: Column) -> Column:
+    """How often a group is in a replicate: a Poisson(1) count from 60 bits of an md5 of both, which
+    another engine can repeat. All groups together come about as often as there are groups."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in keys]).cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.size(F.filter(F.array(*[F.lit(p) for p in POISSON]), lambda p: bits >= p))
+
+
+def replicates(groups: DataFrame, group: str, reps: int, *keys: str) -> DataFrame:
+    """A row for each group and replicate that draws it, with _w, how often. A group's rows are made where the group
+    is: nothing is joined or gathered."""
+    each = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    return each.withColumn("_w", drawn(F.col("rep"), *[F.col(k) for k in keys], F.col(group))).where("_w > 0")
+
+
 def bootstrap(groups: DataFrame, group: str, value: str, size: str, reps: int, low: int, high: int) -> DataFrame:
     """Mean of value over size and an interval from resampling whole groups: each replicate
-    draws as many groups as there are, by hash; the low-th and high-th of the sorted means."""
-    g = groups.select((F.row_number().over(W.orderBy(group)) - 1).alias("g"), F.col(value).alias("x"), F.col(size).alias("s"))
-    n = g.agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("tx"), F.sum("s").alias("ts"))
-    spark = groups.sparkSession
-    draws = spark.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).select("rep", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    draws = draws.select("rep", F.pmod(F.xxhash64("rep", "k"), F.col("n")).alias("g"))
-    means = draws.join(F.broadcast(g), "g").groupBy("rep").agg((F.sum("x") / F.sum("s")).alias("m"))
-    place = means.withColumn("p", F.row_number().over(W.orderBy("m")) - 1)
+    draws each group a Poisson number of times, by hash; the low-th and high-th of the sorted means."""
+    means = replicates(groups, group, reps).groupBy("rep").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum(F.col("_w") * F.col(size))).alias("m"))
+    place = means.where("m is not null").withColumn("p", F.row_number().over(W.orderBy("m")) - 1)
     ends = place.agg(F.max(F.when(F.col("p") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("p") == high, F.col("m"))).alias("high"))
-    return n.crossJoin(ends).select(F.round(F.col("tx") / F.col("ts"), 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    whole = groups.agg(F.sum(value).alias("tx"), F.sum(size).alias("ts"))
+    return whole.crossJoin(ends).select(F.round(F.try_divide("tx", "ts"), 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def segment_slopes(points: DataFrame, breaks: DataFrame, t: str, value: str, part: str) -> DataFrame:
@@ -125,15 +184,11 @@ def segment_slopes(points: DataFrame, breaks: DataFrame, t: str, value: str, par
 
 def bootstrap_trend(groups: DataFrame, group: str, year: str, value: str, size: str, reps: int, low: int, high: int) -> DataFrame:
     """Slope of yearly shares with an interval and the chance of a fall, from resampling the
-    groups of each year. Counts of groups are drawn from, never rows."""
-    g = groups.select(year, F.col(value).alias("x"), F.col(size).alias("s"), (F.row_number().over(W.partitionBy(year).orderBy(group)) - 1).alias("g"))
-    n = g.groupBy(year).agg(F.count(F.lit(1)).alias("n"))
-    draws = groups.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).select("rep", year, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    draws = draws.select("rep", year, F.pmod(F.xxhash64("rep", year, "k"), F.col("n")).alias("g"))
-    shares = draws.join(F.broadcast(g), [year, "g"]).groupBy("rep", year).agg((F.sum("x") / F.sum("s")).alias("m"))
-    slope = shares.groupBy("rep").agg(F.regr_slope("m", year).alias("b"))
+    groups of each year as bootstrap() does. Counts of groups are drawn, never rows."""
+    shares = replicates(groups, group, reps, year).groupBy("rep", year).agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum(F.col("_w") * F.col(size))).alias("m"))
+    slope = shares.groupBy("rep").agg(F.regr_slope("m", year).alias("b")).where("b is not null")
     placed = slope.withColumn("p", F.row_number().over(W.orderBy("b")) - 1)
-    whole = g.groupBy(year).agg((F.sum("x") / F.sum("s")).alias("m")).agg(F.round(F.regr_slope("m", year), 6).alias("slope"))
+    whole = groups.groupBy(year).agg(F.try_divide(F.sum(value), F.sum(size)).alias("m")).agg(F.round(F.regr_slope("m", year), 6).alias("slope"))
     ends = placed.agg(F.round(F.max(F.when(F.col("p") == low, F.col("b"))), 6).alias("low"), F.round(F.max(F.when(F.col("p") == high, F.col("b"))), 6).alias("high"), F.round(F.avg((F.col("b") < 0).cast("double")), 6).alias("falling"))
     return whole.crossJoin(ends)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from wharfinger.catalog import query
@@ -64,9 +66,14 @@ def exact_merge(spark, d):
 
 @query()
 def fuzzy_merge(spark, d):
-    """Rare words of the documents that are nearly a frequent one."""
-    words = table(spark, d, "documents").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).where(F.length("w") > 1)
-    return names.fuzzy_merge(words.groupBy(F.col("w").alias("canonical")).agg(F.count(F.lit(1)).alias("n")), big=100, shortest=8, least=0.9)
+    """Names of parts with their maker, as they are and as they are misread (an e as a c, a t as an f, a letter
+    left out), with the counts of line items: the rare misreadings meet the names that they come from."""
+    k, name = F.pmod("p_partkey", F.lit(40)), F.concat_ws(" ", "p_name", "p_type")
+    read = F.when(k == 0, F.replace(name, F.lit("e"), F.lit("c"))).when(k == 1, F.replace(name, F.lit("t"), F.lit("f"))).when(k == 2, F.concat(F.substring(name, 1, 4), F.substring(name, 6, 99))).otherwise(name)
+    parts = table(spark, d, "part").select("p_partkey", read.alias("canonical"))
+    n = table(spark, d, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
+    often = n.agg(F.expr("percentile(n, 0.75)").cast("long")).first()[0]  # of some hundred names
+    return names.fuzzy_merge(n, big=max(often or 1, 1), shortest=8, least=0.9)
 
 
 @query(f"WITH {PORTS}, k AS (SELECT lower(variant) AS x FROM map UNION SELECT lower(name) FROM err UNION SELECT lower(name) FROM geo) SELECT origin AS port, count(*) AS n FROM arr WHERE lower(origin) NOT IN (SELECT x FROM k) GROUP BY ALL", arrivals=True)
@@ -92,14 +99,14 @@ def alias_closure(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT s_name AS variant, 'A' AS canonical, 0 AS p FROM supplier WHERE s_suppkey < 5 UNION ALL SELECT upper(s_name), 'B', 1 FROM supplier WHERE s_suppkey < 8),
+    """WITH s AS (SELECT s_name AS variant, 'A' AS canonical, 0 AS p FROM supplier UNION ALL SELECT upper(s_name), 'B', 1 FROM supplier),
 f AS (SELECT variant, canonical, 0 AS q, p FROM s UNION ALL SELECT upper(variant), canonical, 1, p FROM s UNION ALL SELECT lower(variant), canonical, 1, p FROM s)
 SELECT variant, canonical FROM f QUALIFY row_number() OVER (PARTITION BY variant ORDER BY q, p, canonical) = 1"""
 )
 def authority_merge(spark, d):
     s = table(spark, d, "supplier")
-    a = s.where("s_suppkey < 5").select(F.col("s_name").alias("variant"), F.lit("A").alias("canonical"))
-    return names.merge_authorities(a, s.where("s_suppkey < 8").select(F.upper("s_name").alias("variant"), F.lit("B").alias("canonical")))
+    a = s.select(F.col("s_name").alias("variant"), F.lit("A").alias("canonical"))
+    return names.merge_authorities(a, s.select(F.upper("s_name").alias("variant"), F.lit("B").alias("canonical")))
 
 
 @query(
@@ -128,10 +135,37 @@ def rule_labels(spark, d):
     return rows.select("record_id", r.labels(F.col("t"), [("small", r"^small\b"), ("large", r"^large\b"), ("ring", r"\bring\b"), ("bolt", r"\bbolt\b")]).alias("labels"))
 
 
-COMMODITIES = ["deals and battens", "deal ends", "pit-props", "hewn", "mining timber", "hewn pitch pine", "", "from Quebec", "Smith & Co.", "handspikes", "sawn oak logs", "box-boards", "red pine balks", "sleeper blocks", "white wood planks", "lignum vitae"]
+COMMODITIES = [
+    "deals and battens", "deal ends", "pit-props", "hewn", "mining timber", "hewn pitch pine", "", "from Quebec", "Smith & Co.", "handspikes", "sawn oak logs", "box-boards", "red pine balks", "sleeper blocks", "white wood planks", "lignum vitae", "firwood oak",
+    "fir firwood", "rose wood", "maple blocks and ends", "(Props) &c. do.", "half-sleepers, tim.", "and fire wood", "Waney Pine [ditto]", "masts c. spars", "gun-stocks", "D. Brown", "crossings, riekers", "squared baulks", "batten ends, bats", "pulp", "wood turnery",
+]
 
 
-@query()
+def matches_sql(text: str, rx: str) -> str:
+    """A pattern's match in an engine without look-behind: what it forbids before is taken out first, with what it would match."""
+    forbidden = re.findall(r"\(\?<!([a-z ]+)\)", rx)
+    plain = re.sub(r"\(\?<![a-z ]+\)", "", rx)
+    return f"regexp_matches({text}, '{plain}')" if not forbidden else f"regexp_matches(regexp_replace({text}, '(?:{'|'.join(forbidden)}){plain.removeprefix(chr(92) + 'b')}', '', 'g'), '{plain}')"
+
+
+def labels_sql(text: str, rules: list[tuple[str, str]]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {matches_sql(text, rx)} THEN '{n}' END" for n, rx in rules) + "], lambda x: x IS NOT NULL)"
+
+
+def commodity_sql() -> str:
+    clean = "regexp_replace(lower(trim(commodity)), '[()\\[\\]\"]', ' ', 'g')"
+    for rx, to in r.FOLDS:
+        clean = f"regexp_replace({clean}, '{rx}', '{to}', 'g')"
+    phrases = ", ".join(f"'{x}'" for x in COMMODITIES)
+    any_of = lambda v: "list_has_any(forms, [" + ", ".join(f"'{x}'" for x in v) + "])"
+    return f"""WITH k AS (SELECT [{phrases}][(l_partkey % {len(COMMODITIES)} + 1)::INT] AS commodity, count(*) AS n FROM lineitem GROUP BY ALL),
+c AS (SELECT *, trim(regexp_replace({clean}, '\\s+', ' ', 'g'), ' ,.;:-') AS normalized FROM k),
+l AS (SELECT *, {labels_sql("normalized", r.form_rules())} AS forms, {labels_sql("normalized", r.species_rules())} AS species FROM c)
+SELECT *, CASE WHEN normalized = '' THEN 'empty' WHEN len(forms) + len(species) > 0 THEN 'ok' WHEN regexp_matches(normalized, '^from\\s') THEN 'origin_leak' WHEN regexp_matches(normalized, '{r.MERCHANT_LEAK}') THEN 'merchant_leak' ELSE 'unclassified' END AS status,
+  {", ".join(f'{any_of(v)} AS "{k}"' for k, v in r.VALUE_ADDED.items())} FROM l"""
+
+
+@query(commodity_sql())
 def commodity_rules(spark, d):
     """Each line item with a commodity phrase: cleaned, labelled, and its status."""
     phrase = F.element_at(F.array(*map(F.lit, COMMODITIES)), (F.pmod(F.col("l_partkey"), F.lit(len(COMMODITIES))) + 1).cast("int"))

@@ -10,7 +10,7 @@ from wharfinger.operators import counts as c
 from wharfinger.operators import names
 from wharfinger.operators import series as s
 from wharfinger.plans.entities import authority, raw_origin
-from wharfinger.plans.statistics import SEGMENTS, monthly
+from wharfinger.plans.statistics import SEGMENTS, drawn_sql, monthly
 from wharfinger.sources.adapters import arrivals, table
 from wharfinger.sources.files import saved
 
@@ -37,7 +37,16 @@ def segment_slopes_4(spark, d):
     return s.segment_slopes(monthly(spark, d), best.withColumn("breaks", breaks), "t", "v", "origin_region")
 
 
-@query()
+@query(
+    f"""WITH g AS (SELECT year, issue, count_if(origin_region = 'ASIA') AS x, count(*) AS n FROM arr GROUP BY ALL),
+w AS (SELECT rep, year, x, n, {drawn_sql("rep || ':' || year || ':' || issue")} AS w FROM g, range(1000) t(rep)),
+m AS (SELECT rep, year, sum(w * x) / nullif(sum(w * n), 0) AS m FROM w GROUP BY ALL),
+b AS (SELECT rep, regr_slope(m, year) AS b FROM m GROUP BY rep HAVING b IS NOT NULL),
+p AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS p FROM b)
+SELECT (SELECT round(regr_slope(m, year), 6) FROM (SELECT year, sum(x) / sum(n) AS m FROM g GROUP BY year)) AS slope,
+  round(max(b) FILTER (p = 25), 6) AS low, round(max(b) FILTER (p = 975), 6) AS high, round(avg((b < 0)::INT::DOUBLE), 6) AS falling FROM p""",
+    arrivals=True,
+)
 def bootstrap_trend(spark, d):
     g = arrivals(spark, d).groupBy("year", "issue").agg(F.count_if(F.col("origin_region") == "ASIA").alias("x"), F.count(F.lit(1)).alias("n"))
     return s.bootstrap_trend(g, "issue", "year", "x", "n", 1000, 25, 975)
@@ -122,14 +131,14 @@ def port_suggestions(spark, d):
 
 
 @query(
-    """WITH f AS (SELECT s_name AS name, s_acctbal AS lat, 1.0::DOUBLE AS lon, 0 AS p FROM supplier WHERE s_suppkey < 6 UNION ALL SELECT upper(s_name), s_acctbal, 2.0, 1 FROM supplier WHERE s_suppkey < 9),
+    """WITH f AS (SELECT s_name AS name, s_acctbal AS lat, 1.0::DOUBLE AS lon, 0 AS p FROM supplier UNION ALL SELECT upper(s_name), s_acctbal, 2.0, 1 FROM supplier),
 g AS (SELECT name, lat, lon, 0 AS q, p FROM f UNION ALL SELECT upper(name), lat, lon, 1, p FROM f UNION ALL SELECT lower(name), lat, lon, 1, p FROM f)
 SELECT name, lat, lon FROM g QUALIFY row_number() OVER (PARTITION BY name ORDER BY q, p, lat, lon) = 1"""
 )
 def coordinate_merge(spark, d):
     t = table(spark, d, "supplier")
-    a = t.where("s_suppkey < 6").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("lat"), F.lit(1.0).alias("lon"))
-    return names.merge_coordinates(a, t.where("s_suppkey < 9").select(F.upper("s_name").alias("name"), F.col("s_acctbal").alias("lat"), F.lit(2.0).alias("lon")))
+    a = t.select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("lat"), F.lit(1.0).alias("lon"))
+    return names.merge_coordinates(a, t.select(F.upper("s_name").alias("name"), F.col("s_acctbal").alias("lat"), F.lit(2.0).alias("lon")))
 
 
 @query(

@@ -37,8 +37,10 @@ def ols_trend(spark, d):
 
 
 @query(
-    f"""WITH {MONTHLY}, k AS (SELECT *, rank() OVER (PARTITION BY origin_region ORDER BY v) + (count(*) OVER (PARTITION BY origin_region, v) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY origin_region ORDER BY t) AS rt FROM m)
-SELECT origin_region, round(corr(rt, rv), 6) AS rho FROM k GROUP BY ALL""",
+    f"""WITH {MONTHLY}, k AS (SELECT *, rank() OVER (PARTITION BY origin_region ORDER BY v) + (count(*) OVER (PARTITION BY origin_region, v) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY origin_region ORDER BY t) AS rt FROM m),
+c AS (SELECT origin_region, corr(rt, rv) AS r, count(*) - 2 AS v FROM k GROUP BY ALL),
+tails AS (SELECT origin_region, list_transform([asin(abs(r)), 0.0::DOUBLE], lambda a: list_sum(list_transform(range(0, 20001), lambda i: (CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(a + (pi() / 2 - a) * i / 20000), v - 1))) * (pi() / 2 - a)) AS t FROM c)
+SELECT origin_region, round(r, 6) AS rho, round(t[1] / t[2], 6) AS p FROM c JOIN tails USING (origin_region)""",
     arrivals=True,
 )
 def spearman(spark, d):
@@ -131,7 +133,19 @@ def break_confidence(spark, d):
     return total.withColumn("least", F.min("ssr").over(W.partitionBy("origin_region"))).where("ssr <= 1.01 * least").select("origin_region", "at", F.round("ssr", 4).alias("ssr"))
 
 
-@query()
+def drawn_sql(key: str) -> str:
+    """s.drawn in SQL."""
+    return f"len(list_filter([{', '.join(map(str, s.POISSON))}], lambda p: ('0x' || md5({key})[1:15])::BIGINT >= p))"
+
+
+@query(
+    f"""WITH g AS (SELECT issue, count_if(origin_region = 'ASIA') AS x, count(*) AS n FROM arr GROUP BY issue),
+w AS (SELECT rep, x, n, {drawn_sql("rep || ':' || issue")} AS w FROM g, range(800) t(rep)),
+m AS (SELECT rep, sum(w * x) / sum(w * n) AS m FROM w GROUP BY rep),
+p AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS p FROM m)
+SELECT round((SELECT sum(x) / sum(n) FROM g), 6) AS mean, round(max(m) FILTER (p = 20), 6) AS low, round(max(m) FILTER (p = 780), 6) AS high FROM p""",
+    arrivals=True,
+)
 def bootstrap_share_ci(spark, d):
     g = arrivals(spark, d).groupBy("issue").agg(F.count_if(F.col("origin_region") == "ASIA").alias("x"), F.count(F.lit(1)).alias("n"))
     return s.bootstrap(g, "issue", "x", "n", 800, 20, 780)
