@@ -26,7 +26,8 @@ DASH = {
 
 
 def read(spark, *lines, ports=None):
-    rows = grammar.parse_lines(spark.createDataFrame(list(enumerate(lines)), "id int, line string"), "line", ports).collect()
+    known = None if ports is None else spark.createDataFrame([(p.lower(),) for p in ports], "name string")
+    rows = grammar.parse_lines(spark.createDataFrame(list(enumerate(lines)), "id int, line string"), "line", known).collect()
     return [brief(r) for r in sorted(rows, key=lambda r: (r["id"], lines[r["id"]].index(r["raw_text"])))]
 
 

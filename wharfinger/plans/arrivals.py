@@ -23,7 +23,7 @@ def is_continuation(line: Column) -> Column:
     return t.rlike(r"^[\p{Ll})\-—–;,&]") | cargo & ~day | t.rlike(FIRM_GOES_ON)
 
 
-def parse(lines: DataFrame, labels: DataFrame, ports: list[str] | None = None) -> DataFrame:
+def parse(lines: DataFrame, labels: DataFrame, ports: DataFrame | None = None) -> DataFrame:
     """Arrivals of a file: port headers carried down, wrapped lines joined, dates carried on,
     then each logical line read."""
     rows = lines.join(labels, ["source_file", "line_no"]).where(F.trim("text") != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from wharfinger.catalog import query
@@ -154,33 +156,71 @@ def coordinate_merge_all(spark, d):
     return names.merge_coordinates(a, more)
 
 
-def written(spark, d, kind):
-    """Line items written out as lines of the arrival columns."""
-    q, rows = F.col("quantity").cast("int").cast("string"), arrivals(spark, d)
-    ship, origin = F.initcap(F.regexp_replace("ship", "[^A-Za-z]", "")), F.initcap(F.replace("origin", F.lit("_"), F.lit("")))
-    line = {"dash": F.concat(ship, F.lit(" (s)-"), origin, F.lit("-"), q, F.lit(" pcs. deals-Order")), "at": F.concat(ship, F.lit(" @ "), origin, F.lit(",—"), q, F.lit(" lds. oak, Price & Co.")), "rescue": F.concat(ship, F.lit(" Riga "), q, F.lit(" battens"))}[kind]
-    return rows.select("record_id", line.alias("line"))
+#: Shapes of lines, by what is left of a line item's quantity: {ship}, {place} and {q} are the row's own.
+SHAPES = {
+    "dash": ("{ship} (s)-{place}-{q} pcs. deals-Order", "{ship}-{place}-{q} lds. oak, 1,200 fms. firewood-Price & Co.", "{ship}-{q} pcs. deals, Order", "{q} pcs. deals, 3 lds. oak; 4 bdls. laths", "{ship}-St. Petersburg"),
+    "at": ("{ship} @ {place},—{q} lds. oak, Price & Co.", "Pitwood.—{ship} (s) @ {place},—{q} lds., Order", "{ship} @ {place}, &c.,—{q} doz. battens; 2 t. firewood, Order. A quantity came late."),
+    "rescue": ("{ship} Riga {q} battens", "{ship} (s) New York {q} deals Price & Co.", "{ship} Memel Lavender Dock", "{ship} Nowhere {q} deals", "{ship} St. Johns Riga qty. staves, Order"),
+}
+#: What is read from each: ship, steam, origin, consignee, items and confidence.
+ANSWERS = {
+    "dash": (
+        "ship, true, place, 'Order', [(q, 'pcs.', 'deals')], 'high'", "ship, false, place, 'Price & Co', [(q, 'lds.', 'oak'), ('1,200', 'fms.', 'firewood')], 'high'",
+        "ship, false, '', 'Order', [(q, 'pcs.', 'deals')], 'medium'", "'', false, '', NULL, [(q, 'pcs.', 'deals'), ('3', 'lds.', 'oak'), ('4', 'bdls.', 'laths')], 'low'", "ship, false, 'St. Petersburg', NULL, [(NULL, NULL, NULL)], 'medium'",
+    ),
+    "at": (
+        "ship, false, place, 'Price & Co.', [(q, 'lds.', 'oak')], 'high'", "ship, true, place, 'Order', [(q, 'lds.', 'pitwood')], 'high'",
+        "ship, false, place, 'Order', [(q, 'doz.', 'battens'), ('2', 't.', 'firewood')], 'high'",
+    ),
+    "rescue": (
+        "ship, false, 'Riga', NULL, [(q, NULL, 'battens')], 'medium'", "ship, true, 'New York', 'Price & Co.', [(q, NULL, 'deals')], 'medium'", "ship, false, 'Memel', NULL, [(NULL, NULL, NULL)], 'medium'",
+        "ship || ' Nowhere ' || q || ' deals', false, '', NULL, [(NULL, NULL, NULL)], 'low'", "ship || ' St. Johns', false, 'Riga', 'Order', [('qty.', NULL, 'staves')], 'medium'",
+    ),
+}
 
 
-READ = """SELECT record_id, ship, steam, origin, consignee, quantity, unit, commodity, confidence FROM (SELECT record_id, regexp_replace(ship, '[^A-Za-z]', '', 'g') AS ship, {0}, quantity::INT::VARCHAR AS quantity, {1} FROM (SELECT * EXCLUDE (steam, origin), replace(origin, '_', '') AS o FROM arr))"""
-NATION = "upper(o[1:1]) || lower(o[2:])"
+def written(spark, d, kind):
+    """Line items written out as lines of the arrival columns, in several shapes. They are dealt anew: the
+    table is one file, reading a line costs far more than moving it."""
+    q, rows = F.col("quantity").cast("int"), arrivals(spark, d)
+    given = {"ship": F.initcap(F.regexp_replace("ship", "[^A-Za-z]", "")), "place": F.initcap(F.replace("origin", F.lit("_"), F.lit(""))), "q": q.cast("string")}
+    line = F.lit(None).cast("string")
+    for k, shape in enumerate(SHAPES[kind]):
+        parts = [given[x] if j % 2 else F.lit(x) for j, x in enumerate(re.split(r"\{(\w+)\}", shape))]
+        line = F.when(q % len(SHAPES[kind]) == k, F.concat(*parts)).otherwise(line)
+    return rows.select("record_id", line.alias("line")).repartition("record_id")
+
+
+def read_sql(kind: str) -> str:
+    columns = ("ship", "steam", "origin", "consignee", "items", "confidence")
+    def row(answer: str) -> str:
+        head, items, tail = re.match(r"(.*), (\[.*\]), (.*)", answer).groups()
+        items = re.sub(r"\(([^,]*(?:'[^']*')?), ([^,]*), ([^)]*)\)", r"{'a': \1::VARCHAR, 'b': \2::VARCHAR, 'c': \3::VARCHAR}", items.replace("'1,200'", "'1@200'"))
+        return "SELECT record_id, " + ", ".join(f"{v} AS {c}" for c, v in zip(columns, [*head.split(", "), items, tail], strict=True))
+
+    each = " UNION ALL ".join(f"{row(a)} FROM x WHERE q::INT % {len(ANSWERS[kind])} = {k}" for k, a in enumerate(ANSWERS[kind]))
+    return f"""WITH x AS (SELECT record_id, regexp_replace(ship, '[^A-Za-z]', '', 'g') AS ship, upper(o[1:1]) || lower(o[2:]) AS place, quantity::INT::VARCHAR AS q FROM (SELECT *, replace(origin, '_', '') AS o FROM arr)),
+a AS ({each})
+SELECT record_id, ship, steam, origin, consignee, replace(i.a, '@', ',') AS quantity, i.b AS unit, i.c AS commodity, confidence FROM (SELECT *, unnest(items) AS i FROM a)"""
 
 
 def read(spark, d, kind, ports=None):
     rows = grammar.parse_lines(written(spark, d, kind), "line", ports)
-    return rows.select("record_id", "ship", "steam", "origin", "consignee", F.explode("cargo").alias("i"), "confidence").select("record_id", "ship", "steam", "origin", "consignee", "i.quantity", "i.unit", "i.commodity", "confidence")
+    return rows.select("record_id", "ship", "steam", "origin", "consignee", F.explode_outer("cargo").alias("i"), "confidence").select("record_id", "ship", "steam", "origin", "consignee", "i.quantity", "i.unit", "i.commodity", "confidence")
 
 
-@query(READ.format(f"true AS steam, {NATION} AS origin, 'Order' AS consignee", "'pcs.' AS unit, 'deals' AS commodity, 'high' AS confidence"), arrivals=True)
+@query(read_sql("dash"), arrivals=True)
 def dash_parse(spark, d):
     return read(spark, d, "dash")
 
 
-@query(READ.format(f"false AS steam, {NATION} AS origin, 'Price & Co.' AS consignee", "'lds.' AS unit, 'oak' AS commodity, 'high' AS confidence"), arrivals=True)
+@query(read_sql("at"), arrivals=True)
 def at_parse(spark, d):
     return read(spark, d, "at")
 
 
-@query(READ.format("false AS steam, 'Riga' AS origin, NULL::VARCHAR AS consignee", "NULL::VARCHAR AS unit, 'battens' AS commodity, 'medium' AS confidence"), arrivals=True)
+@query(read_sql("rescue"), arrivals=True)
 def rescue(spark, d):
-    return read(spark, d, "rescue", ["Riga", "Memel"])
+    names_ = spark.createDataFrame([(n,) for n in ("Riga", "Memel", "New York", "York")], "name string")
+    places = names_.union(table(spark, d, "nation").select("n_name"))
+    return read(spark, d, "rescue", grammar.gazetteer(places, spark.createDataFrame([("Petersburg", "St. Petersburg")], "variant string, canonical string")))
