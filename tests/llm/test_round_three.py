@@ -10,7 +10,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 from test_operators import DOCS, PASSAGE, empty, pairs, table
 
-from wharfinger.llm import importance, repair, running, slots
+from wharfinger.llm import importance, mixing, repair, running, slots
 from wharfinger.llm.scratch import Scratch
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -190,3 +190,18 @@ def test_sizes_of_the_tables(spark):
     assert {r["law"] for r in got} == {"key"} and len({r["shard"] for r in got}) == 8
     assert 0 < sum(r["grown_shard"] == 8 for r in got) < len(got) / 4
     assert DOCS.startswith("doc_id")
+
+
+def test_mixing_of_rows_without_a_doc_id(spark):
+    """Half of the rows have no doc_id: they spread over the buckets by text, and in any order of rows the same words are taken."""
+    rows = [(None, f"w{i} x y", "a") for i in range(60)] + [(i, f"v{i} x y", "a") for i in range(50)] + [(7, "one two three", "b"), (7, "four five six", "b"), (8, "z", "b")]
+    got = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string")
+        mixed = mixing.mix_documents(df, share=0.5, bucket_rows=10)
+        got.append(by_text(mixed.select("doc_id", "text").collect()))
+    assert got[0] == got[1]
+    taken = sum(len(t.split()) for d, t in got[0] if d is None)
+    assert 0 < taken < 180  # one key for all would take all of them or nearly none
+    keys = spark.createDataFrame(rows, "doc_id long, text string, source string").where("doc_id is null").select(mixing.random_key(F.col("doc_id"), F.col("text")).alias("k"))
+    assert keys.distinct().count() == 60

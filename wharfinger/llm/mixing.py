@@ -7,8 +7,9 @@ running sum within a bucket is added. Where the running sum of a source meets it
 the mix is cut; a budget above the source's size takes whole epochs first.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order;
-ties of keys fall by doc_id, then size; repeated rows are taken each for itself; a null doc_id
-has a key of its own; texts of any length count whole.
+ties of keys fall by doc_id, size and a hash of the text; repeated rows are taken each for itself; a row
+without doc_id has the key of its text, so that such rows spread; rows that repeat a doc_id share its key; texts
+of any length count whole.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ def word_count(text: Column) -> Column:
     return (F.length(plain) - F.length(F.replace(plain, F.lit("w"), F.lit("")))).cast("long")
 
 
-def random_key(doc_id: Column, seed: str = "mix") -> Column:
-    """60 bits of an md5, so that another engine can repeat the draw."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+def random_key(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """60 bits of an md5 of the doc_id, or of the text where there is none; another engine can repeat the draw."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), name).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def water_fill(sources: DataFrame, share: float, most: float) -> DataFrame:
@@ -61,8 +63,8 @@ def plan_mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1
 
     weights: (source, weight); without it sources take 5, 2, 1 in turn."""
     row = [c for c in docs.columns if c == "_row"]
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), random_key(F.col("doc_id"), seed).alias("_key"), *row)
-    slim = Scratch(docs.sparkSession).save(sized.select("doc_id", "source", "_size", "_key"), "sizes")  # words are counted once
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), random_key(F.col("doc_id"), F.col("text"), seed).alias("_key"), F.xxhash64("text").alias("_digest"), *row)
+    slim = Scratch(docs.sparkSession).save(sized.select("doc_id", "source", "_size", "_key", "_digest"), "sizes")  # words are counted once
     if not row:
         sized = slim
     totals = slim.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
@@ -78,14 +80,14 @@ def plan_mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1
     sums = slim.join(goals, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_bucket", F.floor(F.col("_key") / F.lit(2.0**60) * F.col("_buckets")))
     sums = sums.groupBy(F.col("source").alias("_s"), F.col("_bucket").alias("_b")).agg(F.sum("_size").alias("_sum"))
     sums = sums.withColumn("_before", F.sum("_sum").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_sum")).drop("_sum")
-    inner = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "_size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "_size", "_digest").rowsBetween(W.unboundedPreceding, W.currentRow)
     run = placed.withColumn("_in", F.sum("_size").over(inner) - F.col("_size"))
     run = run.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     budget = F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = budget - epochs * F.col("source_size") - F.col("_before") - F.col("_in")
     part = F.greatest(F.lit(0), F.least(F.col("_size"), left)).cast("long")
-    return run.withColumn("epochs", epochs).withColumn("part", part).withColumnRenamed("_size", "size").drop("_key", "_buckets", "_bucket", "_in", "_s", "_b", "_before")
+    return run.withColumn("epochs", epochs).withColumn("part", part).withColumnRenamed("_size", "size").drop("_key", "_digest", "_buckets", "_bucket", "_in", "_s", "_b", "_before")
 
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:

@@ -107,7 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 OP3 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || md5('mix:' || doc_id::VARCHAR)[1:15])::BIGINT AS k
+         ('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))))[1:15])::BIGINT AS k
   FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (
