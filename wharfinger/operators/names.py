@@ -193,6 +193,24 @@ def status_counts(rows: DataFrame, file: str, status: str, kinds: list[str]) ->
     return rows.groupBy(file).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(status) == k).alias(k) for k in kinds])
 
 
+def coverage(rows: DataFrame, sides: tuple[str, str], top: int = 50, missing: int = 100) -> DataFrame:
+    """section, side, value, n and percent (of all rows) of normalised rows: how many have each status;
+    the names without a mapping that occur most often, `missing` of each side, and the others, `top` of
+    each; and of how many rows both sides are known, or which. Rows are counted once by side, status and name; ties fall by name."""
+    cells = [F.struct(F.lit(s).alias("side"), F.col(f"{s}_status").alias("status"), F.col(f"{s}_normalized").alias("name")) for s in sides]
+    n = rows.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.side", "c.status", "c.name").agg(F.count(F.lit(1)).alias("n"))
+    status = n.groupBy("side", F.col("status").alias("value")).agg(F.sum("n").alias("n")).select(F.lit("status").alias("section"), "side", "value", "n")
+    section = F.when(F.col("status") == "unmapped", "unmapped").otherwise("known")
+    named = n.groupBy(section.alias("section"), "side", F.col("name").alias("value")).agg(F.sum("n").alias("n"))
+    place = F.row_number().over(W.partitionBy("section", "side").orderBy(F.desc("n"), "value"))
+    named = named.withColumn("_p", place).where(F.col("_p") <= F.when(F.col("section") == "unmapped", missing).otherwise(top)).drop("_p")
+    known = [F.col(f"{s}_status").isin("mapped", "canonical") for s in sides]
+    both = F.when(known[0] & known[1], "both").when(known[0], f"{sides[0]} only").when(known[1], f"{sides[1]} only").otherwise("neither")
+    pairs = rows.groupBy(both.alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("pair").alias("section"), F.lit("both").alias("side"), "value", "n")
+    all_ = rows.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    return status.union(named).union(pairs).crossJoin(all_).select("section", "side", "value", "n", F.round(F.lit(100.0) * F.col("n") / F.col("_all"), 2).alias("percent"))
+
+
 def first_place(rows: DataFrame, name: str, *order: str) -> DataFrame:
     """name, lat and lon of the first row of each name, in the given order, that has both."""
     placed = rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())

@@ -37,22 +37,44 @@ def raw_origin():
     return F.when(o == "NATION_9", "").when(o == "NATION_7", "Nation, 7 (s)").when(o == "NATION_10", "NATION 2").otherwise(o)
 
 
-@query(
-    f"""WITH {PORTS}, c AS (SELECT n,
+#: c, with what each list has for a name, and after it the choice among them.
+CASCADE = f"""c AS (SELECT n,
   (SELECT any_value(canonical) FROM map WHERE variant = n) AS m, (SELECT arg_max(canonical, ordinal) FROM map WHERE lower(variant) = lower(n)) AS mi,
   (SELECT any_value(name) FROM geo WHERE name = n) AS c, (SELECT arg_min(name, ordinal) FROM geo WHERE lower(name) = lower(n)) AS ci,
   (SELECT arg_min(canonical, ordinal) FROM map WHERE lower(trim(regexp_replace(variant, '[.,''\\s]+', ' ', 'g'))) = q) AS ms,
   (SELECT arg_min(name, ordinal) FROM geo WHERE lower(trim(regexp_replace(name, '[.,''\\s]+', ' ', 'g'))) = q) AS cs,
-  lower(n) IN (SELECT lower(name) FROM err) AS e FROM sq)
-SELECT n AS port, CASE WHEN n = '' OR e THEN n ELSE coalesce(m, mi, c, ci, ms, cs, n) END AS port_normalized,
-  CASE WHEN n = '' THEN 'empty' WHEN e THEN 'error' WHEN coalesce(m, mi) IS NOT NULL THEN 'mapped' WHEN coalesce(c, ci) IS NOT NULL THEN 'canonical' WHEN ms IS NOT NULL THEN 'mapped' WHEN cs IS NOT NULL THEN 'canonical' ELSE 'unmapped' END AS port_status FROM c""",
-    arrivals=True,
-)
+  lower(n) IN (SELECT lower(name) FROM err) AS e FROM sq)"""
+CHOSEN = """SELECT n AS port, CASE WHEN n = '' OR e THEN n ELSE coalesce(m, mi, c, ci, ms, cs, n) END AS port_normalized,
+  CASE WHEN n = '' THEN 'empty' WHEN e THEN 'error' WHEN coalesce(m, mi) IS NOT NULL THEN 'mapped' WHEN coalesce(c, ci) IS NOT NULL THEN 'canonical' WHEN ms IS NOT NULL THEN 'mapped' WHEN cs IS NOT NULL THEN 'canonical' ELSE 'unmapped' END AS port_status FROM c"""
+
+
+@query(f"WITH {PORTS}, {CASCADE} {CHOSEN}", arrivals=True)
 def port_cascade(spark, d):
     rows = arrivals(spark, d).select(raw_origin().alias("port")).distinct()
     return names.normalise(rows, "port", *authority(spark))
 
 
+@query(
+    f"""WITH {PORTS.replace("ELSE origin END AS n FROM arr)", "ELSE origin END AS n FROM arr UNION SELECT dest FROM arr)")}, {CASCADE}, chosen AS ({CHOSEN}),
+two AS (SELECT record_id, CASE WHEN origin = 'NATION_9' THEN '' WHEN origin = 'NATION_7' THEN 'Nation, 7 (s)' WHEN origin = 'NATION_10' THEN 'NATION 2' ELSE origin END AS o, dest FROM arr),
+placed AS (SELECT a.port_status AS os, a.port_normalized AS o, b.port_status AS ds, b.port_normalized AS d FROM two JOIN chosen a ON a.port = two.o JOIN chosen b ON b.port = two.dest),
+n AS (SELECT 'origin' AS side, os AS status, o AS value, count(*) AS n FROM placed GROUP BY ALL UNION ALL SELECT 'dest', ds, d, count(*) FROM placed GROUP BY ALL),
+named AS (SELECT CASE WHEN status = 'unmapped' THEN 'unmapped' ELSE 'known' END AS section, side, value, sum(n) AS n FROM n GROUP BY ALL),
+parts AS (
+  SELECT 'status' AS section, side, status AS value, sum(n) AS n FROM n GROUP BY ALL
+  UNION ALL SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY section, side ORDER BY n DESC, value) <= 5
+  UNION ALL SELECT 'pair', 'both', CASE WHEN os IN ('mapped', 'canonical') AND ds IN ('mapped', 'canonical') THEN 'both' WHEN os IN ('mapped', 'canonical') THEN 'origin only' WHEN ds IN ('mapped', 'canonical') THEN 'dest only' ELSE 'neither' END, count(*) FROM placed GROUP BY ALL)
+SELECT section, side, value, n::BIGINT AS n, round(100.0::DOUBLE * n / (SELECT count(*) FROM placed), 2) AS percent FROM parts""",
+    arrivals=True,
+)
+def port_coverage_report(spark, d):
+    """Both sides' statuses, pairs, and the five names of each side that occur most often."""
+    rows = arrivals(spark, d).select(raw_origin().alias("origin"), "dest")
+    for side in ("origin", "dest"):
+        rows = names.normalise(rows, side, *authority(spark))
+    return names.coverage(rows, ("origin", "dest"), top=5, missing=5)
+
+
 @query(
     """WITH s AS (SELECT merchant, CASE WHEN year % 2 = 0 THEN upper(merchant) ELSE replace(merchant, '#', '# ') END AS name, record_id FROM arr),
 k AS (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key, name, count(*) AS n, min(record_id) AS f FROM s GROUP BY ALL)
