@@ -68,6 +68,44 @@ def spread_sample(df: DataFrame, k: int, order: str, *group: str) -> DataFrame:
     return rows.where((F.col("_n") <= k) | first).drop("_p", "_n")
 
 
+#: Cargo words that a spot check looks for in names, and the longest name of a ship it lets pass.
+SPOT_WORDS = r"(?i)\b(deals?|battens?|boards?|staves|lathwood|laths|firewood|pit ?-?props?|pitwood|sleepers|timber|spars|poles|logs|ends|pcs\.|lds\.|bdls\.|fms\.|stds\.)\b"
+LONGEST_SHIP = 40
+
+
+def suspicions(ship: Column, origin: Column, consignee: Column) -> Column:
+    """Why a record looks wrong: an array of reasons, empty if it does not."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    reasons = {
+        "digits_in_ship_name": text(ship).rlike(r"\d"), "cargo_in_ship_name": text(ship).rlike(SPOT_WORDS), "cargo_in_origin": text(origin).rlike(SPOT_WORDS),
+        "digits_in_consignee": text(consignee).rlike(r"\d"), "long_ship_name": F.length(text(ship)) > LONGEST_SHIP,
+    }
+    return F.filter(F.array(*[F.when(on, F.lit(k)) for k, on in reasons.items()]), lambda r: r.isNotNull())
+
+
+def hashed_sample(df: DataFrame, k: int, key: str, *group: str) -> DataFrame:
+    """The k rows of each group whose keys' md5 is least: the same whatever else is there, and kept
+    to k a task before they are moved."""
+    place = F.row_number().over(W.partitionBy(*group).orderBy(F.md5(F.col(key).cast("binary")), key))
+    return df.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
+
+
+def spot_check(files: DataFrame, lines: DataFrame, records: DataFrame, least: int = 3) -> DataFrame:
+    """For each of the files (source_file and other columns): the lines that ought to be read, those
+    read, those missed, runs of `least` or more missed ones, the longest run, and records with a reason for
+    suspicion. records: source_file, line_no, ship, origin, consignee."""
+    mine = lines.join(files.select("source_file"), "source_file", "left_semi")
+    found = records.join(files.select("source_file"), "source_file", "left_semi")
+    left = mine.join(found.select("source_file", "line_no").distinct(), ["source_file", "line_no"], "left_anti")
+    runs = missed_lines(mine.select("source_file", "line_no"), found.select("source_file", "line_no"), 1).groupBy("source_file").agg(F.count_if(F.col("n") >= least).alias("long_runs"), F.max("n").alias("longest_run"))
+    n = mine.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_lines"))
+    missed = left.groupBy("source_file").agg(F.count(F.lit(1)).alias("missed"))
+    odd = found.where(F.size(suspicions(F.col("ship"), F.col("origin"), F.col("consignee"))) > 0).groupBy("source_file").agg(F.count(F.lit(1)).alias("suspicious"))
+    out = files.join(n, "source_file", "left").join(missed, "source_file", "left").join(runs, "source_file", "left").join(odd, "source_file", "left")
+    counts = ("n_lines", "missed", "long_runs", "longest_run", "suspicious")
+    return out.select(*files.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts]).withColumn("read", F.col("n_lines") - F.col("missed"))
+
+
 def reporting_style(text: Column) -> Column:
     """individual, aggregated, mixed or unclear, by how ships and totals are named; not_found
     without any line that looks like either."""

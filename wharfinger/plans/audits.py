@@ -104,3 +104,29 @@ SELECT side, port, count(*) AS n FROM s GROUP BY ALL""",
 def port_frequency(spark, d):
     sides = F.explode(F.array(F.struct(F.lit("origin").alias("side"), F.col("origin").alias("port")), F.struct(F.lit("destination").alias("side"), F.col("dest").alias("port"))))
     return c.count_by(arrivals(spark, d).select(sides.alias("x")).select("x.*"), "side", "port")
+
+
+READ_LINE = "regexp_matches(text, '^[A-Z]') AND length(text) <= 400"
+
+
+@query(
+    f"""WITH f AS (SELECT DISTINCT source_file, split_part(source_file, '/', 1) AS source FROM ln),
+k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5(source_file), source_file) <= 20),
+l AS (SELECT source_file, line_no, text, {READ_LINE} AS read FROM ln JOIN k USING (source_file)),
+gone AS (SELECT source_file, line_no - row_number() OVER (PARTITION BY source_file ORDER BY line_no) AS i FROM l WHERE NOT read),
+r AS (SELECT source_file, count(*) FILTER (n >= 3) AS long_runs, max(n) AS longest_run FROM (SELECT source_file, count(*) AS n FROM gone GROUP BY source_file, i) GROUP BY ALL),
+o AS (SELECT source_file, split_part(text, '.', 1) AS ship, split_part(text, ' ', 1) AS origin, split_part(text, ' ', 2) AS consignee FROM l WHERE read),
+s AS (SELECT source_file, count(*) AS suspicious FROM o WHERE regexp_matches(ship, '\\d') OR regexp_matches(consignee, '\\d') OR length(ship) > 40 OR regexp_matches(ship, '{a.SPOT_WORDS}') OR regexp_matches(origin, '{a.SPOT_WORDS}') GROUP BY ALL),
+n AS (SELECT source_file, count(*) AS n_lines, count_if(read) AS read FROM l GROUP BY ALL)
+SELECT source_file, source, n_lines, read, n_lines - read AS missed, coalesce(long_runs, 0) AS long_runs, coalesce(longest_run, 0) AS longest_run, coalesce(suspicious, 0) AS suspicious
+FROM k JOIN n USING (source_file) LEFT JOIN r USING (source_file) LEFT JOIN s USING (source_file)""",
+    lines=True,
+)
+def spot_check(spark, d):
+    """Twenty files of each source, by hash: lines missed, runs of them, and suspicious records. A line of
+    prose stands for a record: its first sentence as the ship, its first words as origin and consignee."""
+    lines = page_lines(spark, d)
+    files = a.hashed_sample(lines.select("source_file", F.substring_index("source_file", "/", 1).alias("source")).distinct(), 20, "source_file", "source")
+    part = lambda sep, k: F.split_part("text", F.lit(sep), F.lit(k))
+    records = lines.where(F.col("text").rlike("^[A-Z]") & (F.length("text") <= 400)).select("source_file", "line_no", part(".", 1).alias("ship"), part(" ", 1).alias("origin"), part(" ", 2).alias("consignee"))
+    return a.spot_check(files, lines.select("source_file", "line_no"), records)
