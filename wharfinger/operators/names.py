@@ -137,12 +137,14 @@ def unmapped(df: DataFrame, name: str, known: DataFrame) -> DataFrame:
 def resolve_aliases(alias: DataFrame) -> DataFrame:
     """Follows variant -> canonical to the end, however long the path; one that runs into a cycle ends
     at the least name on the way. A variant given twice goes to its least canonical. Each round
-    doubles the steps, until they are as many as there are aliases; rounds are cut by checkpoints."""
+    doubles the steps, until all paths are at their ends or, where some run in cycles, the steps are as many as there are aliases; rounds are cut by checkpoints."""
     least = F.least("variant", F.min("canonical"))
     out = saved(alias.where("variant is not null and canonical is not null").groupBy("variant").agg(F.min("canonical").alias("end"), least.alias("least")))
     for _ in range(out.count().bit_length()):
         nxt = out.select(F.col("variant").alias("_v"), F.col("end").alias("_e"), F.col("least").alias("_l"))
         j = out.join(nxt, F.col("end") == F.col("_v"), "left")
+        if j.where("_v is not null").isEmpty():  # all paths are at their ends
+            break
         out = saved(j.select("variant", F.coalesce("_e", "end").alias("end"), F.least("least", "_l").alias("least")))
     more = out.select(F.col("variant").alias("_v"))
     return out.join(more, F.col("end") == F.col("_v"), "left").select("variant", F.when(F.col("_v").isNotNull(), F.col("least")).otherwise(F.col("end")).alias("canonical"))
