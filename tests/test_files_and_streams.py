@@ -1,6 +1,8 @@
 """Readers, writers and the streaming forms."""
 
+import datetime
 import json
+import random
 
 from wharfinger.operators import sequences
 from wharfinger.sources import files
@@ -47,9 +49,39 @@ def stream(spark, tmp_path, df, query):
 
 
 def test_streamed_ditto_is_the_batch_one(spark, tmp_path):
-    df = spark.createDataFrame([("u", 1, "named", "A"), ("u", 2, "ditto", None), ("v", 1, "ditto", None), ("u", 3, "named", "B"), ("u", 4, "ditto", None)], "p string, s int, k string, n string").coalesce(1)
-    got = {(r["p"], r["s"]): r["resolved"] for r in stream(spark, tmp_path, df, lambda x: live.resolve_ditto(x, "p", "k", "n", "s"))}
-    assert got == {(r["p"], r["s"]): r["resolved"] for r in sequences.resolve_ditto(df, "k", "n", "p", "s").collect()}
+    """Shuffled micro-batches give the batch form's names; parts that are idle leave no state."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(5)
+    schema = "p string, s int, k string, n string, at timestamp"
+    start = datetime.datetime(2024, 1, 1)
+    rows = []
+    for p in "uvwxyz":
+        for s in range(40):
+            kind = rng.choice(["named", "ditto", "ditto", "none"])
+            rows.append((p, s, kind, f"{p}{s}" if kind == "named" else None, start + datetime.timedelta(minutes=s // 2 * 6)))  # two rows at a time: ties fall by place
+    want = {(r["p"], r["s"]): r["resolved"] for r in sequences.resolve_ditto(spark.createDataFrame(rows, schema), "k", "n", "p", "s").collect()}
+    rows.append(("late", 0, "ditto", None, start + datetime.timedelta(hours=5)))
+    rows.append(("none", None, "named", "x", start))
+    batch = sorted(rows[:-2], key=lambda r: r[4] + datetime.timedelta(minutes=rng.randrange(50)))
+    hour, held = "1 hour", []
+    feed, cp = tmp_path / "in", str(tmp_path / "cp")
+    feed.mkdir()
+    out = live.resolve_ditto(spark.readStream.schema(schema).parquet(str(feed)), "p", "k", "n", "s", "at", hour, hour)
+    seen = {}
+    far = [[(f"far{i}", 0, "named", "q", start + datetime.timedelta(hours=9 + 9 * i))] for i in range(2)]
+
+    def keep(df, i):
+        for r in df.collect():
+            assert (r["p"], r["s"]) not in seen
+            seen[r["p"], r["s"]] = r["resolved"]
+
+    for part in [batch[:60], batch[60:120], batch[120:180], batch[180:] + rows[-2:], *far]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(feed))
+        q = out.writeStream.foreachBatch(keep).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert {k: v for k, v in seen.items() if k[0] in "uvwxyz"} == want
+    assert max(held) >= 12 and held[-1] <= 3  # a name and a list of each part, then those of the last rows
 
 
 def test_streamed_first_seen(spark, tmp_path):
