@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wharfinger.plans import arrivals
 from wharfinger.plans.staged import Staged, failed
 
 
@@ -39,3 +40,43 @@ def test_stages_resume(spark, tmp_path):
     done, out = staged.run(*more, steps())
     assert calls == [("read", 1), ("kept", 1), ("named", 1)] and {tuple(r) for r in out.collect()} == want | {("e", 5, 10, 1)}
     assert done.count() == 5
+
+
+PAGES = {
+    "18850103J_p001": [("LONDON", "PORT_HEADER"), ("Dec. 28 Vesta-Riga-1,000 deals, 50 battens-", "SHIPPING_DATA"), ("and sleepers-Price & Co.", "SHIPPING_DATA"), ("29 Presto (s)-Soderhamn-11 fms. firewood-Ditto", "SHIPPING_DATA")],
+    "18850103J_p002": [("LONDON", "PORT_HEADER"), ("29 Presto (s)-Soderhamn-11 fms. firewood-Ditto", "SHIPPING_DATA"), ("HULL", "PORT_HEADER"), ("30 Anna-Memel-40 lds. oak-PRICE & CO", "SHIPPING_DATA"), ("30 Ida-Riga-40 lds. oak-PRICE & CO", "SHIPPING_DATA")],
+    "18850110J_p001": [("HULL", "PORT_HEADER"), ("Jan. 3 Anna-Memel-40 lds. oak-PRICE & CO", "SHIPPING_DATA"), ("noise", "OTHER")],
+}
+
+
+def test_arrivals_page_by_page(spark, tmp_path, monkeypatch):
+    """Pages that come one after the other, with a run that dies between, give what all at once give."""
+    docs = [(f, "success", None) for f in PAGES] + [("18850117J_p001", "error", "no text")]
+    lines = [(f, i + 1, t, k) for f, page in PAGES.items() for i, (t, k) in enumerate(page)] + [("18850117J_p001", 1, "Ada-Riga-deals-Order", "SHIPPING_DATA")]
+    known = [("RIGA", "Riga", 0)], [("order",)], [("Memel", 55.7, 21.1, 0), ("London", 51.5, -0.1, 1), ("Hull", 53.7, -0.3, 2)]
+    mapping, errors, coords = (spark.createDataFrame(v, f"{c}") for v, c in zip(known, ("variant string, canonical string, ordinal int", "name string", "name string, lat double, lon double, ordinal int"), strict=True))
+    frame = lambda rows, c: spark.createDataFrame(rows, c)
+    D, L = "source_file string, status string, error string", "source_file string, line_no int, text string, line_type string"
+
+    def run(path, upto):
+        return arrivals.run(frame(docs[:upto], D), frame(lines, L), str(tmp_path / path), mapping, errors, coords)
+
+    def seen(out):
+        return sorted((r["source_file"], r["line_no"], r["date"], r["ship"], r["origin_normalized"], r["dest"], r["firm"], r["port_status"], r["cargo"][0]["forms"]) for r in out.collect())
+
+    _, once = run("once", 4)
+    want = seen(once)
+    assert [w[:2] for w in want] == [("18850103J_p001", 2), ("18850103J_p001", 4), ("18850103J_p002", 4), ("18850103J_p002", 5), ("18850110J_p001", 2)]
+    assert {w[6] for w in want} == {"PRICE & CO"}  # the form that is found most often, known only from all pages
+    _, first = run("parts", 1)
+    assert {w[6] for w in seen(first)} == {"Price & Co."}
+    with monkeypatch.context() as m:
+        m.setattr(arrivals, "enrich_firms", lambda rows, big: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run("parts", 2)
+    with monkeypatch.context() as m:
+        m.setattr(arrivals, "parse_labelled", lambda lines, ports: 1 / 0)  # the pages are read already
+        run("parts", 2)
+    done, out = run("parts", 4)
+    assert seen(out) == want
+    assert [tuple(r) for r in failed(done).collect()] == [("18850117J_p001", "error", "no text")] and done.count() == 4

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wharfinger.functions import grammar, rules, text
 from wharfinger.operators import names, repeats, sequences
+from wharfinger.plans.staged import ALL, Staged
+from wharfinger.sources.files import companions
 
 #: Patterns of a port's header and of the end of a firm's name at the head of a line.
 PORT_HEADER = r"^([A-Z][A-Z\s\-\(\)'\.&,]+)"
@@ -24,9 +26,14 @@ def is_continuation(line: Column) -> Column:
 
 
 def parse(lines: DataFrame, labels: DataFrame, ports: DataFrame | None = None) -> DataFrame:
+    """Arrivals of a file's lines with the labels of its companion."""
+    return parse_labelled(companions(lines, labels), ports)
+
+
+def parse_labelled(lines: DataFrame, ports: DataFrame | None = None) -> DataFrame:
     """Arrivals of a file: port headers carried down, wrapped lines joined, dates carried on,
-    then each logical line read."""
-    rows = lines.join(labels, ["source_file", "line_no"]).where(F.trim("text") != "")
+    then each logical line read. lines: source_file, line_no, text, line_type."""
+    rows = lines.where(F.trim("text") != "")
     header = F.col("line_type") == "PORT_HEADER"
     named = F.regexp_extract(F.trim("text"), PORT_HEADER, 1)
     port = F.when(header & ~F.trim(named).isin("IMPORTS", "IMPORT", "EXPORTS", "") & (F.length(named) > 0), F.btrim(named, F.lit(" .,-")))
@@ -80,3 +87,22 @@ def enrich_ports(records: DataFrame, mapping: DataFrame, errors: DataFrame, coor
     good = lambda s: F.col(f"{s}_status").isin("mapped", "canonical")
     pair = F.when(good("origin") & good("dest"), "both").when(good("origin"), "origin_only").when(good("dest"), "destination_only").otherwise("neither")
     return rows.withColumn("port_status", pair)
+
+
+def stages(mapping: DataFrame, errors: DataFrame, coords: DataFrame, ports: DataFrame | None = None, big: int = 100) -> list[tuple]:
+    """The stages for Staged.run. Lines, goods and ports are read document by document; repeats go over
+    the pages of an issue and firms are merged over all records, so these two are made over everything."""
+    return [
+        ("read", lambda lines: parse_labelled(lines, ports)),
+        ("goods", enrich_cargo),
+        ("ports", lambda rows: enrich_ports(rows, mapping, errors, coords)),
+        ("single", deduplicate, ALL),
+        ("firms", lambda rows: enrich_firms(rows, big), ALL),
+    ]
+
+
+def run(documents: DataFrame, lines: DataFrame, path: str, mapping: DataFrame, errors: DataFrame, coords: DataFrame, ports: DataFrame | None = None, big: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(documents, arrivals): every document with its status and error, and the arrivals of those that
+    succeeded, each stage's output kept below path. What is there already is not made again.
+    documents: source_file, status, error; lines: source_file, line_no, text, line_type."""
+    return Staged(lines.sparkSession, path).run(documents, lines, stages(mapping, errors, coords, ports, big))
