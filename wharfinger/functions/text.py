@@ -68,6 +68,18 @@ def audit_year(name: Column) -> Column:
     return F.coalesce(found(name, r"(18[7-9]\d)"), F.lit("unknown"))
 
 
+def last_year(name: Column) -> Column:
+    """The year of a spot check by file name: the last of 1870 to 1899 as text, else unk."""
+    years = F.regexp_extract_all(name, F.lit(r"18[789]\d"), F.lit(0))
+    return F.coalesce(F.try_element_at(years, F.lit(-1)), F.lit("unk"))
+
+
+def bounded_year(name: Column) -> Column:
+    """Four figures at the head if they are 1870 to 1910, else the first year of the 1800s, else null."""
+    head = found(name, r"^(\d{4})").cast("int")
+    return F.coalesce(F.when(head.between(1870, 1910), head), found(name, r"(18\d{2})").cast("int"))
+
+
 def arrival_iso(date: Column, issue_year: Column, issue_month: Column) -> Column:
     """"Mon. D" in an issue's year, or the year before if December comes in a January issue."""
     month, day = month_of(date), found(date, r"^[A-Za-z]{3}\.?\s+(\d{1,2})$").cast("int")

@@ -68,6 +68,20 @@ def spread_sample(df: DataFrame, k: int, order: str, *group: str) -> DataFrame:
     return rows.where((F.col("_n") <= k) | first).drop("_p", "_n")
 
 
+#: Ports whose headers a survey looks for.
+MAJOR_PORTS = (
+    "LONDON", "LIVERPOOL", "HULL", "BRISTOL", "CARDIFF", "GLASGOW", "NEWCASTLE", "GRIMSBY", "SUNDERLAND", "LEITH", "NEWPORT", "SWANSEA", "HARTLEPOOL",
+    "GOOLE", "MIDDLESBROUGH", "TYNE", "SOUTHAMPTON", "GRANGEMOUTH", "GREENOCK", "DUNDEE", "BO'NESS", "BARROW", "GLOUCESTER", "ROCHESTER", "FALMOUTH", "FAVERSHAM",
+)
+
+
+def port_headers(text: Column, ports: tuple[str, ...] = MAJOR_PORTS) -> Column:
+    """The ports that stand alone on a line, with or without a point, or at the end of a line that another follows,
+    in any case; empty for no text."""
+    has = lambda p: text.rlike(rf"(?imd)^{p}\.?\s*$") | text.rlike(rf"(?i){p}\s*\n")
+    return F.filter(F.array(*[F.when(has(p), F.lit(p)) for p in ports]), lambda p: p.isNotNull())
+
+
 #: Cargo words that a spot check looks for in names, and the longest name of a ship it lets pass.
 SPOT_WORDS = r"(?i)\b(deals?|battens?|boards?|staves|lathwood|laths|firewood|pit ?-?props?|pitwood|sleepers|timber|spars|poles|logs|ends|pcs\.|lds\.|bdls\.|fms\.|stds\.)\b"
 LONGEST_SHIP = 40

@@ -173,3 +173,19 @@ def cohort_fates(df: DataFrame, who: str, place: str, stay: str, move: str, k: i
     late = df.where("period = 'late'").groupBy(who).agg(F.count_if(F.col(place) == stay).alias("s"), F.count_if(F.col(place) == move).alias("m"))
     fate = F.when(F.col("s").isNull(), "disappeared").when((F.col("s") >= F.col("m")) & (F.col("s") > 0), "stayed").when(F.col("m") > 0, "moved").otherwise("left")
     return early.join(late, who, "left").select(who, "n", fate.alias("fate"))
+
+
+def compact(levels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ports, forms, cells) of cube_levels: names with their places in order, from 0 on, and cells with places for
+    names: level, o and d (null where the level has none), f (-1 for all forms together), year, n. Names are dimensions."""
+
+    def places(names: DataFrame, column: str) -> DataFrame:
+        some = names.where(F.col(column).isNotNull()).distinct()
+        return some.withColumn("place", F.row_number().over(W.orderBy(column)) - 1)
+
+    ports = places(levels.select(F.explode(F.array("origin", "dest")).alias("port")), "port")
+    forms = places(levels.select("form"), "form")
+    cells = levels
+    for column, dim, name, place in (("origin", ports, "port", "o"), ("dest", ports, "port", "d"), ("form", forms, "form", "f")):
+        cells = cells.join(dim.select(F.col(name).alias(column), F.col("place").alias(place)), column, "left")
+    return ports, forms, cells.select("level", "o", "d", F.coalesce("f", F.lit(-1)).alias("f"), "year", "n")

@@ -32,6 +32,22 @@ def edges(df: DataFrame) -> DataFrame:
     return out
 
 
+#: The kinds of node at an edge's ends.
+ENDS = {"ROUTE": ("port", "port"), "IMPORTED": ("port", "commodity"), "EXPORTED": ("port", "commodity"), "RECEIVED_AT": ("merchant", "port")}
+
+
+def with_ids(node: DataFrame, edge: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes() and edges() as a graph file names them: id is the kind in small letters, a colon and the name, type
+    the kind, label the name; an edge's source and target are such ids."""
+    ids = node.select(F.concat_ws(":", F.lower("kind"), "name").alias("id"), F.col("kind").alias("type"), F.col("name").alias("label"), F.col("n_out").alias("shipments_out"), F.col("n_in").alias("shipments_in"), F.col("n").alias("shipments"))
+
+    def end(column: str, i: int):
+        kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(e[i])) for k, e in ENDS.items()])
+        return F.concat_ws(":", kind, column).alias(column)
+
+    return ids, edge.select(end("source", 0), end("target", 1), F.col("kind").alias("type"), "year", "shipments")
+
+
 def links(df: DataFrame, target: str) -> DataFrame:
     """Edges of each record to one of its values: (record_id, target)."""
     return df.select("record_id", F.col(target).alias("target"))

@@ -161,6 +161,38 @@ def merge_authorities(*sources: DataFrame) -> DataFrame:
     return one_each(rows, F.col("variant"), ["q", "p", "canonical"]).select("variant", "canonical")
 
 
+#: What stands in a port's field and never is a port.
+NEVER_PORTS = ("Order", "ORDER", "order", "(s)", "Ditto", "ditto")
+
+
+def cases(df: DataFrame, name: str) -> DataFrame:
+    """Each row three times: with the name as it stands, in capitals and in small letters."""
+    return df.withColumn(name, F.explode(F.array(F.col(name), F.upper(name), F.lower(name))))
+
+
+def reviewed_authority(manual: DataFrame, reviewed: DataFrame, defaults: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(variant and canonical, names that are errors). manual: variant, canonical, ordinal. reviewed: original,
+    action, map_to, ordinal, where MAP makes a mapping that goes before the manual ones and ERROR an error, in any case and with
+    spaces about; other actions say nothing. Both count in capitals and small letters too, and of rows for the same name the
+    one with the highest ordinal does. defaults (variant, canonical, ordinal) count as they stand, where nothing else has the
+    name, the lowest ordinal first. Rows without a name or a canonical form are left out."""
+    action, original, target = F.upper(F.trim("action")), F.trim("original"), F.trim("map_to")
+    maps = reviewed.where((action == "MAP") & (original != "") & (target != "")).select(original.alias("variant"), target.alias("canonical"), "ordinal")
+    ranked = lambda df, p, o: df.where("variant is not null and canonical is not null").select("variant", "canonical", F.lit(p).alias("p"), o.alias("o"))
+    rows = ranked(cases(maps, "variant"), 0, -F.col("ordinal")).union(ranked(cases(manual, "variant"), 1, -F.col("ordinal"))).union(ranked(defaults, 2, F.col("ordinal")))
+    wrong = cases(reviewed.where((action == "ERROR") & (original != "")).select(original.alias("name")), "name")
+    wrong = wrong.union(reviewed.sparkSession.createDataFrame([(n,) for n in NEVER_PORTS], "name string")).distinct()
+    return one_each(rows, F.col("variant"), ["p", "o", "canonical"]).select("variant", "canonical"), wrong
+
+
+def with_repaired(mapping: DataFrame) -> DataFrame:
+    """variant and canonical with mojibake repaired in both, and the variants as they stand beside the
+    repaired ones. A variant that stands in the table goes before one that a repair makes, then the least canonical."""
+    fixed = repair_mojibake(F.col("canonical")).alias("canonical")
+    rows = mapping.select("variant", fixed, F.lit(0).alias("q")).union(mapping.select(repair_mojibake(F.col("variant")).alias("variant"), fixed, F.lit(1).alias("q")))
+    return one_each(rows, F.col("variant"), ["q", "canonical"]).select("variant", "canonical")
+
+
 def repair_mojibake(text: Column) -> Column:
     """UTF-8 that was read as Latin-1, read again; other text unchanged."""
     single = text.rlike("^[\\x{00}-\\x{FF}]*$") & text.rlike("[ÃÂ]")

@@ -112,3 +112,68 @@ def reporting_styles(spark, d):
     """How each page names its ships; its lines are put together first."""
     whole = page_lines(spark, d).groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return whole.select("source_file", a.reporting_style(F.col("text")).alias("style"))
+
+
+def first_mark_sql(value: str, patterns: tuple[str, ...]) -> str:
+    """rules.first_mark in SQL."""
+    return "CASE " + " ".join(f"WHEN regexp_matches({value}, '(?i){p}') THEN '{p}'" for p in patterns) + " END"
+
+
+@query(
+    f"""WITH s AS (SELECT {SPOILT} FROM lineitem),
+m AS (SELECT unnest([struct_pack(field := 'consignee_in_port', pattern := {first_mark_sql("port", r.CONSIGNEE_PATTERNS)}), struct_pack(field := 'date_in_ship', pattern := {first_mark_sql("ship", r.DATE_PATTERNS)}), struct_pack(field := 'amount_in_ship', pattern := {first_mark_sql("ship", r.AMOUNT_PATTERNS)})]) AS m FROM s)
+SELECT m.field AS field, m.pattern AS pattern, count(*) AS n FROM m WHERE m.pattern IS NOT NULL GROUP BY ALL"""
+)
+def misplaced_patterns(spark, d):
+    """How often each pattern is the first that a misplaced field has."""
+    marks = [("consignee_in_port", "port", r.CONSIGNEE_PATTERNS), ("date_in_ship", "ship", r.DATE_PATTERNS), ("amount_in_ship", "ship", r.AMOUNT_PATTERNS)]
+    found = F.array(*[F.struct(F.lit(name).alias("field"), r.first_mark(F.col(c), p).alias("pattern")) for name, c, p in marks])
+    return spoilt(spark, d).select(F.explode(found).alias("m")).where("m.pattern is not null").groupBy("m.field", "m.pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH f AS (SELECT {FILES} || CASE WHEN o_orderkey % 3 = 0 THEN ' of ' || (1865 + o_custkey % 50) ELSE '' END AS s FROM orders),
+y AS (SELECT coalesce(regexp_extract_all(s, '18[789][0-9]')[-1], 'unk') AS last_year,
+  CASE WHEN try_cast(regexp_extract(s, '^([0-9]{{4}})', 1) AS INT) BETWEEN 1870 AND 1910 THEN regexp_extract(s, '^([0-9]{{4}})', 1)::INT ELSE nullif(regexp_extract(s, '18[0-9]{{2}}'), '')::INT END AS bounded_year FROM f)
+SELECT last_year, bounded_year, count(*) AS n FROM y GROUP BY ALL"""
+)
+def file_years(spark, d):
+    """Files by the years that the spot check and the bounded reading find in their names, some of which hold two."""
+    names = file_names(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    name = F.concat("source_file", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" of "), (1865 + F.col("o_custkey") % 50).cast("string"))).otherwise(""))
+    return names.groupBy(text.last_year(name).alias("last_year"), text.bounded_year(name).alias("bounded_year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def header_sql(port: str) -> str:
+    p = port.replace("'", "''")
+    return f"CASE WHEN regexp_matches(t, '(?im)^{p}\\.?\\s*$') OR regexp_matches(t, '(?i){p}\\s*\\n') THEN '{p}' END"
+
+
+HEADERS = "list_value(" + ", ".join("'" + p.replace("'", "''") + "'" for p in a.MAJOR_PORTS) + ")"
+
+
+@query(
+    f"""WITH p AS (SELECT source, CASE doc_id % 4 WHEN 0 THEN lower(h) || '.' || chr(10) WHEN 1 THEN h || ', Docks' || chr(10) WHEN 2 THEN 'At ' || h || chr(10) ELSE '' END || text || CASE WHEN doc_id % 4 = 3 THEN chr(10) || h ELSE '' END AS t
+  FROM (SELECT *, ({HEADERS})[doc_id % 26 + 1] AS h FROM documents)),
+f AS (SELECT source, unnest(list_filter([{", ".join(map(header_sql, a.MAJOR_PORTS))}], lambda x: x IS NOT NULL)) AS port FROM p)
+SELECT source, port, count(*) AS pages FROM f GROUP BY ALL"""
+)
+def port_header_survey(spark, d):
+    """Pages of each source by the ports whose headers they have; a header is put to each text, in four ways of which three count."""
+    k, line = F.col("doc_id") % 4, F.lit("\n")
+    h = F.element_at(F.array(*map(F.lit, a.MAJOR_PORTS)), (F.col("doc_id") % 26 + 1).cast("int"))
+    head = F.when(k == 0, F.concat(F.lower(h), F.lit("."), line)).when(k == 1, F.concat(h, F.lit(", Docks"), line)).when(k == 2, F.concat(F.lit("At "), h, line)).otherwise("")
+    whole = F.concat(head, "text", F.when(k == 3, F.concat(line, h)).otherwise(""))
+    pages = table(spark, d, "documents").select("source", F.explode(a.port_headers(whole)).alias("port"))
+    return pages.groupBy("source", "port").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(
+    f"""WITH c AS ({" UNION ALL ".join(LEVELS.format(*x) for x in (("route", "origin", "dest"), ("imports", NONE, "dest"), ("exports", "origin", NONE)))}),
+p AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT origin AS x FROM c UNION SELECT dest FROM c) WHERE x IS NOT NULL),
+f AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT form AS x FROM c WHERE form IS NOT NULL))
+SELECT level, o.i::INT AS o, e.i::INT AS d, coalesce(f.i, -1)::INT AS f, year, n FROM c LEFT JOIN p o ON o.x = origin LEFT JOIN p e ON e.x = dest LEFT JOIN f ON f.x = form""",
+    arrivals=True,
+)
+def compact_cube(spark, d):
+    return c.compact(cube_levels(spark, d))[2]

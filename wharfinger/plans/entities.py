@@ -143,6 +143,25 @@ def authority_merge_all(spark, d):
     return names.merge_authorities(s.select(F.col("s_name").alias("variant"), F.lit("A").alias("canonical")), more)
 
 
+@query(
+    """WITH s AS (SELECT s_name AS x, s_suppkey AS k FROM supplier),
+cs AS (SELECT unnest([x, upper(x), lower(x)]) AS variant, 'A' AS canonical, 1 AS p, -k AS o FROM s UNION ALL
+  SELECT unnest([upper(x), lower(x)]), 'B' || k, 0, -k FROM s WHERE k % 3 = 0 UNION ALL SELECT variant, canonical, 2, o FROM (SELECT unnest([upper(x), 'New ' || x]) AS variant, 'C' AS canonical, k AS o FROM s)),
+e AS (SELECT unnest([x || '?', upper(x || '?'), lower(x || '?')]) AS name FROM s WHERE k % 3 = 1 UNION SELECT unnest(['Order', 'ORDER', 'order', '(s)', 'Ditto', 'ditto']))
+SELECT 'map' AS kind, variant AS name, canonical FROM (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY variant ORDER BY p, o, canonical) = 1) UNION ALL SELECT DISTINCT 'error', name, NULL FROM e"""
+)
+def authority_reviewed(spark, d):
+    """Suppliers as a manual list, a reviewed list with actions, and defaults."""
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    manual = s.select(F.col("s_name").alias("variant"), F.lit("A").alias("canonical"), k.alias("ordinal"))
+    action = F.element_at(F.array(F.lit(" map"), F.lit("Error "), F.lit("ACCEPT")), (k % 3 + 1).cast("int"))
+    original = F.when(k % 3 == 0, F.concat(F.lit(" "), F.upper("s_name"))).when(k % 3 == 1, F.concat("s_name", F.lit("?"))).otherwise(F.col("s_name"))
+    reviewed = s.select(original.alias("original"), action.alias("action"), F.concat(F.lit("B"), k.cast("string")).alias("map_to"), k.alias("ordinal"))
+    defaults = s.select(F.explode(F.array(F.upper("s_name"), F.concat(F.lit("New "), "s_name"))).alias("variant"), F.lit("C").alias("canonical"), k.alias("ordinal"))
+    mapping, errors = names.reviewed_authority(manual, reviewed, defaults)
+    return mapping.select(F.lit("map").alias("kind"), F.col("variant").alias("name"), "canonical").union(errors.select(F.lit("error"), "name", F.lit(None).cast("string")))
+
+
 @query()
 def mojibake(spark, d):
     """Texts of the documents spoilt as if read in Latin-1, and repaired."""

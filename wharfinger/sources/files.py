@@ -70,9 +70,25 @@ def write_ordered_csv(df: DataFrame, path: str, by: str, *keys: str) -> None:
     df.orderBy(F.desc(by), *[F.col(k).cast("string") for k in keys]).coalesce(1).write.option("header", True).csv(path)
 
 
-def graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges, one JSON object a line."""
-    nodes.withColumn("element", F.lit("node")).unionByName(edges.withColumn("element", F.lit("edge")), allowMissingColumns=True).write.json(path)
+def graph_json(nodes: DataFrame, edges: DataFrame, path: str, meta: dict[str, object] | None = None) -> None:
+    """A graph below path, one JSON object a line: nodes, edges, and one line of meta with what is given, node_count
+    and edge_count, counted in what was written. meta is written last: a folder without it is not whole."""
+    spark = nodes.sparkSession
+    for name, rows in (("nodes", nodes), ("edges", edges)):
+        rows.write.json(f"{path}/{name}")
+    n = {f"{name[:-1]}_count": spark.read.text(f"{path}/{name}").count() for name in ("nodes", "edges")}
+    given = [F.lit(v).alias(k) for k, v in (meta or {}).items()]
+    spark.range(1).select(*([F.struct(*given).alias("meta")] if given else []), *[F.lit(v).alias(k) for k, v in n.items()]).coalesce(1).write.json(f"{path}/meta")
+
+
+def compact_json(ports: DataFrame, forms: DataFrame, cells: DataFrame, path: str) -> None:
+    """counts.compact as JSON below path: the names in order of their places, and for each level arrays of
+    numbers [o, d, f, year, n], without those that the level does not have, one a line and in order."""
+    for name, rows, column in (("ports", ports, "port"), ("forms", forms, "form")):
+        rows.orderBy("place").select(column).write.json(f"{path}/{name}")
+    whole = lambda c: F.col(c).cast("long")
+    cell = F.array_compact(F.array(*map(whole, ("o", "d", "f", "year", "n"))))
+    cells.orderBy("level", "o", "d", "f", "year").select("level", F.to_json(cell).alias("value")).write.partitionBy("level").text(f"{path}/cells")
 
 
 def indexed(df: DataFrame, column: str, name: str) -> DataFrame:
