@@ -2,6 +2,7 @@
 
 import difflib
 import itertools
+import math
 
 import numpy as np
 from conftest import SF
@@ -78,3 +79,25 @@ def test_up_to_four_breaks(spark, monkeypatch):
             if all(e in ssr for e in zip(at, at[1:])) and sum(ssr[e] for e in zip(at, at[1:])) <= 1.01 * cost:
                 want.add((k + 1, place))
     assert {(r["k"], r["place"]) for r in catalog.QUERIES["break_confidence_4"](spark, SF).collect()} == want and len(want) >= m
+
+
+def test_multinomial_null_by_the_exact_distribution(spark, monkeypatch):
+    """Mean and tail of the largest share of 6 and 7 draws against all outcomes of the multinomial, within five standard errors of 2000 draws."""
+    rows = [("Hull", o) for o in "aaabbc"] + [("Leith", o) for o in "aaaaaaa"] + [("Goole", "c")]
+    monkeypatch.setattr(statistics, "arrivals", lambda spark, d: spark.createDataFrame(rows, "dest string, origin string"))
+    got = {r["dest"]: r for r in statistics.multinomial_null(spark, SF).collect()}
+    pool = [sum(o == x for _, o in rows) / len(rows) for x in "abc"]
+    assert set(got) == {"Hull", "Leith", "Goole"}
+    for dest, r in got.items():
+        mine = [o for d, o in rows if d == dest]
+        n, top = len(mine), max(mine.count(o) for o in set(mine))
+        chance = np.zeros(n + 1)
+        for counts in itertools.product(range(n + 1), repeat=3):
+            if sum(counts) == n:
+                ways = math.factorial(n) / math.prod(map(math.factorial, counts))
+                chance[max(counts)] += ways * math.prod(p**k for p, k in zip(pool, counts, strict=True))
+        share = np.arange(n + 1) / n
+        mean, tail = float(chance @ share), float(chance[top:].sum())
+        off = 5 * math.sqrt(float(chance @ share**2) - mean**2) / math.sqrt(2000)
+        assert r["n"] == n and r["top_share"] == top / n
+        assert abs(r["null_mean"] - mean) <= off + 1e-9 and abs(r["p"] - tail) <= 5 * math.sqrt(tail * (1 - tail) / 2000) + 1e-9

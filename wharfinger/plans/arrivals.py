@@ -73,7 +73,8 @@ def enrich_firms(records: DataFrame, big: int = 100) -> DataFrame:
     canon = names.exact_merge(rows.where("firm is not null").withColumn("_seen", F.struct("source_file", "line_no", "record_id")), "firm", "_seen")
     near = names.fuzzy_merge(canon.select("canonical", "n"), big=big)
     final = canon.join(near.select("canonical", "target"), "canonical", "left").select(F.col("key").alias("_key"), F.coalesce("target", "canonical").alias("canonical_firm"))
-    rows = rows.withColumn("_key", names.squash_firm(F.col("firm"))).join(final, "_key", "left").drop("_key")
+    key = F.coalesce(names.squash_firm(F.col("firm")), F.concat(F.lit("?"), "record_id"))  # no firm's key has a mark; rows without a firm spread
+    rows = rows.withColumn("_key", key).join(final, "_key", "left").drop("_key")
     rows = sequences.resolve_ditto(rows, "firm_kind", "canonical_firm", "source_file", "line_no")
     return rows.drop("firm", "canonical_firm", "firm_kind").withColumnRenamed("resolved", "firm").withColumnRenamed("resolved_kind", "firm_kind")
 
