@@ -268,6 +268,17 @@ def test_decontamination(spark, limit):
         assert (r["n_hit"], r["n_items"], r["contaminated"]) == (60, 1, True)
 
 
+def test_copies_of_items(spark):
+    """Half of a benchmark is one item, a third one text under many ids: blocks stay small, hits are those of brute force."""
+    docs = spark.createDataFrame([(1, "x " + PASSAGE + " y"), (2, "clean words only"), (3, "b9 b10 b11")], "doc_id long, text string")
+    items = [(7, PASSAGE)] * 300 + [(100 + i, "b9 b10 b11") for i in range(200)] + [(500 + i, f"item {i} of many") for i in range(100)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes = [b.count() for b in decontam.split_benchmark(bench, 500)]
+    assert sum(sizes) == 301 and max(sizes) < 100 and len(sizes) > 4
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontam.contamination(docs, bench, limit=1500).collect()}
+    assert got == brute.leaks([(r["doc_id"], r["text"]) for r in docs.collect()], sorted(set(items)))
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "x " + PASSAGE + " y")], "doc_id long, text string")
     spans = decontam.hit_spans(docs, spark.createDataFrame([("i", PASSAGE)], "item_id string, text string")).first()["spans"]

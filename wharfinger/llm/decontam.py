@@ -17,7 +17,6 @@ item_id counts as the empty string; a null doc_id stays null.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -186,8 +185,9 @@ def search(w: Words, bench: Benchmark) -> Found:
 
 def split_benchmark(benchmark: DataFrame, limit: int) -> list[DataFrame]:
     """The items (item_id, text) in blocks of about `limit` bytes of text. Each is collected,
-    broadcast and released for itself, so the driver never holds more than one."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    broadcast and released for itself, so the driver never holds more than one. Rows that repeat an
+    item's id and text are one; the blocks go by both, so copies of a text under other ids spread."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()  # copies of an item are one
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = total // limit + 1
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items for k in range(parts)]
@@ -253,16 +253,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int
             ends = np.concatenate(([0], np.cumsum(words)))
             base = np.repeat(ends[:-1], np.diff(bounds))
             hit = covered(base + flat.field("doc_word").to_numpy(), flat.field("n_words").to_numpy().astype(np.int64), int(ends[-1]))
-            ids = flat.field("item_id").to_pylist()
-            items = [sorted(set(ids[i:j])) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-            n_hit = sums(hit, ends)
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["n_words"], pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array(n_hit > 0)],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+            ids = pa.ListArray.from_arrays(bounds.astype(np.int32), flat.field("item_id"))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_words"], pa.array(sums(hit, ends)), ids], ["doc_id", "n_words", "n_hit", "ids"])
 
     spans = hit_spans(docs, benchmark, n, limit)
-    return spans.mapInArrow(work, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    rows = spans.mapInArrow(work, f"doc_id {kind}, n_words long, n_hit long, ids array<string>")
+    rows = rows.withColumn("ids", F.array_sort(F.array_distinct("ids")))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, limit: int = BLOCK_BYTES) -> DataFrame:
