@@ -73,8 +73,9 @@ def busiest(edge: DataFrame, year: int, k: int) -> DataFrame:
     return edge.where((F.col("kind") == "ROUTE") & (F.col("year") == year)).orderBy(F.desc("shipments"), "source", "target").limit(k).select("source", "target", "shipments")
 
 
-def career(df: DataFrame, ship: str) -> DataFrame:
-    return df.where(F.col("ship") == ship).select("record_id", F.date_format("arrived", "yyyy-MM-dd").alias("iso"), "origin", "dest")
+def career(df: DataFrame, ships: DataFrame) -> DataFrame:
+    """The arrivals of the ships named in a frame with a column ship."""
+    return df.join(ships, "ship", "left_semi").select("record_id", F.date_format("arrived", "yyyy-MM-dd").alias("iso"), "origin", "dest")
 
 
 def tables(df: DataFrame, coords: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wharfinger.catalog import query
+from wharfinger.functions import rules
 from wharfinger.operators import counts as c
 from wharfinger.sources.adapters import arrivals
 
@@ -256,3 +257,22 @@ def commodity_hhi_trend(spark, d):
     h = k.groupBy("form", "year").agg(F.sum("n").alias("t"), (F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("hhi")).where("t >= 30")
     h = h.withColumn("a", F.row_number().over(W.partitionBy("form").orderBy("year"))).withColumn("b", F.row_number().over(W.partitionBy("form").orderBy(F.desc("year"))))
     return h.groupBy("form").agg(F.count(F.lit(1)).alias("n_years"), F.round(F.avg(F.when(F.col("a") <= 3, F.col("hhi"))), 6).alias("early"), F.round(F.avg(F.when(F.col("b") <= 3, F.col("hhi"))), 6).alias("late")).where("n_years >= 3")
+
+
+#: Goods of the tables that stand for sawn and square goods, and the species that stands for hardwood.
+SAWN, SQUARE, HARD = ("ring",), ("bolt", "rod"), ("large",)
+
+
+@query(
+    f"""WITH k AS (SELECT split_part(record_id, '-', 1) AS voyage, min(year) AS year, bool_or(list_has_any(forms, {list(SAWN)})) AS sawn, bool_or(list_has_any(forms, {list(SQUARE)})) AS square, bool_or(species IN ('large')) AS hard FROM arr GROUP BY ALL),
+n AS (SELECT year, CASE WHEN sawn THEN 'sawn' WHEN square THEN 'square' WHEN hard THEN 'hardwood' ELSE 'other' END AS kind, count(*) AS n FROM k GROUP BY ALL)
+SELECT *, round(n / sum(n) OVER (PARTITION BY year), 6) AS share FROM n""",
+    arrivals=True,
+)
+def square_sawn_mix(spark, d):
+    """Orders as voyages, each with the goods of its few items: their kinds by the year of the first item."""
+    voyage = F.substring_index("record_id", "-", 1).alias("voyage")
+    cargo = F.collect_list(F.struct("forms", F.array("species").alias("species"))).alias("cargo")
+    voyages = arrivals(spark, d).groupBy(voyage).agg(F.min("year").alias("year"), cargo)
+    kinds = voyages.select("year", rules.square_or_sawn(F.col("cargo"), SQUARE, SAWN, HARD).alias("kind"))
+    return c.share_of(c.count_by(kinds, "year", "kind"), "n", "year")

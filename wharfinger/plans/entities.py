@@ -281,9 +281,8 @@ def pattern_routes(spark, d):
 
 @query("SELECT record_id, strftime(arrived, '%Y-%m-%d') AS iso, origin, dest FROM arr WHERE ship = (SELECT min(s_name) FROM supplier)", arrivals=True)
 def pattern_career(spark, d):
-    rows = arrivals(spark, d)
     first = table(spark, d, "supplier").agg(F.min("s_name").alias("ship"))
-    return rows.join(F.broadcast(first), "ship", "left_semi").select("record_id", F.date_format("arrived", "yyyy-MM-dd").alias("iso"), "origin", "dest")
+    return g.career(arrivals(spark, d), F.broadcast(first))  # one row
 
 
 @query("SELECT form, year, count(DISTINCT record_id) AS n FROM lab GROUP BY ALL", arrivals=True)

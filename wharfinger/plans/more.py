@@ -11,8 +11,8 @@ from wharfinger.functions import grammar
 from wharfinger.operators import counts as c
 from wharfinger.operators import names
 from wharfinger.operators import series as s
-from wharfinger.plans.entities import authority, raw_origin
-from wharfinger.plans.statistics import SEGMENTS, drawn_sql, monthly
+from wharfinger.plans.entities import CASCADE, CHOSEN, PORTS, authority, raw_origin
+from wharfinger.plans.statistics import SEGMENTS, drawn_sql, levels_sql, monthly
 from wharfinger.sources.adapters import arrivals, table
 from wharfinger.sources.files import saved
 
@@ -30,7 +30,11 @@ def segment_slopes(spark, d):
     return s.segment_slopes(monthly(spark, d), one, "t", "v", "origin_region")
 
 
-@query()
+@query(
+    f"""WITH {levels_sql(4)}
+SELECT o.origin_region, len(list_filter(breaks, lambda b: b < k)) AS segment, count(*) AS n, round(regr_slope(v, t), 6) AS slope, round(avg(v), 6) AS mean FROM o JOIN best USING (origin_region) GROUP BY ALL""",
+    arrivals=True,
+)
 def segment_slopes_4(spark, d):
     """Of the segments between the breaks, 0 to 4, that BIC chooses."""
     e = saved(s.segment_errors(monthly(spark, d), "t", "v", "origin_region", least=8))
@@ -54,6 +58,7 @@ def bootstrap_trend(spark, d):
     return s.bootstrap_trend(g, "issue", "year", "x", "n", 1000, 25, 975)
 
 
+STATUSES = ["mapped", "canonical", "error", "unmapped", "empty"]
 TWO = "x AS (SELECT year, avg((origin_region = 'ASIA')::INT::DOUBLE) AS v FROM arr WHERE NOT steam AND year < 2001 GROUP BY year), z AS (SELECT year, avg((origin_region = 'ASIA')::INT::DOUBLE) AS v FROM arr WHERE steam AND year > 1995 GROUP BY year), both_ AS (SELECT year, x.v AS a, z.v AS b FROM x FULL JOIN z USING (year))"
 
 
@@ -117,11 +122,15 @@ def form_shift_labels(spark, d):
     return w.select("coast", "form", F.round("e", 6).alias("early"), F.round("l", 6).alias("late"), label.alias("label"))
 
 
-@query()
+@query(
+    f"""WITH {PORTS}, {CASCADE}, chosen AS ({CHOSEN}), o AS (SELECT issue, CASE WHEN origin = 'NATION_9' THEN '' WHEN origin = 'NATION_7' THEN 'Nation, 7 (s)' WHEN origin = 'NATION_10' THEN 'NATION 2' ELSE origin END AS port FROM arr)
+SELECT issue, count(*) AS n, {", ".join(f"count(*) FILTER (port_status = '{x}') AS {x}" for x in STATUSES)} FROM o JOIN chosen USING (port) GROUP BY issue""",
+    arrivals=True,
+)
 def port_coverage(spark, d):
     """Rows of each month by what became of their origin."""
     rows = names.normalise(arrivals(spark, d).select("issue", raw_origin().alias("port")), "port", *authority(spark))
-    return names.status_counts(rows, "issue", "port_status", ["mapped", "canonical", "error", "unmapped", "empty"])
+    return names.status_counts(rows, "issue", "port_status", STATUSES)
 
 
 @query()

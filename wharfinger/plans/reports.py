@@ -11,7 +11,7 @@ from wharfinger.operators import graph as g
 from wharfinger.operators import repeats
 from wharfinger.operators import series as s
 from wharfinger.plans.checks import SPOILT, spoilt_fields
-from wharfinger.plans.statistics import monthly
+from wharfinger.plans.statistics import levels_sql, monthly
 from wharfinger.sources.adapters import arrivals, page_lines, table
 from wharfinger.sources.files import saved
 
@@ -131,7 +131,14 @@ def error_rate_by_year(spark, d):
     return a.rates_by(arrivals(spark, d), "year", F.col("quantity") < 5)
 
 
-@query()
+@query(
+    f"""WITH {levels_sql(4)}, each AS (SELECT *, unnest(range(1, m + 1)) AS k FROM best),
+around AS (SELECT origin_region, k, cost, breaks[k] AS brk, CASE WHEN k = 1 THEN 0 ELSE breaks[k - 1] END AS lo, CASE WHEN k = m THEN n ELSE breaks[k + 1] END AS hi FROM each),
+moved AS (SELECT r.origin_region, k, cost, brk, a.j AS place, a.ssr + b.ssr AS two FROM around r JOIN e a ON a.origin_region = r.origin_region AND a.i = lo + 1 JOIN e b ON b.origin_region = r.origin_region AND b.i = a.j + 1 AND b.j = hi),
+whole AS (SELECT *, cost - max(two) FILTER (place = brk) OVER (PARTITION BY origin_region, k) + two AS ssr FROM moved)
+SELECT origin_region, k::INT AS k, place::INT AS place, round(ssr, 4) AS ssr FROM whole WHERE ssr <= 1.01 * cost""",
+    arrivals=True,
+)
 def break_confidence_4(spark, d):
     """Of each of the breaks, 0 to 4, that BIC chooses, the others held."""
     e = saved(s.segment_errors(monthly(spark, d), "t", "v", "origin_region", least=8))

@@ -87,7 +87,7 @@ def fill_gaps(spark, d):
 
 SEGMENTS = f"""{MONTHLY}, o AS (SELECT origin_region, t, v, row_number() OVER (PARTITION BY origin_region ORDER BY t) AS k FROM m),
 p AS (SELECT a.origin_region, a.k AS i, b.k AS j FROM o a JOIN o b ON a.origin_region = b.origin_region AND b.k - a.k + 1 >= 8),
-e AS (SELECT p.origin_region, i, j, greatest(regr_syy(v, t) - regr_sxy(v, t) ^ 2 / regr_sxx(v, t), 0) AS ssr FROM p JOIN o ON o.origin_region = p.origin_region AND o.k BETWEEN i AND j GROUP BY ALL)"""
+e AS MATERIALIZED (SELECT p.origin_region, i, j, greatest(regr_syy(v, t) - regr_sxy(v, t) ^ 2 / regr_sxx(v, t), 0) AS ssr FROM p JOIN o ON o.origin_region = p.origin_region AND o.k BETWEEN i AND j GROUP BY ALL)"""
 
 
 @query(f"WITH {SEGMENTS} SELECT origin_region, i::INT AS i, j::INT AS j, round(ssr, 4) AS ssr FROM e", arrivals=True)
@@ -110,7 +110,16 @@ def best_break_bic(spark, d):
     return s.by_bic(s.best_breaks(e, "origin_region", 1), "origin_region")
 
 
-@query()
+def levels_sql(most: int) -> str:
+    """s.best_breaks and s.by_bic in SQL: a table for each number of breaks, and of each series the best."""
+    step = "d{k} AS (SELECT origin_region, e.j AS j, min(cost + ssr) AS cost, arg_min(list_append(breaks, i - 1), (cost + ssr, i)) AS breaks FROM d{p} d JOIN e USING (origin_region) WHERE e.i = d.j + 1 GROUP BY ALL)"
+    ends = " UNION ALL ".join(f"SELECT origin_region, {k} AS m, n, cost, breaks FROM d{k} JOIN n USING (origin_region) WHERE j = n" for k in range(most + 1))
+    return f"""{SEGMENTS}, n AS (SELECT origin_region, max(k) AS n FROM o GROUP BY ALL), d0 AS (SELECT origin_region, j, ssr AS cost, []::BIGINT[] AS breaks FROM e WHERE i = 1),
+{", ".join(step.format(k=k, p=k - 1) for k in range(1, most + 1))}, tried AS ({ends}),
+best AS (SELECT *, n * ln(greatest(cost, 1e-12) / n) + (3 * m + 2) * ln(n) AS bic FROM tried QUALIFY row_number() OVER (PARTITION BY origin_region ORDER BY n * ln(greatest(cost, 1e-12) / n) + (3 * m + 2) * ln(n)) = 1)"""
+
+
+@query(f"WITH {levels_sql(4)} SELECT origin_region, m::INT AS m, round(bic, 4) AS bic, round(cost, 4) AS ssr, array_to_string(breaks, ',') AS breaks FROM best", arrivals=True)
 def best_break_bic_4(spark, d):
     """Among 0 to 4 breaks."""
     e = saved(s.segment_errors(monthly(spark, d), "t", "v", "origin_region", least=8))
