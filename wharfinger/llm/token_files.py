@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from wharfinger.llm import grammar
-from wharfinger.llm.words import SLICE_BYTES, slices, split_words, spread, sums, texts_of
+from wharfinger.llm.words import give_back, slices, split_words, spread, sums, texts_of
 
-PART_BYTES = 32 << 20
+PART_BYTES, SLICE_BYTES = 16 << 20, 2 << 20  # of text: a task's share, which may come as one batch, and that of a shard
 MEMO, JOINED, AT_ONCE = 1_200_000, 2000, 1000
 BROADCAST_SHARDS = 200_000
 
@@ -169,6 +169,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_wor
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         enc, seq = encoder(tokenizer, by_word), 0
         for b in batches:
             texts = texts_of(b["text"])
@@ -183,6 +184,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_wor
                 data = grammar.to_bytes(grammar.induce(with_end, enc.base), n + 1, pc.fill_null(doc_id, 0).to_numpy(), pc.is_null(doc_id).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([b["part"].slice(i, 1), pa.array([seq], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([len(with_end)], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "data"])
                 seq += 1
+                del ids, n, ends, with_end, inner, data
+                give_back()
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.octet_length("text").alias("tie"))
     sorted_ = keyed.repartitionByRange(n_bytes // PART_BYTES + 1, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
