@@ -179,3 +179,22 @@ def test_page_to_arrivals(spark):
     errors, coords = spark.createDataFrame([("order",)], "name string"), spark.createDataFrame([("Memel", 55.7, 21.1, 0), ("London", 51.5, -0.1, 1)], "name string, lat double, lon double, ordinal int")
     got = [(r["line_no"], r["date"], r["ship"], r["origin_normalized"], r["dest"], r["firm"], r["port_status"]) for r in arrivals.enrich_ports(firms, mapping, errors, coords).orderBy("line_no").collect()]
     assert got == [(2, "Dec. 28", "Vesta", "Riga", "LONDON", "Price & Co.", "both"), (4, "Dec. 29", "Presto", "Soderhamn", "LONDON", "Price & Co.", "destination_only"), (6, "Dec. 30", "Anna", "Memel", "HULL", None, "origin_only")]
+
+
+def test_distinct_lines_are_read_once(spark):
+    """Lines that repeat give each row its records; the patterns of goods run over distinct lines only."""
+    lines = ["Vesta (s)-Riga-20 pcs. deals, 3 lds. oak-Order", "Ann @ Riga,—5 lds. oak, Order", None, "Hope Riga 9 deals", ""]
+    df = spark.createDataFrame([(i, lines[i % 5]) for i in range(50)], "id int, line string").repartition(3, "id")
+    ports = spark.createDataFrame([("riga",)], "name string")
+    for known in (None, ports):
+        plain, once = grammar.parse_lines(df, "line", known), grammar.parse_distinct(df, "line", known)
+        assert once.columns == plain.columns
+        assert sorted(map(str, once.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_line_queries_read_distinct_lines(spark):
+    from wharfinger import catalog
+
+    for name in ("dash_parse", "at_parse", "rescue"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "_records" in plan, name

@@ -189,15 +189,15 @@ ANSWERS = {
 
 
 def written(spark, d, kind):
-    """Line items written out as lines of the arrival columns, in several shapes. Rows are dealt anew
-    before: the table is one file, making and reading a line cost far more than moving it."""
-    q, rows = F.col("quantity").cast("int"), arrivals(spark, d).select("record_id", "ship", "origin", "quantity").repartition("record_id")
+    """Line items written out as lines of the arrival columns, in several shapes. Lines are gone through
+    twice, so they are dealt anew: Spark makes that shuffle once."""
+    q, rows = F.col("quantity").cast("int"), arrivals(spark, d).select("record_id", "ship", "origin", "quantity")
     given = {"ship": F.initcap(F.regexp_replace("ship", "[^A-Za-z]", "")), "place": F.initcap(F.replace("origin", F.lit("_"), F.lit(""))), "q": q.cast("string")}
     line = F.lit(None).cast("string")
     for k, shape in enumerate(SHAPES[kind]):
         parts = [given[x] if j % 2 else F.lit(x) for j, x in enumerate(re.split(r"\{(\w+)\}", shape))]
         line = F.when(q % len(SHAPES[kind]) == k, F.concat(*parts)).otherwise(line)
-    return rows.select("record_id", line.alias("line"))
+    return rows.select("record_id", line.alias("line")).repartition("record_id")
 
 
 def read_sql(kind: str) -> str:
@@ -214,7 +214,7 @@ SELECT record_id, ship, steam, origin, consignee, replace(i.a, '@', ',') AS quan
 
 
 def read(spark, d, kind, ports=None):
-    rows = grammar.parse_lines(written(spark, d, kind), "line", ports)
+    rows = grammar.parse_distinct(written(spark, d, kind), "line", ports)
     return rows.select("record_id", "ship", "steam", "origin", "consignee", F.explode_outer("cargo").alias("i"), "confidence").select("record_id", "ship", "steam", "origin", "consignee", "i.quantity", "i.unit", "i.commodity", "confidence")
 
 
