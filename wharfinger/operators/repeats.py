@@ -39,11 +39,14 @@ def exact_repeats(df: DataFrame, file: str, text: str, least: int = 2) -> DataFr
     return n.where(F.col("n") >= least).withColumn("extra", F.col("n") - 1)
 
 
-def key_repeats(df: DataFrame, text: str, *keys: str, needed: tuple[str, ...] = ()) -> DataFrame:
-    """Keys, without case, that occur with several texts; the needed keys (the first, if none is named) must be there."""
+def key_repeats(df: DataFrame, text: str, *keys: str, needed: tuple[str, ...] = (), parts: int = 0) -> DataFrame:
+    """Keys, without case, that occur with several texts; the needed keys (the first, if none is named) must be there.
+    parts: partitions over which keys and texts are dealt before they are grouped, as texts hardly repeat."""
     named = [F.lower(F.trim(F.col(k).cast("string"))).alias(k) for k in keys]
     rows = df.select(*named, F.substring(text, 1, 100).alias("t"))
     for k in needed or keys[:1]:
         rows = rows.where(F.col(k) != "")
+    if parts:
+        rows = rows.repartition(parts, *keys, "t")
     out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("n_texts"))
     return out.where("n >= 2 and n_texts > 1")

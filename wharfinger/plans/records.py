@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wharfinger.catalog import query
 from wharfinger.functions import text as t
 from wharfinger.operators import repeats, sequences
-from wharfinger.sources.adapters import arrivals, event_log, page_lines, table
+from wharfinger.sources.adapters import arrival_parts, arrivals, event_log, page_lines, table
 
 
 @query(
@@ -88,7 +88,7 @@ def repetition_loops(spark, d):
     arrivals=True,
 )
 def key_dups(spark, d):
-    return repeats.key_repeats(arrivals(spark, d), "record_id", "ship", "origin", "issue", needed=("ship", "issue"))
+    return repeats.key_repeats(arrivals(spark, d), "record_id", "ship", "origin", "issue", needed=("ship", "issue"), parts=arrival_parts(spark, d))
 
 
 FILES = "SELECT event_id, (1870 + event_id % 25)::VARCHAR || strftime(ts, '%m%d') || 'J_p' || lpad((event_id % 7)::VARCHAR, 3, '0') AS a, 'Journal - ' || strftime(ts, '%B') || ' ' || day(ts) || ' ' || (1870 + event_id % 25) || ' - p' AS b FROM events"

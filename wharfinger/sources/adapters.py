@@ -11,16 +11,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PART_ROWS, FEW_ROWS = 250_000, 4_000_000  # rows that a task sorts or groups at once; fewer in all are left to Spark
+
+
+def parts(df: DataFrame) -> int:
+    """Partitions with some 250,000 rows of a table each, 0 for one that Spark may deal as it likes. Counts by the files' footers."""
+    n = df.count()
+    return -(-n // PART_ROWS) if n > FEW_ROWS else 0
+
+
+def arrival_parts(spark: SparkSession, sf_dir: str) -> int:
+    return parts(table(spark, sf_dir, "lineitem"))
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df in n partitions by its keys; as it is, if n is 0. What it is joined with on these follows."""
+    return df.repartition(n, *keys) if n else df
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a line item: what arrived, whence, where, for whom and when."""
+    """One row a line item: what arrived, whence, where, for whom and when. A large table is dealt by
+    its rows, so that the share of a task doesn't grow with it."""
+    n = arrival_parts(spark, sf_dir)
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     supplier = table(spark, sf_dir, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("s_name").alias("ship"), F.col("n_name").alias("origin"), F.col("r_name").alias("origin_region"))
     customer = table(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_name").alias("merchant"), F.col("n_name").alias("dest"), F.col("r_name").alias("coast"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(dealt(customer, n, "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     words = F.split("p_name", " ")
     part = table(spark, sf_dir, "part").select("p_partkey", F.array_distinct(F.array("p_type", F.element_at(words, -1))).alias("forms"), F.element_at(words, 1).alias("species"))
-    rows = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, sf_dir, "lineitem").join(dealt(orders, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(dealt(supplier, n, "s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(dealt(part, n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     year = F.year("l_shipdate")
     return rows.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("record_id"),
