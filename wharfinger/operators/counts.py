@@ -142,7 +142,10 @@ def persistence(df: DataFrame, year: str, group: str, *route: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("again", F.lit(0)).cast("double")), 6).alias("persistence"))
 
 
-def long_lived(df: DataFrame, year: str, least: int, *route: str) -> DataFrame:
+def long_lived(df: DataFrame, year: str, least: int, *route: str, parts: int = 0) -> DataFrame:
+    """Routes with enough years. parts: partitions over which routes and years are dealt before they are grouped."""
+    if parts:
+        df = df.select(*route, year).repartition(parts, *route, year)
     out = df.groupBy(*route).agg(F.countDistinct(year).alias("n_years"), F.min(year).alias("first"), F.max(year).alias("last"), F.count(F.lit(1)).alias("n"))
     return out.where(F.col("n_years") >= least)
 

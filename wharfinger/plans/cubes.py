@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wharfinger.catalog import query
 from wharfinger.functions import rules
 from wharfinger.operators import counts as c
-from wharfinger.sources.adapters import arrivals
+from wharfinger.sources.adapters import arrival_parts, arrivals
 
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 PIVOT = ", ".join(f"round(avg((origin_region = '{r}')::INT::DOUBLE), 6) AS \"{r}\"" for r in REGIONS)
@@ -203,7 +203,7 @@ def route_persistence(spark, d):
 
 @query("""SELECT origin, merchant, count(DISTINCT year) AS n_years, min(year) AS "first", max(year) AS "last", count(*) AS n FROM arr GROUP BY ALL HAVING count(DISTINCT year) >= 4""", arrivals=True)
 def longlived_routes(spark, d):
-    return c.long_lived(arrivals(spark, d), "year", 4, "origin", "merchant")
+    return c.long_lived(arrivals(spark, d), "year", 4, "origin", "merchant", parts=arrival_parts(spark, d))
 
 
 @query(
