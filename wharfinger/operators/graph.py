@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def nodes(df: DataFrame) -> DataFrame:
-    """kind, name and counts (n_out and n_in for ports, n for the others)."""
+def nodes(df: DataFrame, parts: int = 0) -> DataFrame:
+    """kind, name and counts (n_out and n_in for ports, n for the others): rows, and for goods the
+    distinct records. parts: partitions over which records are dealt before those are counted."""
     none = F.lit(None).cast("long")
     out = df.groupBy(F.col("origin").alias("name")).agg(F.count(F.lit(1)).alias("n_out"))
     into = df.groupBy(F.col("dest").alias("name")).agg(F.count(F.lit(1)).alias("n_in"))
     ports = out.join(into, "name", "full").select(F.lit("Port").alias("kind"), "name", F.coalesce("n_out", F.lit(0)).cast("long").alias("n_out"), F.coalesce("n_in", F.lit(0)).cast("long").alias("n_in"), none.alias("n"))
 
-    def plain(kind: str, rows: DataFrame, name: str) -> DataFrame:
-        n = rows.groupBy(F.col(name).alias("name")).agg(F.countDistinct("record_id").alias("n"))
+    def plain(kind: str, rows: DataFrame, name: str, n: Column) -> DataFrame:
+        n = rows.groupBy(F.col(name).alias("name")).agg(n.alias("n"))
         return n.select(F.lit(kind).alias("kind"), "name", none.alias("n_out"), none.alias("n_in"), "n")
 
-    forms = df.select("record_id", F.explode("forms").alias("form"))
-    return ports.union(plain("Ship", df, "ship")).union(plain("Merchant", df, "merchant")).union(plain("Commodity", forms, "form")).union(plain("Species", df, "species"))
+    records, rows = df.select("record_id", "forms"), F.count(F.lit(1))
+    forms = (records.repartition(parts, "record_id") if parts else records).select("record_id", F.explode("forms").alias("form"))
+    return ports.union(plain("Ship", df, "ship", rows)).union(plain("Merchant", df, "merchant", rows)).union(plain("Commodity", forms, "form", F.countDistinct("record_id"))).union(plain("Species", df, "species", rows))
 
 
 def edges(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from wharfinger.catalog import query
 from wharfinger.functions import rules as r
 from wharfinger.operators import graph as g
 from wharfinger.operators import names
-from wharfinger.sources.adapters import arrivals, table
+from wharfinger.sources.adapters import arrival_parts, arrivals, table
 
 # A small authority over the nations' names, to run the cascade on: variants in two cases,
 # errors, and coordinates by name.
@@ -252,7 +252,7 @@ UNION ALL SELECT 'Commodity', form, NULL, NULL, count(DISTINCT record_id) FROM l
     arrivals=True,
 )
 def graph_nodes(spark, d):
-    return g.nodes(arrivals(spark, d))
+    return g.nodes(arrivals(spark, d), arrival_parts(spark, d))
 
 
 @query(
