@@ -198,6 +198,35 @@ def test_a_large_family_is_linked_like_all_pairs(spark):
     assert got == brute.near(docs, 2)
 
 
+def test_members_of_a_large_family_are_labelled_once(spark, monkeypatch):
+    """The join of large nodes' members with their components runs once a depth, with a row a member."""
+    rng, base, docs, given = random.Random(5), [f"t{i}" for i in range(120)], [], []
+    for d in range(100):
+        w = list(base)
+        for _ in range(rng.randint(0, 16)):
+            w[rng.randrange(len(w))] = f"m{rng.randrange(10**6)}"
+        docs.append((d, " ".join(w)))
+    made, labelled = spark.sparkContext.accumulator(0), neardup.labelled
+
+    def counted(rows, roots, column, name):
+        out = labelled(rows, roots, column, name)
+        if column != "id":
+            return out
+        given.append(rows.count())
+
+        def work(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        return out.mapInArrow(work, out.schema)
+
+    monkeypatch.setattr(neardup, "labelled", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=2).collect()}
+    assert got == brute.near(docs, 2)
+    assert made.value == sum(given) > 0
+
+
 def test_nodes_with_many_members_outside(spark, monkeypatch):
     """Three families whose documents share a passage: with two members outside as the limit every
     large node goes deeper, with packs of a few documents blocks meet in many groups, and nodes are

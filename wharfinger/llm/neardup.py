@@ -251,10 +251,10 @@ def labelled(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataF
     return rows.join(r, F.col(column) == F.col("_u"), "left").withColumn(name, F.coalesce("_v", column)).drop("_u", "_v")
 
 
-def split_families(inside: DataFrame, roots: DataFrame, n: int, outside: int) -> tuple[DataFrame, DataFrame]:
+def split_families(rows: DataFrame, n: int, outside: int) -> tuple[DataFrame, DataFrame]:
     """(family, id, label, other) of the nodes with few members outside their largest
-    component, which names the family, each id once; and the rows of nodes with more. There are n nodes."""
-    rows = labelled(inside, roots, "id", "label")
+    component, which names the family, each id once; and the rows of nodes with more. There are n nodes;
+    rows (node, id, label) should be a written table: it is read once for sizes and once for each result."""
     sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     nodes = sizes.groupBy("node").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top")).where(F.col("all") > F.col("top.n"))
     nodes = nodes.select("node", F.col("top.label").alias("family"), (F.col("all") - F.col("top.n")).alias("others"))
@@ -400,17 +400,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         depth += 1
         at = Nodes(descend(at.large().select("node", "id").join(reps.select("id", "sig"), "id"), second), scratch, f"level{depth}")
     pairs = [scratch.save(together(found), "pairs")]
-    for d in range(1, depth):
+    inside = scratch.save(at.large(), f"inside{depth}")
+    for d in range(1, depth + 1):
         scratch.drop(f"level{d}")
-    needed = pairs[0].select(F.explode(F.array("a", "b")).alias("id")).union(at.large().select("id")).distinct()
+    needed = pairs[0].select(F.explode(F.array("a", "b")).alias("id")).union(inside.select("id")).distinct()
     needed = reps.drop("sig").join(needed.hint("merge"), "id", "left_semi")
     sets = scratch.save(sets_of(docs.select("doc_id", "text"), needed, numbered, k), "sets")
     roots, tried, links, first = None, [], [], True
     while first or at.n:
         tries = pairs[-1]
         if at.n:
-            one = at.large().groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("r"), "id", "s1", "s2")).alias("p"))
-            star = by_node(at.large(), one, at.n).withColumn("u", unequal_sql(F.struct("s1", "s2"), F.col("p")).cast("long"))
+            one = inside.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("r"), "id", "s1", "s2")).alias("p"))
+            star = by_node(inside, one, at.n).withColumn("u", unequal_sql(F.struct("s1", "s2"), F.col("p")).cast("long"))
             star = star.where((F.col("u") <= FAR) & (F.col("id") != F.col("p.id"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), "u")
             pairs.append(scratch.save(star.distinct(), f"star{depth}"))
             tries = tries.union(pairs[-1])
@@ -420,13 +421,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         first = False
         if not at.n:
             break
-        members, deeper = split_families(at.large(), roots, at.n, outside if depth < DEEPEST else 1 << 62)
+        labels = scratch.save(labelled(inside.select("node", "id"), roots, "id", "label"), f"labels{depth}")
+        members, deeper = split_families(labels, at.n, outside if depth < DEEPEST else 1 << 62)
         links.append(scratch.save(family_links(scratch.save(members, f"family{depth}"), sets, percent), f"inner{depth}"))
         roots = absorb(roots, links[-1], scratch, f"joined{depth}_")
         at = Nodes(descend(deeper.join(reps.select("id", "sig"), "id"), second, steps=2, copies=SUBTREES if depth == STAR else 1), scratch, f"level{depth + 2}")
-        scratch.drop(f"level{depth}")
+        scratch.drop(f"inside{depth}")
+        scratch.drop(f"labels{depth}")
         depth += 2
         pairs.append(scratch.save(compare_small(at.small()), f"pairs{depth}"))
+        inside = scratch.save(at.large(), f"inside{depth}")
+        scratch.drop(f"level{depth}")
     every = labelled(labelled(together(pairs), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
     for x in tried:
         every = every.join(x, ["a", "b"], "left_anti")
